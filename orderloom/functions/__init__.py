@@ -2,15 +2,13 @@ from .columns import (
     date_parts,
     hash_slice,
     is_present,
-    partition_date,
     rows_differ,
-    since_day,
     strip_cr,
     text_or_null,
 )
 from .numbering import number_rows
 
 __all__ = [
-    "date_parts", "hash_slice", "is_present", "number_rows", "partition_date",
-    "rows_differ", "since_day", "strip_cr", "text_or_null",
+    "date_parts", "hash_slice", "is_present", "number_rows",
+    "rows_differ", "strip_cr", "text_or_null",
 ]

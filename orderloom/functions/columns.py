@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.schemas import DATE_PARTS
-
 
 def strip_cr(column: str | Column) -> Column:
     """Without a carriage return at the end."""
@@ -25,15 +23,6 @@ def date_parts(df: DataFrame, ts: str | Column) -> DataFrame:
     return df.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts)})
 
 
-def partition_date() -> Column:
-    return F.make_date(*DATE_PARTS)
-
-
-def since_day(df: DataFrame, day: str | None) -> DataFrame:
-    """Rows of ``day`` and later. Uses layout columns only, so whole folders are skipped."""
-    return df if day is None else df.filter(partition_date() >= F.lit(day).cast("date"))
-
-
 def rows_differ(left: list[Column], right: list[Column]) -> Column:
     """True if any pair differs. NULL equals NULL and differs from everything else."""
     same = F.lit(True)

@@ -52,32 +52,56 @@ def clean_orders(orders: DataFrame) -> DataFrame:
 SUGGESTION_KEY = ["order_id", "product_id", "is_suggestion"]
 
 
-def unseen_suggestions(suggestions: DataFrame, loaded_lines: DataFrame | None = None) -> DataFrame:
+def unseen_suggestions(
+    suggestions: DataFrame, loaded_lines: DataFrame | None = None, since: str | None = None
+) -> DataFrame:
     """One row per suggestion that is not among ``loaded_lines`` yet.
 
     Topics deliver at least once, so a suggestion may arrive again; the repeat is recognised
-    by (order, product, flag), with NULLs matching NULLs.
+    by (order, product, flag), with NULLs matching NULLs, and the earliest delivery stands.
+    With ``since``, suggestions first delivered before that day count as loaded and
+    ``loaded_lines`` need not reach further back.
     """
     rest = [c for c in suggestions.columns if c not in SUGGESTION_KEY]
-    # Smallest ingestion date first: the earliest delivery stands.
     ordered = [*DATE_PARTS, *(c for c in rest if c not in DATE_PARTS)]
     once = (
         suggestions.groupBy(*SUGGESTION_KEY).agg(F.min(F.struct(*ordered)).alias("first"))
         .select(*SUGGESTION_KEY, "first.*")
     )
+    if since is not None:
+        once = once.filter(F.make_date(*DATE_PARTS) >= F.lit(since).cast("date"))
     if loaded_lines is not None:
-        seen = loaded_lines.filter("is_suggestion OR is_suggestion IS NULL").select(
-            *(F.col(c).alias(f"seen_{c}") for c in SUGGESTION_KEY)
-        ).distinct()
-        matches = F.lit(True)
-        for c in SUGGESTION_KEY:
-            matches = matches & once[c].eqNullSafe(seen[f"seen_{c}"])
-        once = once.join(seen, matches, "left_anti")
+        once = _without(once, loaded_lines)
     return once.select(*LINE_COLUMNS, *DATE_PARTS)
 
 
+def _without(suggestions: DataFrame, loaded_lines: DataFrame) -> DataFrame:
+    seen = loaded_lines.filter("is_suggestion OR is_suggestion IS NULL").select(
+        *(F.col(c).alias(f"seen_{c}") for c in SUGGESTION_KEY)
+    ).distinct()
+    matches = F.lit(True)
+    for c in SUGGESTION_KEY:
+        matches = matches & F.col(c).eqNullSafe(F.col(f"seen_{c}"))
+    return suggestions.join(seen, matches, "left_anti")
+
+
+def any_taken(suggestions: DataFrame, loaded_lines: DataFrame) -> bool:
+    """Is at least one of the suggestions among the loaded lines?"""
+    return not loaded_lines.join(suggestions.select(SUGGESTION_KEY), SUGGESTION_KEY, "left_semi").isEmpty()
+
+
+def own_lines(loaded_lines: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """Loaded lines that came with their order, not as a suggestion."""
+    keys = suggestions.select(SUGGESTION_KEY).distinct()
+    return loaded_lines.join(keys, SUGGESTION_KEY, "left_anti")
+
+
 def clean_lines(
-    orders: DataFrame, lines: DataFrame, suggestions: DataFrame, loaded_lines: DataFrame | None = None
+    orders: DataFrame,
+    lines: DataFrame,
+    suggestions: DataFrame,
+    loaded_lines: DataFrame | None = None,
+    since: str | None = None,
 ) -> DataFrame:
     """Lines of the new orders, and every suggestion not loaded before."""
     own = (
@@ -85,4 +109,4 @@ def clean_lines(
         .join(orders.select(F.col("id").alias("order_id")), "order_id", "left_semi")
         .select(*LINE_COLUMNS, *DATE_PARTS)
     )
-    return own.unionByName(unseen_suggestions(suggestions, loaded_lines))
+    return own.unionByName(unseen_suggestions(suggestions, loaded_lines, since))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache, cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,9 @@ class DriverTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self.raw = cache(self._read)  # one file listing per table
 
-    def raw(self, table: str) -> DataFrame:
+    def _read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
 
     @staticmethod
@@ -50,6 +53,10 @@ class DriverTables:
         )
 
     def product_category(self) -> DataFrame:
+        return self._categories
+
+    @cached_property
+    def _categories(self) -> DataFrame:
         names = self.raw("part").select(F.col("p_type").alias("name")).distinct()
         return number_rows(names, "name", "id", start=1).select(
             F.col("id").cast("int").alias("id"), "name", self.stamp().alias("updated_at")
@@ -75,16 +82,19 @@ class DriverTables:
         )
 
     def orders(self) -> DataFrame:
-        stores = self.raw("supplier").count()
         counts = self.raw("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
         return self.raw("orders").join(counts, "o_orderkey", "left").select(
             F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").alias("timestamp"),
             F.col("o_custkey").cast("int").alias("customer_id"),
-            (F.col("o_custkey") % stores).cast("int").alias("store_id"),
+            (F.col("o_custkey") % self._store_count).cast("int").alias("store_id"),
             F.substring("o_orderpriority", 1, 1).cast("int").alias("payment_method_id"),
             F.coalesce("n", F.lit(0)).cast("int").alias("num_products"),
         )
 
+    @cached_property
+    def _store_count(self) -> int:
+        return self.raw("supplier").count()
+
     def order_details(self) -> DataFrame:
         paid = F.col("l_extendedprice") * (1 - F.col("l_discount"))
         return self.raw("lineitem").select(
@@ -111,7 +121,8 @@ class DriverTables:
             .otherwise(message)
         )
         copies = F.when(F.col("event_type") == "click", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-        return self.raw("events").select("event_type", text.alias("value"), F.explode(copies).alias("delivery"))
+        records = self.raw("events").select("event_type", text.alias("value"))
+        return records.withColumn("delivery", F.explode(copies))
 
     # Two versions of each dimension source: some rows change, some are new in the second
     # version, one is gone from it.

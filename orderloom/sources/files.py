@@ -47,6 +47,16 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def day_folders(spark: SparkSession, path: str) -> dict[str, str]:
+    """Day (as text) to folder of a table laid out by date, newest first."""
+    return {
+        f"{y:04}-{m:02}-{d:02}": folder
+        for y, year in list_dirs(spark, path, "year")
+        for m, month in list_dirs(spark, year, "month")
+        for d, folder in list_dirs(spark, month, "day")
+    }
+
+
 def latest_watermark(spark: SparkSession, path: str, ts: str) -> str | None:
     """Largest ``ts`` of a table laid out by the date of ``ts``, as text.
 

@@ -27,9 +27,18 @@ def stream_topic(spark: SparkSession, topics: Endpoint, topic: str, **options) -
     return reader.text(f"{topics.path}/{topic}")
 
 
+def parsed(records: DataFrame, schema: str) -> DataFrame:
+    """JSON values as one struct column ``data``.
+
+    Going through a one-element array keeps the optimizer from copying the parser into every
+    later filter and column: each document is parsed once.
+    """
+    return records.select(F.explode(F.array(F.from_json("value", schema))).alias("data"))
+
+
 def from_topic(records: DataFrame, schema: str) -> DataFrame:
     """Unpack JSON values. A broken document gives a row of NULLs, a bad field a NULL."""
-    return records.select(F.from_json("value", schema).alias("data")).select("data.*")
+    return parsed(records, schema).select("data.*")
 
 
 def to_messages(df: DataFrame, key: str | None = None) -> DataFrame:

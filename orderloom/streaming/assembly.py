@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -53,7 +53,7 @@ def ready_orders(
         .mapInPandas(fold, _COMBINED)
         .withWatermark("event_time", lateness)
         .groupBy("order_id")
-        .transformWithStateInPandas(
+        .transformWithState(
             OrderAssembly(horizon * 1000, dedup * 1000), _EMITTED, outputMode="append", timeMode="eventTime"
         )
         .withColumn("ready_at", F.timestamp_millis("ready_ms"))
@@ -93,15 +93,12 @@ class OrderAssembly(StatefulProcessor):
         self.progress = handle.getValueState("progress", _PROGRESS)
         self.products = handle.getMapState("products", "product_id string", "seen boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         info, lines_until, stored, done_until, timer = self._load()
         products = {k[0] for k in self.products.keys()} if stored else set()
         known = set(products)
         emitted = []
-        events = sorted(
-            (event for batch in rows for event in batch.itertuples(index=False)), key=lambda e: e.first_ms
-        )
-        for now, together in groupby(events, key=lambda e: e.first_ms):
+        for now, together in groupby(sorted(rows, key=lambda e: e.first_ms), key=lambda e: e.first_ms):
             if done_until and now < done_until:
                 continue
             done_until = 0
@@ -112,16 +109,18 @@ class OrderAssembly(StatefulProcessor):
             for event in together:
                 if event.kind == "order":
                     info = (
-                        _text(event.customer_id), _text(event.payment_method_id),
-                        int(event.num_products), int(now), int(now) + self.horizon,
+                        event.customer_id, event.payment_method_id, event.num_products, now, now + self.horizon
                     )
                 else:
                     products.add(event.product_id)
-                    lines_until = max(lines_until, int(event.last_ms) + self.horizon)
+                    lines_until = max(lines_until, event.last_ms + self.horizon)
             lines_alive = not products or (info and info[3] < lines_until)
             if info and lines_alive and len(products) == info[2]:
-                emitted.append((key[0], info[0], info[1], sorted(products), int(now)))
-                info, products, lines_until, done_until = None, set(), 0, int(now) + self.dedup
+                emitted.append(Row(
+                    order_id=key[0], customer_id=info[0], payment_method_id=info[1],
+                    product_ids=sorted(products), ready_ms=now,
+                ))
+                info, products, lines_until, done_until = None, set(), 0, now + self.dedup
 
         if known - products:
             self.products.clear()
@@ -129,11 +128,9 @@ class OrderAssembly(StatefulProcessor):
         for product in products - known:
             self.products.updateValue((product,), (True,))
         self._save(info, lines_until if products else 0, len(products), done_until, timer)
-        if emitted:
-            names = ["order_id", "customer_id", "payment_method_id", "product_ids", "ready_ms"]
-            yield pd.DataFrame(emitted, columns=names)
+        return iter(emitted)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
         info, lines_until, stored, done_until, _ = self._load()
         if stored and lines_until <= now:
@@ -144,9 +141,10 @@ class OrderAssembly(StatefulProcessor):
         return iter(())
 
     def _load(self):
-        if not self.progress.exists():
+        saved = self.progress.get()
+        if saved is None:
             return None, 0, 0, 0, 0
-        customer, method, number, at, until, lines_until, lines, done, timer = self.progress.get()
+        customer, method, number, at, until, lines_until, lines, done, timer = saved
         info = (customer, method, number, at, until) if until else None
         return info, lines_until, lines, done, timer
 
@@ -160,6 +158,3 @@ class OrderAssembly(StatefulProcessor):
             timer = ends
         self.progress.update((*(info or (None, None, 0, 0, 0)), lines_until, lines, done_until, timer))
 
-
-def _text(value):
-    return None if pd.isna(value) else str(value)

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.schemas import LINE_CHANGE, ORDER_CHANGE
+from orderloom.sources.topics import parsed
 
 
 def _rows(records: DataFrame, schema: str) -> DataFrame:
     """The row each record leaves behind. Deletions leave none and broken records say nothing."""
-    payload = records.select(F.from_json("value", schema)["payload"].alias("p"))
+    payload = parsed(records, schema).select(F.col("data.payload").alias("p"))
     written = F.coalesce("p.op", F.lit("c")).isin("c", "r", "u")
     return payload.filter(written & F.col("p.after").isNotNull()).select(
         "p.after.*", F.coalesce(F.timestamp_millis("p.ts_ms"), F.current_timestamp()).alias("event_time")
