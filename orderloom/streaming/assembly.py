@@ -19,13 +19,13 @@ READY = READY_ORDER + ", ready_at timestamp"
 ASSEMBLY_HORIZON = 120
 DEDUP_HORIZON = 100
 
-_COMBINED = (
+_TIMED = (
     "kind string, order_id string, customer_id string, payment_method_id string, num_products int, "
-    "product_id string, event_time timestamp, first_ms bigint, last_ms bigint"
+    "product_id string, event_time timestamp, at bigint"
 )
-_EMITTED = READY_ORDER + ", ready_ms bigint"
+_EMITTED = READY_ORDER + ", ready_at bigint"
 _PROGRESS = (
-    "customer_id string, payment_method_id string, num_products int, info_ms bigint, info_until bigint, "
+    "customer_id string, payment_method_id string, num_products int, info_at bigint, info_until bigint, "
     "lines_until bigint, lines int, done_until bigint, timer bigint"
 )
 
@@ -38,49 +38,34 @@ def ready_orders(
 ) -> DataFrame:
     """Orders whose set of products has reached the announced number.
 
-    Order and line events meet on the order id in one shuffle. Before it, each task folds the
-    repeats of a line, so that an order with very many events does not reach its one state
-    task event by event. Times are event times, so a replay gives the same result.
+    Order and line events meet on the order id in one shuffle. Times are event times in whole
+    seconds, as the horizons are, so a replay gives the same result. Before the shuffle each
+    task drops what it has seen in the same second, so that an order with very many events does
+    not reach its one state task event by event.
     """
-    timed = events.withColumns({c: F.unix_millis("event_time") for c in ("first_ms", "last_ms")})
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield fold_repeats(batch, horizon * 1000)
-
+    timed = events.withColumns({
+        "event_time": F.date_trunc("second", "event_time"), "at": F.unix_seconds("event_time"),
+    })
     return (
-        timed.select([part.split()[0] for part in _COMBINED.split(", ")])
-        .mapInPandas(fold, _COMBINED)
+        timed.select([part.split()[0] for part in _TIMED.split(", ")])
+        .mapInPandas(drop_repeats, _TIMED)
         .withWatermark("event_time", lateness)
         .groupBy("order_id")
-        .transformWithState(
-            OrderAssembly(horizon * 1000, dedup * 1000), _EMITTED, outputMode="append", timeMode="eventTime"
-        )
-        .withColumn("ready_at", F.timestamp_millis("ready_ms"))
-        .drop("ready_ms")
+        .transformWithState(OrderAssembly(horizon, dedup), _EMITTED, outputMode="append", timeMode="eventTime")
+        .withColumn("ready_at", F.timestamp_seconds("ready_at"))
     )
 
 
-def fold_repeats(batch: pd.DataFrame, horizon_ms: int) -> pd.DataFrame:
-    """Merge events of one product of one order into (first, last) while gaps stay within the
-    horizon: the set of products lives through such a run without a break. Orders pass as is."""
-    lines = batch[batch["kind"] == "line"]
-    if len(lines) < 2:
-        return batch
-    ids = ["order_id", "product_id"]
-    lines = lines.sort_values([*ids, "first_ms"])
-    gap = lines["first_ms"] - lines.groupby(ids, dropna=False)["last_ms"].shift()
-    run = (gap.isna() | (gap >= horizon_ms)).cumsum().rename("run")
-    latest = lines.groupby(run).tail(1)
-    latest = latest.assign(first_ms=lines.groupby(run)["first_ms"].first().to_numpy())
-    return pd.concat([batch[batch["kind"] != "line"], latest])
+def drop_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.drop_duplicates()
 
 
 class OrderAssembly(StatefulProcessor):
     """State of one order: what it announced, the products seen, and whether it is done.
 
-    The announcement lives ``horizon`` ms from the last order event and the product set
-    ``horizon`` ms from the last line. Events of the same instant are taken in together
+    The announcement lives ``horizon`` seconds from the last order event and the product set
+    ``horizon`` seconds from the last line. Events of the same second are taken in together
     before completeness is tested. One timer per order clears whatever has run out.
     """
 
@@ -98,7 +83,7 @@ class OrderAssembly(StatefulProcessor):
         products = {k[0] for k in self.products.keys()} if stored else set()
         known = set(products)
         emitted = []
-        for now, together in groupby(sorted(rows, key=lambda e: e.first_ms), key=lambda e: e.first_ms):
+        for now, together in groupby(sorted(rows, key=lambda e: e.at), key=lambda e: e.at):
             if done_until and now < done_until:
                 continue
             done_until = 0
@@ -113,12 +98,12 @@ class OrderAssembly(StatefulProcessor):
                     )
                 else:
                     products.add(event.product_id)
-                    lines_until = max(lines_until, event.last_ms + self.horizon)
+                    lines_until = max(lines_until, now + self.horizon)
             lines_alive = not products or (info and info[3] < lines_until)
             if info and lines_alive and len(products) == info[2]:
                 emitted.append(Row(
                     order_id=key[0], customer_id=info[0], payment_method_id=info[1],
-                    product_ids=sorted(products), ready_ms=now,
+                    product_ids=sorted(products), ready_at=now,
                 ))
                 info, products, lines_until, done_until = None, set(), 0, now + self.dedup
 
@@ -131,7 +116,7 @@ class OrderAssembly(StatefulProcessor):
         return iter(emitted)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs() // 1000  # no event before it can come any more
         info, lines_until, stored, done_until, _ = self._load()
         if stored and lines_until <= now:
             self.products.clear()
@@ -154,7 +139,7 @@ class OrderAssembly(StatefulProcessor):
             self.progress.clear()
             return
         if not timer:
-            self.handle.registerTimer(ends)
+            self.handle.registerTimer(ends * 1000)
             timer = ends
         self.progress.update((*(info or (None, None, 0, 0, 0)), lines_until, lines, done_until, timer))
 

@@ -12,7 +12,7 @@ from orderloom.plans import batch
 from orderloom.plans.batch import QualityError, Run, run_batch
 from orderloom.schemas import SOURCE_TABLES
 from orderloom.session import Scratch
-from orderloom.sources import append_partitioned, read_layer, read_versioned
+from orderloom.sources import append_partitioned, read_layer, read_versioned, write_versioned
 from orderloom.sources.files import list_dirs
 from orderloom.streaming.suggestions import ACCEPTED_TOPIC
 
@@ -75,13 +75,6 @@ class World:
         return read_versioned(self.spark, self.lake.gold(name))
 
 
-@pytest.fixture
-def world(spark, tmp_path):
-    made = World(spark, tmp_path)
-    made.seed()
-    return made
-
-
 def shown(world):
     """The fact under business keys."""
     products = world.gold("dim_products").select("product_key", "product_id", "unit_price")
@@ -103,8 +96,16 @@ SECOND = [
 ]
 
 
-def test_first_load_and_delta(spark, world, rows):
-    reports = run_batch(spark, world.lake, "2024-01-04")
+@pytest.fixture(scope="module")
+def loaded(spark, tmp_path_factory):
+    """A world after its first run, with that run's reports."""
+    made = World(spark, tmp_path_factory.mktemp("loaded"))
+    made.seed()
+    return made, run_batch(spark, made.lake, "2024-01-04")
+
+
+def test_first_load(spark, loaded, rows):
+    world, reports = loaded
     assert shown(world) == FIRST
     failed = rows(reports["bronze"].filter("NOT passed"), "table_name", "column_name")
     # customer b is missing (1 of 2), and the broken message has no fields at all
@@ -115,6 +116,14 @@ def test_first_load_and_delta(spark, world, rows):
     }
     assert rows(world.gold("dim_payment_method"), "method_id", "bank") == [(1, None), (9, "ACB")]
 
+
+def test_ingestion_days_do_not_go_back(spark, loaded):
+    with pytest.raises(ValueError, match="before the suggestions"):
+        run_batch(spark, loaded[0].lake, "2024-01-03")
+
+
+def test_delta_and_repetition(spark, loaded, rows):
+    world, _ = loaded
     world.delta()
     run_batch(spark, world.lake, "2024-03-02")
     # c came later on a day that was loaded already; the suggestion for a was delivered twice
@@ -127,96 +136,31 @@ def test_first_load_and_delta(spark, world, rows):
     ]
     assert rows(world.gold("dim_stores"), "store_key", "store_id") == [(0, 1), (1, 2), (2, 3)]
 
+    # A single computation over the sources gives the same lines.
+    silver = date_parts(clean.clean_orders(spark.read.parquet(f"{world.root}/source/orders")), "timestamp")
+    lines = read_layer(spark, world.lake.silver("order_details"))
+    whole = facts.build_fact(
+        silver, lines, world.gold("dim_products"), world.gold("dim_stores"), world.gold("dim_payment_method")
+    )
+    measures = ("order_id", "quantity", "subtotal")
+    assert rows(whole, *measures) == rows(world.fact(), *measures)
 
-def test_repetition_changes_nothing(spark, world, rows):
-    run_batch(spark, world.lake, "2024-01-04")
-    world.delta()
-    run_batch(spark, world.lake, "2024-03-02")
     names = ("dim_products", "dim_stores", "dim_payment_method")
-    before = shown(world), [rows(world.gold(n)) for n in names]
-    lines = rows(read_layer(spark, world.lake.silver("order_details")))
+    before = shown(world), [rows(world.gold(n)) for n in names], rows(lines)
     run_batch(spark, world.lake, "2024-03-03")
-    assert (shown(world), [rows(world.gold(n)) for n in names]) == before
-    assert rows(read_layer(spark, world.lake.silver("order_details"))) == lines
+    after = read_layer(spark, world.lake.silver("order_details"))
+    assert (shown(world), [rows(world.gold(n)) for n in names], rows(after)) == before
     assert len(list_dirs(spark, world.lake.gold("dim_products"), "snapshot")) == 2
 
 
-def test_two_runs_equal_one(spark, world, tmp_path, rows):
-    """Loading in two steps gives the lines a single computation over the sources gives."""
-    run_batch(spark, world.lake, "2024-01-04")
-    world.delta()
-    run_batch(spark, world.lake, "2024-03-02")
-    orders = spark.read.parquet(f"{world.root}/source/orders")
-    silver = date_parts(clean.clean_orders(orders), "timestamp")
-    whole = facts.build_fact(
-        silver, read_layer(spark, world.lake.silver("order_details")),
-        world.gold("dim_products"), world.gold("dim_stores"), world.gold("dim_payment_method"),
-    )
-    assert rows(whole, "order_id", "quantity", "subtotal") == rows(world.fact(), "order_id", "quantity", "subtotal")
-
-
-@pytest.mark.parametrize("layer", ["bronze", "silver"])
-def test_interrupted_between_lines_and_orders(spark, world, rows, monkeypatch, layer):
-    run_batch(spark, world.lake, "2024-01-04")
-    world.delta()
-    orders_path = getattr(world.lake, layer)("orders")
-
-    def break_before_orders(df, path):
-        if path == orders_path:
-            raise RuntimeError("executor gone")
-        append_partitioned(df, path)
-
-    monkeypatch.setattr(batch, "append_partitioned", break_before_orders)
-    with pytest.raises(RuntimeError, match="executor gone"):
-        run_batch(spark, world.lake, "2024-03-02")
-    monkeypatch.undo()
-    run_batch(spark, world.lake, "2024-03-02")
-    assert shown(world) == sorted(FIRST + SECOND)
-
-
-def test_suggestion_ahead_of_its_order(spark, world):
-    """A suggestion taken in before its order does not hide the order's own lines."""
-    run_batch(spark, world.lake, "2024-01-04")
-    world.deliver('{"order_id":"d","product_id":"P1","quantity":1,"discount_percent":20,"subtotal":1,"is_suggestion":true}')
-    world.put("orders", [("c", "2024-01-04 12:00:00", "1", "1", "9", "0")], "append")
-    run_batch(spark, world.lake, "2024-01-05")
-    world.put("orders", [("d", "2024-01-05 08:00:00", "1", "1", "9", "1")], "append")
-    world.put("order_details", [("d", "P2", "1", "0", "45000", "false")], "append")
-    run_batch(spark, world.lake, "2024-01-05")
-    assert [r for r in shown(world) if r[0] == "d"] == [
-        ("d", "P1", 1, 1, 1, "2024-01-05 08:00:00"), ("d", "P2", 1, 1, 45000, "2024-01-05 08:00:00"),
-    ]
-
-
-def test_ties_at_the_watermark(spark, world):
-    run_batch(spark, world.lake, "2024-01-04")
-    world.put("orders", [("e", "2024-01-03 10:00:00", "1", "1", "9", "1")], "append")
-    world.put("order_details", [("e", "P1", "1", "0", "30000", "false")], "append")
-    run_batch(spark, world.lake, "2024-01-04")
-    assert "e" not in {r[0] for r in shown(world)}
-    run_batch(spark, world.lake, "2024-01-04", ties="anti")
-    assert [r[0] for r in shown(world)] == ["a", "a", "b", "b", "e"]
-
-
-def test_ingestion_days_do_not_go_back(spark, world):
-    run_batch(spark, world.lake, "2024-01-04")
-    with pytest.raises(ValueError, match="before the suggestions"):
-        run_batch(spark, world.lake, "2024-01-03")
-
-
-def test_stop_on_failed_checks(spark, world):
-    with pytest.raises(QualityError, match="customer_id"):
-        run_batch(spark, world.lake, "2024-01-04", fail_on_error=True)
-
-
-def test_schema_drift_is_kept_until_accepted(spark, world, rows):
-    run_batch(spark, world.lake, "2024-01-04")
+def test_schema_drift_is_kept_until_accepted(spark, loaded, rows):
+    world, _ = loaded
     with Scratch(spark) as scratch:
-        run = Run(spark, world.lake, scratch, "2024-01-04")
+        run = Run(spark, world.lake, scratch, "2024-03-03")
         assert run.check_schemas() == {}
         path = world.lake.bronze("stores")
-        kept = spark.createDataFrame(read_layer(spark, path).withColumn("phone", F.lit("1")).collect())
-        kept.write.mode("overwrite").partitionBy("year", "month", "day").parquet(path)
+        widened = scratch.stage(read_layer(spark, path).withColumn("phone", F.lit("1")), "widened")
+        widened.write.mode("overwrite").partitionBy("year", "month", "day").parquet(path)
         drift = run.check_schemas()
         assert ("phone", "added") in rows(drift["stores"], "column_name", "change")
         assert "stores" in run.check_schemas()  # still reported
@@ -224,10 +168,48 @@ def test_schema_drift_is_kept_until_accepted(spark, world, rows):
         assert run.check_schemas() == {}
 
 
-def test_delta_format_reaches_reader_and_writer(spark, tmp_path):
-    """Where the session knows the format it is used as it is; here parquet stands in for it."""
-    from orderloom.sources import write_versioned
+def test_interruption_ties_and_early_suggestions(spark, tmp_path, monkeypatch):
+    world = World(spark, tmp_path)
+    world.seed()
+    run_batch(spark, world.lake, "2024-01-04")
+
+    # A suggestion taken in before its order does not hide the order's own lines.
+    world.deliver('{"order_id":"d","product_id":"P1","quantity":1,"discount_percent":20,"subtotal":36000,"is_suggestion":true}')
+    world.put("orders", [("c", "2024-01-03 12:00:00", "1", "1", "9", "1")], "append")
+    world.put("order_details", [("c", "P2", "1", "0", "45000", "false")], "append")
+    run_batch(spark, world.lake, "2024-01-05")
+
+    # Stopped between the lines and the orders of a layer, in both layers one after the other.
+    world.put("orders", [("d", "2024-01-05 08:00:00", "1", "1", "9", "1")], "append")
+    world.put("order_details", [("d", "P2", "1", "0", "45000", "false")], "append")
+    for layer in (world.lake.bronze, world.lake.silver):
+
+        def break_before_orders(df, path, broken=layer("orders")):
+            if path == broken:
+                raise RuntimeError("executor gone")
+            append_partitioned(df, path)
+
+        with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="executor gone"):
+            patch.setattr(batch, "append_partitioned", break_before_orders)
+            run_batch(spark, world.lake, "2024-01-05")
+    # An order at the very instant of the watermark comes in only when asked for.
+    run_batch(spark, world.lake, "2024-01-06")
+    world.put("orders", [("e", "2024-01-05 08:00:00", "1", "1", "9", "1")], "append")
+    world.put("order_details", [("e", "P1", "1", "0", "30000", "false")], "append")
+    expected = sorted(FIRST + [
+        ("c", "P2", 1, 1, 45000, "2024-01-03 12:00:00"),
+        ("d", "P1", 1, 1, 36000, "2024-01-05 08:00:00"), ("d", "P2", 1, 1, 45000, "2024-01-05 08:00:00"),
+    ])
+    assert shown(world) == expected
+    run_batch(spark, world.lake, "2024-01-06", ties="anti")
+    assert shown(world) == [*expected, ("e", "P1", 1, 1, 30000, "2024-01-05 08:00:00")]
+
+    with pytest.raises(QualityError, match="order_suggestion_accepted"):
+        run_batch(spark, world.lake, "2024-01-06", fail_on_error=True)
+
 
+def test_other_table_formats(spark, tmp_path):
+    """Where the session knows another versioned format it is used as it is; parquet stands in."""
     path = str(tmp_path / "table")
     write_versioned(spark.range(3), path, "parquet")
     assert read_versioned(spark, path, "parquet").count() == 3
