@@ -76,7 +76,7 @@ class Run:
             pending = incremental.without_lines(
                 orders, read_since(self.spark, lines_target, lower and lower[:10])
             )
-        details = read_table(self.spark, self.lake.source, "order_details")
+        details = read_table(self.spark, self.lake.source, "order_details", lower)
         append_partitioned(incremental.lines_of(pending, details), lines_target)
         append_partitioned(orders, target)
 

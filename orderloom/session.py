@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orderloom.sources.files import delete
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     # Runtime re-planning: merges small shuffle partitions, splits hot ones, and turns a
@@ -19,9 +21,7 @@ DEFAULTS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Per-order streaming state with timers needs this store.
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
+    STATE_STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

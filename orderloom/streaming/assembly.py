@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from orderloom.schemas import READY_ORDER
+from orderloom.session import DEFAULTS, STATE_STORE
 
 READY = READY_ORDER + ", ready_at timestamp"
 
@@ -43,6 +44,7 @@ def ready_orders(
     task drops what it has seen in the same second, so that an order with very many events does
     not reach its one state task event by event.
     """
+    use_rocksdb(events.sparkSession)
     timed = events.withColumns({
         "event_time": F.date_trunc("second", "event_time"), "at": F.unix_seconds("event_time"),
     })
@@ -56,6 +58,11 @@ def ready_orders(
     )
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """State with timers is kept by this store only; sessions made elsewhere may name another."""
+    spark.conf.set(STATE_STORE, DEFAULTS[STATE_STORE])
+
+
 def drop_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield batch.drop_duplicates()

@@ -276,8 +276,9 @@ def test_csv_by_position(spark, tmp_path, rows):
 def test_jdbc_options():
     source = Endpoint("jdbc", {"url": "jdbc:db:x"}, table_options={
         "orders": {"partitionColumn": "timestamp", "lowerBound": "a", "upperBound": "b", "numPartitions": "8"},
-        "order_details": {"predicates": ["p0", "p1"]},
+        "order_details": {"predicates": ["p0", "p1"], "since_query": "SELECT * FROM d WHERE at >= '{since}'"},
     })
+    assert jdbc_options(source, "order_details", T0)["dbtable"] == f"(SELECT * FROM d WHERE at >= '{T0}') recent"
     assert jdbc_options(source, "orders")["numPartitions"] == "8"
     assert jdbc_options(source, "order_details") == {
         "preferTimestampNTZ": "true", "fetchsize": "10000", "url": "jdbc:db:x", "dbtable": "order_details"
