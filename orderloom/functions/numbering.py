@@ -11,16 +11,22 @@ MAX_RANGES = 256
 
 
 def number_rows(
-    df: DataFrame, by: str, name: str, start: int = 0, one_task_rows: int = ONE_TASK_ROWS
+    df: DataFrame,
+    by: str,
+    name: str,
+    start: int = 0,
+    counted: DataFrame | None = None,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Number the rows ``start, start + 1, ...`` in the order of the unique column ``by``.
 
     Up to ``one_task_rows`` rows (counted, not guessed) are numbered by one window. Beyond that
     the key space is cut into ranges: each range is counted, then numbered on its own from the
     sum of the counts before it. The cut points affect only balance, never the numbers.
+    ``counted`` may name a frame of at least as many rows that is cheaper to count.
     """
     order = Window.orderBy(by)
-    if df.select(by).limit(one_task_rows + 1).count() <= one_task_rows:
+    if (df if counted is None else counted).select(by).limit(one_task_rows + 1).count() <= one_task_rows:
         return df.withColumn(name, F.row_number().over(order).cast("bigint") + (start - 1))
 
     bucket = _range_of(F.col(by), _cut_points(df, by))

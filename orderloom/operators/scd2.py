@@ -30,7 +30,7 @@ def _source(source: DataFrame, dim: Dimension) -> DataFrame:
 
 def initial_load(source: DataFrame, dim: Dimension) -> DataFrame:
     """First versions, with surrogate keys 0, 1, ... in the order of the business key."""
-    return _versions(number_rows(_source(source, dim), dim.key, dim.surrogate), dim)
+    return _versions(number_rows(_source(source, dim), dim.key, dim.surrogate, counted=source), dim)
 
 
 def has_updates(target: DataFrame, source: DataFrame, dim: Dimension) -> bool:

@@ -55,7 +55,7 @@ def eligible_orders(ready: DataFrame, customers: DataFrame, methods: DataFrame)
     """
 
     def admitted(ids: DataFrame, name: str) -> DataFrame:
-        return ids.select(F.col("id").cast("string").alias(name)).distinct()
+        return ids.select(F.col("id").cast("string").alias(name))
 
     return (
         ready.filter(is_present(ready, "customer_id") & is_present(ready, "payment_method_id"))

@@ -12,7 +12,6 @@ from orderloom.config import BRONZE_RULES, PAYMENT_METHOD, PRODUCTS, SILVER_RULE
 from orderloom.functions import date_parts
 from orderloom.operators import clean, facts, incremental, ingest, quality, scd2, suggest
 from orderloom.plans.driver_views import AS_OF, CUTOFF, T0, T1, DriverTables
-from orderloom.schemas import LINE_CHANGE, ORDER_CHANGE
 from orderloom.session import scratch_path
 from orderloom.sources import read_csv_dimension
 from orderloom.streaming import assembly, changes

@@ -19,8 +19,6 @@ SOURCE_TABLES = {
     ),
 }
 
-CUSTOMER_TIERS = ("regular", "silver", "gold", "diamond")
-
 # Message bodies.
 READY_ORDER = "order_id string, customer_id string, payment_method_id string, product_ids array<string>"
 SUGGESTION = (

@@ -46,7 +46,7 @@ class World:
     def seed(self):
         self.put("stores", [("1", "S1", "A1", "D1", "C1\r", T0), ("2", "S2", "A2", "D2", "C2", T0)])
         self.put("payment_method", [("1", "cash", "null\r", T0), ("9", "bank transfer", "ACB\r", T0)])
-        self.put("product_category", [("1", "Coffee", T0)])
+        self.put("product_category", [("1", "Tea", T0)])
         self.put("products", [("P1", "Black", "1", "30000", T0), ("P2", "Brown", "1", "45000", T0)])
         self.put("customers", [("1", "Ann", "0", "diamond", T0)])
         self.put("orders", [("a", "2024-01-02 10:00:00", "1", "1", "9", "1"),
