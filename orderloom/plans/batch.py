@@ -45,9 +45,18 @@ class Run:
     as_of: str
     ties: str = "strict"
 
-    def _newer(self, source, lower: str | None, ts: str, key: str, target: str, target_key: str, target_ts: str):
-        """Rows of ``source`` beyond the watermark of the table at ``target``."""
-        if lower is None or self.ties == "strict":
+    def _newer(
+        self, source: DataFrame, ts: str, target: str, lower: str | None,
+        key: str | None = None, target_key: str | None = None, target_ts: str | None = None,
+    ) -> DataFrame:
+        """Rows of ``source`` beyond ``lower``, the watermark of the table at ``target``.
+
+        Without a watermark that is everything for a new table and nothing for one that holds
+        rows but no time at all: its rows would otherwise come again with every run.
+        """
+        if lower is None:
+            return source.filter("false") if has_data(self.spark, target) else source
+        if key is None or self.ties == "strict":
             return incremental.newer_than(source, ts, lower)
         loaded = read_since(self.spark, target, lower[:10]).select(
             F.col(target_key).alias(key), F.col(target_ts).alias(ts)
@@ -67,7 +76,7 @@ class Run:
         target, lines_target = self.lake.bronze("orders"), self.lake.bronze("order_details")
         lower = latest_watermark(self.spark, target, "timestamp")
         source = read_table(self.spark, self.lake.source, "orders")
-        newer = self._newer(source, lower, "timestamp", "id", target, "id", "timestamp")
+        newer = self._newer(source, "timestamp", target, lower, "id", "id", "timestamp")
         orders = self.scratch.stage(date_parts(newer, "timestamp"), "orders")
         if orders.isEmpty():
             return
@@ -83,7 +92,8 @@ class Run:
     def load_dimension_table(self, table: str) -> None:
         target = self.lake.bronze(table)
         lower = latest_watermark(self.spark, target, "updated_at")
-        append_partitioned(incremental.new_rows(read_table(self.spark, self.lake.source, table), lower), target)
+        newer = self._newer(read_table(self.spark, self.lake.source, table), "updated_at", target, lower)
+        append_partitioned(date_parts(newer, "updated_at"), target)
 
     def load_bronze(self) -> None:
         self.load_orders()
@@ -133,7 +143,7 @@ class Run:
         lower = latest_watermark(self.spark, target, "timestamp")
         day = lower and lower[:10]
         recent = read_since(self.spark, self.lake.bronze("orders"), day)
-        orders = self._newer(recent, lower, "timestamp", "id", target, "order_id", "timestamp")
+        orders = self._newer(recent, "timestamp", target, lower, "id", "order_id", "timestamp")
         if orders.isEmpty():
             return
         suggestions = self._suggestions()
@@ -199,7 +209,7 @@ class Run:
         if grain == "day":
             orders = facts.orders_after(recent, after, grain)
         else:
-            orders = self._newer(recent, after, "timestamp", "order_id", target, "order_id", "order_date")
+            orders = self._newer(recent, "timestamp", target, after, "order_id", "order_id", "order_date")
         if orders.isEmpty():
             return
         products, stores, methods = (

@@ -383,11 +383,10 @@ def rt_assembly_stream(spark, folder):
     path = scratch_path(spark, "assembly-stream")
     orders.write.text(f"{path}/orders")
     lines.write.text(f"{path}/lines")
-    events = changes.order_events(spark.readStream.text(f"{path}/orders")).unionByName(
-        changes.line_events(spark.readStream.text(f"{path}/lines"))
-    )
+    order_feed = changes.order_events(spark.readStream.text(f"{path}/orders"))
+    line_feed = changes.line_events(spark.readStream.text(f"{path}/lines"))
     query = (
-        assembly.ready_orders(events).writeStream.format("parquet").outputMode("append")
+        assembly.ready_orders(order_feed, line_feed).writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start(f"{path}/ready")
     )
     query.awaitTermination()

@@ -72,8 +72,10 @@ def write_versioned(df: DataFrame, path: str, table_format: str = "snapshot", ke
     spark = df.sparkSession
     taken = list_dirs(spark, path, "snapshot")
     df.write.parquet(f"{path}/snapshot={taken[0][0] + 1 if taken else 1}")
-    for _, old in _complete_snapshots(spark, path)[keep:]:
-        delete(spark, old)
+    kept = {folder for _, folder in _complete_snapshots(spark, path)[:keep]}
+    for _, folder in list_dirs(spark, path, "snapshot"):
+        if folder not in kept:  # older ones, and remains of writes that failed
+            delete(spark, folder)
 
 
 def _complete_snapshots(spark: SparkSession, path: str) -> list[tuple[int, str]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import pandas as pd
@@ -32,32 +33,36 @@ _PROGRESS = (
 
 
 def ready_orders(
-    events: DataFrame,
+    *feeds: DataFrame,
     lateness: str = "120 seconds",
     horizon: int = ASSEMBLY_HORIZON,
     dedup: int = DEDUP_HORIZON,
 ) -> DataFrame:
     """Orders whose set of products has reached the announced number.
 
-    Order and line events meet on the order id in one shuffle. Times are event times in whole
+    Events of all feeds meet on the order id in one shuffle. Times are event times in whole
     seconds, as the horizons are, so a replay gives the same result. Before the shuffle each
     task drops what it has seen in the same second, so that an order with very many events does
-    not reach its one state task event by event.
+    not reach its one state task event by event. Each feed has its own watermark and the slowest
+    counts, so a feed that lags behind does not lose its events.
     """
-    use_rocksdb(events.sparkSession)
-    timed = events.withColumns({
-        "event_time": F.date_trunc("second", "event_time"), "at": F.unix_seconds("event_time"),
-    })
+    use_rocksdb(feeds[0].sparkSession)
     return (
-        timed.select([part.split()[0] for part in _TIMED.split(", ")])
-        .mapInPandas(drop_repeats, _TIMED)
-        .withWatermark("event_time", lateness)
+        reduce(DataFrame.unionByName, [_timed(feed, lateness) for feed in feeds])
         .groupBy("order_id")
         .transformWithState(OrderAssembly(horizon, dedup), _EMITTED, outputMode="append", timeMode="eventTime")
         .withColumn("ready_at", F.timestamp_seconds("ready_at"))
     )
 
 
+def _timed(feed: DataFrame, lateness: str) -> DataFrame:
+    timed = feed.withColumns({
+        "event_time": F.date_trunc("second", "event_time"), "at": F.unix_seconds("event_time"),
+    })
+    columns = [part.split()[0] for part in _TIMED.split(", ")]
+    return timed.select(columns).mapInPandas(drop_repeats, _TIMED).withWatermark("event_time", lateness)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """State with timers is kept by this store only; sessions made elsewhere may name another."""
     spark.conf.set(STATE_STORE, DEFAULTS[STATE_STORE])

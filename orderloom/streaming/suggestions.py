@@ -39,11 +39,13 @@ def references(customers: DataFrame, methods: DataFrame, products: DataFrame) ->
     )
 
 
-def ready_from_changes(spark: SparkSession, topics: Endpoint, prefix: str = "", **options) -> DataFrame:
+def ready_from_changes(
+    spark: SparkSession, topics: Endpoint, prefix: str = "", lateness: str = "120 seconds", **options
+) -> DataFrame:
     """The change feeds of orders and lines, assembled."""
     orders = changes.order_events(stream_topic(spark, topics, prefix + ORDER_CHANGES, **options))
     lines = changes.line_events(stream_topic(spark, topics, prefix + LINE_CHANGES, **options))
-    return assembly.ready_orders(orders.unionByName(lines))
+    return assembly.ready_orders(orders, lines, lateness=lateness)
 
 
 def ready_from_topic(spark: SparkSession, topics: Endpoint, lateness: str = "100 seconds", **options) -> DataFrame:
@@ -71,14 +73,16 @@ def publish(
 ) -> DataStreamWriter:
     """Suggest a product for every eligible ready order, to both suggestion topics.
 
-    ``load`` is called once per micro-batch, so customers, methods and products added since
+    ``load`` is called once per micro-batch with orders, so customers, methods and products added since
     the last one count. The suggestions of a batch are kept while both topics are written.
     """
 
     def batch(orders: DataFrame, number: int) -> None:
-        refs = load()
         orders = orders.select("order_id", "customer_id", "payment_method_id", "product_ids").persist()
         try:
+            if orders.isEmpty():
+                return
+            refs = load()
             eligible = suggest.eligible_orders(orders, refs.customers, refs.methods)
             suggestions = suggest.recommend(eligible, refs.catalogue).persist()
             try:

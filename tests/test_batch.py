@@ -48,7 +48,7 @@ class World:
         self.put("payment_method", [("1", "cash", "null\r", T0), ("9", "bank transfer", "ACB\r", T0)])
         self.put("product_category", [("1", "Tea", T0)])
         self.put("products", [("P1", "Black", "1", "30000", T0), ("P2", "Brown", "1", "45000", T0)])
-        self.put("customers", [("1", "Ann", "0", "diamond", T0)])
+        self.put("customers", [("1", "Ann", "0", "diamond", None)])
         self.put("orders", [("a", "2024-01-02 10:00:00", "1", "1", "9", "1"),
                             ("b", "2024-01-03 10:00:00", None, "2", "1", "2")])
         self.put("order_details", [("a", "P1", "1", "0", "30000", "false"), ("b", "P1", "2", "0", "60000", "false"),
@@ -145,6 +145,9 @@ def test_delta_and_repetition(spark, loaded, rows):
     measures = ("order_id", "quantity", "subtotal")
     assert rows(whole, *measures) == rows(world.fact(), *measures)
 
+    # A table without any time is loaded once and not again.
+    assert read_layer(spark, world.lake.bronze("customers")).count() == 1
+
     names = ("dim_products", "dim_stores", "dim_payment_method")
     before = shown(world), [rows(world.gold(n)) for n in names], rows(lines)
     run_batch(spark, world.lake, "2024-03-03")
@@ -208,6 +211,17 @@ def test_interruption_ties_and_early_suggestions(spark, tmp_path, monkeypatch):
         run_batch(spark, world.lake, "2024-01-06", fail_on_error=True)
 
 
+def test_failed_snapshots_do_not_count(spark, tmp_path):
+    path = str(tmp_path / "table")
+    write_versioned(spark.range(1), path)
+    spark.range(9).write.parquet(f"{path}/snapshot=2")
+    (tmp_path / "table/snapshot=2/_SUCCESS").unlink()
+    assert read_versioned(spark, path).count() == 1
+    write_versioned(read_versioned(spark, path).union(spark.range(1)), path)  # reads what it replaces
+    assert read_versioned(spark, path).count() == 2
+    assert [n for n, _ in list_dirs(spark, path, "snapshot")] == [3, 1]
+
+
 def test_other_table_formats(spark, tmp_path):
     """Where the session knows another versioned format it is used as it is; parquet stands in."""
     path = str(tmp_path / "table")

@@ -229,6 +229,28 @@ def suggestions_schema():
     return SUGGESTION
 
 
+def test_a_lagging_feed_loses_nothing(spark, tmp_path):
+    """The order feed runs 500 seconds ahead of the line feed; the late line still completes."""
+    def step(topic, number, at, after):
+        os.makedirs(f"{tmp_path}/{topic}", exist_ok=True)
+        file = f"{tmp_path}/{topic}/{number}.json"
+        with open(file, "w") as out:
+            out.write(json.dumps({"payload": {"op": "c", "ts_ms": (BASE + at) * 1000, "after": after}}) + "\n")
+        os.utime(file, (BASE + number, BASE + number))
+
+    for number, (name, at) in enumerate([("o1", 0), ("x", 500), ("y", 501)]):
+        step("orders", number, at, {"id": name, "customer_id": 1, "payment_method_id": 9, "num_products": 1})
+    for number, (name, at) in enumerate([("z", 0), ("z", 1), ("o1", 10)]):
+        step("order_details", number, at, {"order_id": name, "product_id": "P1"})
+    topics = Endpoint("text", path=str(tmp_path))
+    query = (
+        suggestions.ready_from_changes(spark, topics, maxFilesPerTrigger=1).writeStream.format("memory")
+        .queryName("lagging").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert [r.order_id for r in spark.table("lagging").collect()] == ["o1"]
+
+
 def test_ready_orders_announced_twice_count_once(spark, tmp_path, rows):
     topics = Endpoint("text", path=str(tmp_path))
     os.makedirs(f"{tmp_path}/order_ready_for_checking")
