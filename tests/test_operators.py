@@ -344,3 +344,9 @@ def test_assembly_counts_products_once(spark, rows):
     assert rows(suggest.assemble_orders(heads, lines), "order_id", "customer_id", "product_ids") == [
         ("a", "1", ["P1", "P2"]), ("c", "1", []), ("e", None, ["P1"])
     ]
+
+
+def test_large_numbering_has_no_one_task_stage(spark):
+    df = spark.range(3000).select(F.col("id").alias("k"))
+    plan = number_rows(df, "k", "n", one_task_rows=10)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
