@@ -163,7 +163,7 @@ class Run:
         Delivery days never go back and a run takes all suggestions there are, so those of
         earlier days are all in. Usually the first day looked at decides.
         """
-        for day in day_folders(self.spark, self.lake.bronze(ACCEPTED_TOPIC)):
+        for day, _ in day_folders(self.spark, self.lake.bronze(ACCEPTED_TOPIC)):
             y, m, d = (int(part) for part in day.split("-"))
             folder = f"{lines_target}/year={y}/month={m}/day={d}"
             if has_data(self.spark, folder) and clean.any_taken(

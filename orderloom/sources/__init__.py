@@ -1,4 +1,4 @@
-from .files import day_folders, has_data, latest_watermark, list_dirs
+from .files import day_folders, has_data, latest_watermark, list_dirs, newest_day
 from .layers import (
     append_partitioned,
     overwrite,
@@ -13,7 +13,7 @@ from .topics import from_topic, read_topic, stream_topic, to_messages, write_top
 from .csv import read_csv_dimension
 
 __all__ = [
-    "accept_schema", "append_partitioned", "day_folders", "from_topic", "has_data", "latest_watermark", "list_dirs",
+    "accept_schema", "append_partitioned", "day_folders", "from_topic", "has_data", "latest_watermark", "list_dirs", "newest_day",
     "overwrite", "read_csv_dimension", "read_layer", "read_since", "read_table", "read_topic", "read_versioned",
     "stored_schema", "stream_topic", "to_messages", "write_topic", "write_versioned",
 ]

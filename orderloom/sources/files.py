@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -47,27 +49,27 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
-def day_folders(spark: SparkSession, path: str) -> dict[str, str]:
-    """Day (as text) to folder of a table laid out by date, newest first."""
-    return {
-        f"{y:04}-{m:02}-{d:02}": folder
-        for y, year in list_dirs(spark, path, "year")
-        for m, month in list_dirs(spark, year, "month")
-        for d, folder in list_dirs(spark, month, "day")
-    }
+def day_folders(spark: SparkSession, path: str) -> Iterator[tuple[str, str]]:
+    """Days (as text) and folders of a table laid out by date, newest first, listed as needed."""
+    for y, year in list_dirs(spark, path, "year"):
+        for m, month in list_dirs(spark, year, "month"):
+            for d, folder in list_dirs(spark, month, "day"):
+                yield f"{y:04}-{m:02}-{d:02}", folder
+
+
+def newest_day(spark: SparkSession, path: str) -> str | None:
+    return next((day for day, _ in day_folders(spark, path)), None)
 
 
 def latest_watermark(spark: SparkSession, path: str, ts: str) -> str | None:
     """Largest ``ts`` of a table laid out by the date of ``ts``, as text.
 
-    Walks down to the newest day instead of scanning the table: three folder listings and one
+    Looks into the newest day instead of scanning the table: three folder listings and one
     day's column, however long the history is.
     """
-    for _, year in list_dirs(spark, path, "year"):
-        for _, month in list_dirs(spark, year, "month"):
-            for _, day in list_dirs(spark, month, "day"):
-                if has_data(spark, day):
-                    found = spark.read.parquet(day).agg(F.max(ts).cast("string")).first()[0]
-                    if found is not None:
-                        return found
+    for _, folder in day_folders(spark, path):
+        if has_data(spark, folder):
+            found = spark.read.parquet(folder).agg(F.max(ts).cast("string")).first()[0]
+            if found is not None:
+                return found
     return None

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import takewhile
+
 from pyspark.sql import DataFrame, SparkSession
 
 from orderloom.schemas import DATE_PARTS
-from orderloom.sources.files import delete, exists, has_data, list_dirs
+from orderloom.sources.files import day_folders, delete, exists, has_data, list_dirs
 
 
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
@@ -17,14 +19,8 @@ def read_since(spark: SparkSession, path: str, day: str | None) -> DataFrame:
     read, so the cost follows the news and not the history."""
     if day is None:
         return read_layer(spark, path)
-    first = tuple(int(part) for part in day.split("-"))
-    days = [
-        folder
-        for y, year in list_dirs(spark, path, "year") if y >= first[0]
-        for m, month in list_dirs(spark, year, "month") if (y, m) >= first[:2]
-        for d, folder in list_dirs(spark, month, "day") if (y, m, d) >= first
-    ]
-    days = [folder for folder in days if has_data(spark, folder)]
+    recent = takewhile(lambda found: found[0] >= day, day_folders(spark, path))
+    days = [folder for _, folder in recent if has_data(spark, folder)]
     if not days:
         return read_layer(spark, path).filter("false")
     return spark.read.option("basePath", path).parquet(*days)

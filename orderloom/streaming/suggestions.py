@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from orderloom.config import Endpoint, Lake
 from orderloom.operators import ingest, suggest
 from orderloom.schemas import DATE_PARTS
-from orderloom.sources.files import day_folders, has_data
+from orderloom.sources.files import has_data, newest_day
 from orderloom.sources.topics import parsed, stream_topic, to_messages, write_topic
 from orderloom.streaming import assembly, changes
 
@@ -100,11 +101,16 @@ def load_suggestions(spark: SparkSession, lake: Lake, as_of: str | None = None)
     """Append the suggestions accepted since the last run to the raw layer, then stop.
 
     The progress folder remembers how far the topic was read, so nothing is loaded twice.
-    Ingestion days must not go back: the conformed layer relies on their order.
+    Ingestion days must neither go back nor lie before the orders (but for one day, as clocks
+    differ): later steps rely on it to leave older folders unread.
     """
-    newest = next(iter(day_folders(spark, lake.bronze(ACCEPTED_TOPIC))), None)
-    if as_of is not None and newest is not None and as_of < newest:
-        raise ValueError(f"as_of {as_of} lies before the suggestions already loaded on {newest}")
+    if as_of is not None:
+        newest = newest_day(spark, lake.bronze(ACCEPTED_TOPIC))
+        if newest is not None and as_of < newest:
+            raise ValueError(f"as_of {as_of} lies before the suggestions already loaded on {newest}")
+        ordered = newest_day(spark, lake.bronze("orders"))
+        if ordered is not None and date.fromisoformat(as_of) + timedelta(days=1) < date.fromisoformat(ordered):
+            raise ValueError(f"as_of {as_of} lies before the orders of {ordered}")
     if lake.topics.format != "kafka" and not has_data(spark, f"{lake.topics.path}/{ACCEPTED_TOPIC}"):
         return None
     options = {"startingOffsets": "earliest"} if lake.topics.format == "kafka" else {}

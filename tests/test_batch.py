@@ -122,6 +122,13 @@ def test_ingestion_days_do_not_go_back(spark, loaded):
         run_batch(spark, loaded[0].lake, "2024-01-03")
 
 
+def test_suggestions_do_not_come_in_before_their_orders(spark, tmp_path):
+    world = World(spark, tmp_path)
+    world.seed()
+    with pytest.raises(ValueError, match="before the orders"):
+        run_batch(spark, world.lake, "2024-01-01")
+
+
 def test_delta_and_repetition(spark, loaded, rows):
     world, _ = loaded
     world.delta()
