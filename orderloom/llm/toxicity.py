@@ -77,7 +77,7 @@ def learn_lexicon(texts: DataFrame, settings: Settings) -> Lexicon:
     counts = (
         texts.select("toxic", F.explode(F.array_distinct(forms)).alias("term")).groupBy("term")
         .agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
-        .where(F.col("p") >= max(2, toxic // 200))
+        .where(F.col("p") >= max(3, toxic // 100))
     )
     ratio = F.log(((F.col("p") + 0.5) / (toxic + 1)) / ((F.col("n") + 0.5) / (other + 1)))
     best = counts.withColumn("ratio", ratio).where(F.col("ratio") >= F.log(F.lit(settings.least_ratio)))
