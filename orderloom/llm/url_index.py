@@ -97,9 +97,10 @@ def _ship(spark: SparkSession, rows: DataFrame) -> str:
     write_index(((r["key"], r["blocked"]) for r in rows.toLocalIterator()), path)
     with open(path, "rb") as f:
         name = f"url-index-{hashlib.file_digest(f, 'sha256').hexdigest()}"
-    named = os.path.join(folder, name)
-    os.rename(path, named)
-    spark.sparkContext.addFile(named)
+    if not any(f.rpartition("/")[2] == name for f in spark.sparkContext.listFiles):  # else it is there already
+        named = os.path.join(folder, name)
+        os.rename(path, named)
+        spark.sparkContext.addFile(named)
     return name
 
 
