@@ -20,64 +20,54 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import staged
+from orderloom.llm.common import Remembered, staged
 
 WINDOW = 2048
 CLOSING = 1
 SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 48  # of a seed's terms, those that weigh most ask the index
 K1, B = 1.2, 0.75
-SPECIAL = b"<|"
-BETWEEN = "<|endoftext|>"
 
 
 class WordTokens:
-    """Token ids by word, as 16-bit bytes. The tokeniser drops white space and never joins across it,
-    so a text's ids are those of its words in order; new words are encoded together, set apart by a
-    special token."""
+    """Token ids by word, as 16-bit bytes. The tokeniser drops white space and never joins across it, so a
+    text's ids are those of its words in order. Each distinct word is worked out once, and so is each run of
+    letters or signs in words of usual characters; any other word goes through the whole tokeniser."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    #: Characters that the tokeniser's normal form leaves alone, but for their case.
+    USUAL = regex.compile("[!-~\u00a1-\u024f--\u0130]+", regex.V1)
+    #: Fixed value: the tokeniser's own pattern for runs.
+    RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    SPECIAL = "<|"
+
+    def __init__(self, path: str, words: int = 1_500_000, runs: int = 750_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.mark = self.tokenizer.token_to_id(BETWEEN)
-        self.known: dict[bytes, bytes] = {}
-        self.most = most
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known = {}
-        plain = [w for w in words if SPECIAL not in w]
-        for w in words:
-            if SPECIAL in w:
-                self.known[w] = self._ids(w.decode()).tobytes()
-        for at in range(0, len(plain), 2000):
-            some = plain[at:at + 2000]
-            ids = self._ids(BETWEEN.join(w.decode() for w in some))
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(some, ends, strict=True):
-                self.known[w] = raw[2 * start:2 * end]
-                start = end + 1
-
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.encode().split() for t in texts]
-        new = set().union(*split).difference(self.known) if split else set()
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = set().union(*split)
-        self.learn(new)
-        get = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        self.model = self.tokenizer.model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        self.runs = Remembered(self._run, runs)
+        self.words = Remembered(self._word, words)
+
+    def _run(self, run: str) -> bytes:
+        letters = run.encode().decode("latin-1").translate(self.shown)
+        return np.array([t.id for t in self.model.tokenize(letters)], "<u2").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.USUAL.fullmatch(text) and self.SPECIAL not in text:
+            return b"".join([self.runs[r] for r in self.RUN.findall(text.lower())])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, text.encode().split()))
 
 
 @lru_cache(2)
@@ -94,7 +84,8 @@ def tokenised(docs: DataFrame, path: str, id: str, text: str) -> DataFrame:
             for start in range(0, batch.num_rows, 250):
                 part = batch.slice(start, 250)
                 ids, counts, keys = [], [], []
-                for raw in known.texts([t or "" for t in part.column(1).to_pylist()]):
+                for text in part.column(1).to_pylist():
+                    raw = known.ids(text or "")
                     tokens = np.frombuffer(raw, "<u2")
                     ids.append(raw + closing)
                     counts.append(len(tokens) + 1)
