@@ -15,6 +15,7 @@ piece; an empty table gives an empty result. Only the named columns are read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ from orderloom.llm.common import Remembered, staged
 WINDOW = 2048
 CLOSING = 1
 SHARD_TOKENS = 2_000_000
-QUERY_TERMS = 48  # of a seed's terms, those that weigh most ask the index
+QUERY_TERMS = 24  # of a seed's terms, those that weigh most ask the index
 K1, B = 1.2, 0.75
 
 
@@ -57,17 +58,28 @@ class WordTokens:
         self.words = Remembered(self._word, words)
 
     def _run(self, run: str) -> bytes:
-        letters = run.encode().decode("latin-1").translate(self.shown)
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u2").tobytes()
+        letters = run if run.isascii() else run.encode().decode("latin-1").translate(self.shown)
+        return array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if self.USUAL.fullmatch(text) and self.SPECIAL not in text:
+        if text.isascii():
+            if text.isalpha():
+                return self.runs[text.lower()]
+            usual = text.isprintable()
+        else:
+            usual = self.USUAL.fullmatch(text)
+        if usual and self.SPECIAL not in text:
             return b"".join([self.runs[r] for r in self.RUN.findall(text.lower())])
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.encode().split()))
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text. Words that the texts share are looked up once: a small table stays in the processor's cache."""
+        split = [t.encode().split() for t in texts]
+        known = self.words
+        here = {w: known[w] for w in set().union(*split)}
+        for words in split:
+            yield b"".join(map(here.__getitem__, words))
 
 
 @lru_cache(2)
@@ -84,8 +96,7 @@ def tokenised(docs: DataFrame, path: str, id: str, text: str) -> DataFrame:
             for start in range(0, batch.num_rows, 250):
                 part = batch.slice(start, 250)
                 ids, counts, keys = [], [], []
-                for text in part.column(1).to_pylist():
-                    raw = known.ids(text or "")
+                for raw in known.ids([t or "" for t in part.column(1).to_pylist()]):
                     tokens = np.frombuffer(raw, "<u2")
                     ids.append(raw + closing)
                     counts.append(len(tokens) + 1)
