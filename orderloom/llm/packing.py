@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,13 +74,20 @@ class WordTokens:
             return b"".join([self.runs[r] for r in self.RUN.findall(text.lower())])
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text. Words that the texts share are looked up once: a small table stays in the processor's cache."""
-        split = [t.encode().split() for t in texts]
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the last ends). Every distinct word is looked up once."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
         known = self.words
-        here = {w: known[w] for w in set().union(*split)}
-        for words in split:
-            yield b"".join(map(here.__getitem__, words))
+        raws = [known[w] for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+        tokens = np.frombuffer(b"".join(raws), "<u2")
+        lengths = np.fromiter(map(len, raws), np.int32, len(raws)) // 2
+        word = coded.indices.to_numpy()
+        counts = lengths[word]
+        ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int32)))
+        shift = (np.cumsum(lengths, dtype=np.int32) - lengths)[word] - ends[:-1]
+        found = tokens[np.arange(ends[-1], dtype=np.int32) + np.repeat(shift, counts)]
+        return found, ends[split.offsets.to_numpy()]
 
 
 @lru_cache(2)
@@ -93,17 +101,15 @@ def tokenised(docs: DataFrame, path: str, id: str, text: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]):
         known, closing = word_tokens(path), np.array([CLOSING], "<u2").tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 250):
-                part = batch.slice(start, 250)
-                ids, counts, keys = [], [], []
-                for raw in known.ids([t or "" for t in part.column(1).to_pylist()]):
-                    tokens = np.frombuffer(raw, "<u2")
-                    ids.append(raw + closing)
-                    counts.append(len(tokens) + 1)
-                    mixed = tokens.astype(np.uint32) * np.uint32(2654435761)
-                    keys.append(int(mixed.min()) if len(tokens) else 0)
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                tokens, ends = known.ids(part.column(1))
+                first, last = ends[:-1], ends[1:]
+                mixed = np.append(tokens, np.uint16(0)).astype(np.uint32) * np.uint32(2654435761)
+                keys = np.where(last > first, np.minimum.reduceat(mixed, first), 0)
+                ids = [tokens[a:b].tobytes() + closing for a, b in zip(first.tolist(), last.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, pa.int64())],
+                    [part.column(0), pa.array(ids, pa.binary()), pa.array((last - first + 1).astype(np.int64)), pa.array(keys.astype(np.int64))],
                     [id, "ids", "doc_tokens", "lexical_key"],
                 )
 
