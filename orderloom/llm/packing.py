@@ -46,7 +46,7 @@ class WordTokens:
     RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     SPECIAL = "<|"
 
-    def __init__(self, path: str, words: int = 1_500_000, runs: int = 750_000):
+    def __init__(self, path: str, words: int = 700_000, runs: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
