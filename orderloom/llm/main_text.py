@@ -191,6 +191,9 @@ LABELLED: tuple[tuple[tuple[str, int], ...], ...] = (
      ('<div class="share"><a href="/s">Share this</a></div>', 0), (f"<p><a href='/z'>{_MID}</a></p><p>{_MID}</p></article>", 1),
      ('<div class="newsletter">Get our letter every morning in your mail and read what matters most to you.</div>', 0)),
     ((f'<nav class="top"><a href="/1">One</a> <a href="/2">Two</a></nav><article>', 0), ("<h1>Ode</h1><p>Blue.</p><p>Green and gold.</p>", 1), ("</article><footer>Contact us by mail</footer>", 0)),
+    (('<nav><a href="/">Home</a></nav><article>', 0), ("<h2>Notes</h2><p>See <a href='/q'>this</a> here.</p>", 1), ("<aside>Not this one</aside>", 0),
+     ("<p>Third <a href='/q'>link</a> here.</p><p><a href='/w'>Only a link</a></p><p>No.</p>", 1), ('<form>Your mail</form><div class="ad">Win</div>', 0),
+     (f"<p>{_LONG}</p><ul><li><a href='/e'>A source</a></li><li>Another</li></ul></article>", 1), ('<div class="comments"><p>Nice.</p></div>', 0)),
 )
 
 

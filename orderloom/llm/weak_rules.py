@@ -129,8 +129,8 @@ class Weights:
 
 #: What is believed of a rule before any text is seen, worth BELIEF texts: how often it votes bad, nothing and good.
 BELIEF = 20.0
-ON_GOOD = {-1: 0.01, 0: 0.14, 1: 0.85}
-ON_BAD = {-1: 0.40, 0: 0.20, 1: 0.40}
+ON_GOOD = {-1: 0.01, 0: 0.49, 1: 0.50}
+ON_BAD = {-1: 0.30, 0: 0.45, 1: 0.25}
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> Weights:
