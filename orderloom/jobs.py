@@ -38,7 +38,7 @@ STEPS: dict[str, Callable[[Run], object]] = {
 
 def _show(*reports: DataFrame) -> None:
     for report in reports:
-        report.show(200, truncate=False)
+        report.show(report.count(), truncate=False)  # a row per rule or column
 
 
 def lake_from(document: dict) -> Lake:

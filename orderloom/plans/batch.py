@@ -21,7 +21,7 @@ from orderloom.schemas import ACCEPTED_SUGGESTION
 from orderloom.session import Scratch
 from orderloom.sources import (
     accept_schema, append_partitioned, day_folders, has_data, latest_watermark, overwrite, read_layer, read_table,
-    read_since, read_versioned, stored_schema, write_versioned,
+    read_since, read_versioned, settle_append, stored_schema, write_versioned,
 )
 from orderloom.sources.layers import versioned_exists
 from orderloom.streaming.suggestions import ACCEPTED_TOPIC, load_suggestions
@@ -35,8 +35,8 @@ class QualityError(RuntimeError):
 class Run:
     """One batch run over a lake.
 
-    ``as_of`` is the business date. ``ties="anti"`` also looks for unseen orders at the very
-    instant of a watermark, which a strict comparison passes over.
+    ``as_of`` is the business date. ``ties="anti"`` also looks for unseen orders and dimension rows
+    at the very instant of a watermark, which a strict comparison passes over.
     """
 
     spark: SparkSession
@@ -63,6 +63,11 @@ class Run:
         )
         return incremental.newer_than(source, ts, lower, ties=self.ties, target=loaded, key=key)
 
+    def _settle(self, *paths: str) -> None:
+        """End appends of an earlier run that were cut short, before watermarks are read."""
+        for path in paths:
+            settle_append(self.spark, path)
+
     # Raw layer
 
     def load_orders(self) -> None:
@@ -74,6 +79,7 @@ class Run:
         already arrived are recognised.
         """
         target, lines_target = self.lake.bronze("orders"), self.lake.bronze("order_details")
+        self._settle(target, lines_target)
         lower = latest_watermark(self.spark, target, "timestamp")
         source = read_table(self.spark, self.lake.source, "orders")
         newer = self._newer(source, "timestamp", target, lower, "id", "id", "timestamp")
@@ -91,8 +97,10 @@ class Run:
 
     def load_dimension_table(self, table: str) -> None:
         target = self.lake.bronze(table)
+        self._settle(target)
         lower = latest_watermark(self.spark, target, "updated_at")
-        newer = self._newer(read_table(self.spark, self.lake.source, table), "updated_at", target, lower)
+        source = read_table(self.spark, self.lake.source, table)
+        newer = self._newer(source, "updated_at", target, lower, "id", "id", "updated_at")
         append_partitioned(date_parts(newer, "updated_at"), target)
 
     def load_bronze(self) -> None:
@@ -140,6 +148,7 @@ class Run:
     def build_silver_facts(self) -> None:
         """New orders, their lines, and suggestions not taken in yet; again orders last."""
         target, lines_target = self.lake.silver("orders"), self.lake.silver("order_details")
+        self._settle(target, lines_target)
         lower = latest_watermark(self.spark, target, "timestamp")
         day = lower and lower[:10]
         recent = read_since(self.spark, self.lake.bronze("orders"), day)
@@ -203,6 +212,7 @@ class Run:
         that differ.
         """
         target = self.lake.gold("fact_orders")
+        self._settle(target)
         after = latest_watermark(self.spark, target, "order_date")
         day = after and after[:10]
         recent = read_since(self.spark, self.lake.silver("orders"), day)
@@ -257,4 +267,4 @@ def _stop_if_failed(reports: dict[str, DataFrame], fail_on_error: bool) -> None:
     for name, report in reports.items():
         failed = report.filter("NOT passed") if "passed" in report.columns else report
         if not failed.isEmpty():
-            raise QualityError(f"{name}: {failed.limit(20).collect()}")
+            raise QualityError(f"{name}: {failed.collect()}")

@@ -5,6 +5,7 @@ from .layers import (
     read_layer,
     read_since,
     read_versioned,
+    settle_append,
     write_versioned,
 )
 from .relational import read_table
@@ -15,5 +16,5 @@ from .csv import read_csv_dimension
 __all__ = [
     "accept_schema", "append_partitioned", "day_folders", "from_topic", "has_data", "latest_watermark", "list_dirs", "newest_day",
     "overwrite", "read_csv_dimension", "read_layer", "read_since", "read_table", "read_topic", "read_versioned",
-    "stored_schema", "stream_topic", "to_messages", "write_topic", "write_versioned",
+    "settle_append", "stored_schema", "stream_topic", "to_messages", "write_topic", "write_versioned",
 ]

@@ -44,6 +44,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file, there or not there: what it vouches for has been written."""
+    fs, target = _open(spark, path)
+    fs.create(target, True).close()
+
+
+def move_below(spark: SparkSession, source: str, target: str) -> None:
+    """Move the data files below ``source`` to the same places below ``target``. May be repeated."""
+    fs, top = _open(spark, source)
+    if not fs.exists(top):
+        return
+    base = len(fs.makeQualified(top).toString())
+    files = fs.listFiles(top, True)
+    while files.hasNext():
+        found = files.next().getPath()
+        below = found.toString()[base:].lstrip("/")
+        if found.getName().startswith(("_", ".")):
+            continue
+        _, place = _open(spark, f"{target}/{below}")
+        fs.mkdirs(place.getParent())
+        if not fs.rename(found, place):
+            raise OSError(f"could not move {found} to {place}")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, target = _open(spark, path)
     fs.delete(target, True)

@@ -7,7 +7,7 @@ from itertools import takewhile
 from pyspark.sql import DataFrame, SparkSession
 
 from orderloom.schemas import DATE_PARTS
-from orderloom.sources.files import day_folders, delete, exists, has_data, list_dirs
+from orderloom.sources.files import day_folders, delete, exists, has_data, list_dirs, mark, move_below
 
 
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
@@ -26,13 +26,37 @@ def read_since(spark: SparkSession, path: str, day: str | None) -> DataFrame:
     return spark.read.option("basePath", path).parquet(*days)
 
 
+COMMITTED = "_COMMITTED"
+PENDING = "_pending"  # readers pass over names with an underscore
+
+
 def append_partitioned(df: DataFrame, path: str) -> None:
-    """Append by year, month and day.
+    """Append by year, month and day, all of it or nothing.
+
+    The rows are written beside the table and committed by one small file, and only then moved
+    in. What an interruption leaves is settled by ``settle_append``: a committed append is
+    moved in to its end, any other is dropped.
 
     The rebalance hint gathers each day's rows so that no task writes a sliver into every
     folder, and splits a day that is too large for one task over several.
     """
-    df.hint("rebalance", *DATE_PARTS).write.partitionBy(*DATE_PARTS).mode("append").parquet(path)
+    spark, pending = df.sparkSession, f"{path}/{PENDING}"
+    if exists(spark, f"{pending}/{COMMITTED}"):
+        raise RuntimeError(f"{path} holds a committed append; settle it before reading what to append")
+    delete(spark, pending)
+    df.hint("rebalance", *DATE_PARTS).write.partitionBy(*DATE_PARTS).parquet(f"{pending}/data")
+    mark(spark, f"{pending}/{COMMITTED}")
+    settle_append(spark, path)
+
+
+def settle_append(spark: SparkSession, path: str) -> None:
+    """End an append that was cut short. To be called before a step reads its target."""
+    pending = f"{path}/{PENDING}"
+    if not exists(spark, pending):
+        return
+    if exists(spark, f"{pending}/{COMMITTED}"):
+        move_below(spark, f"{pending}/data", path)
+    delete(spark, pending)
 
 
 def overwrite(df: DataFrame, path: str) -> None:
@@ -59,20 +83,26 @@ def versioned_exists(spark: SparkSession, path: str, table_format: str = "snapsh
 def write_versioned(df: DataFrame, path: str, table_format: str = "snapshot", keep: int = 2) -> None:
     """Replace a versioned table. ``df`` may read the table it replaces.
 
-    A snapshot counts once Spark has committed it, so readers see the old state or the new one
-    and a failed write leaves the old one in place.
+    A snapshot counts once its commit file is there, written after its data, so readers see the
+    old state or the new one and a failed write leaves the old one in place. The newest ``keep``
+    committed states stay; older ones and remains of failed writes before them go.
     """
     if table_format != "snapshot":
         df.write.format(table_format).mode("overwrite").save(path)
         return
     spark = df.sparkSession
     taken = list_dirs(spark, path, "snapshot")
-    df.write.parquet(f"{path}/snapshot={taken[0][0] + 1 if taken else 1}")
-    kept = {folder for _, folder in _complete_snapshots(spark, path)[:keep]}
-    for _, folder in list_dirs(spark, path, "snapshot"):
-        if folder not in kept:  # older ones, and remains of writes that failed
+    number = taken[0][0] + 1 if taken else 1
+    df.write.parquet(f"{path}/snapshot={number}")
+    mark(spark, f"{path}/snapshot={number}/{COMMITTED}")
+    complete = _complete_snapshots(spark, path)
+    if not complete or complete[0][0] < number:
+        raise RuntimeError(f"snapshot {number} of {path} was not committed")
+    kept = {n for n, _ in complete[:keep]}
+    for n, folder in list_dirs(spark, path, "snapshot"):
+        if n < number and n not in kept:
             delete(spark, folder)
 
 
 def _complete_snapshots(spark: SparkSession, path: str) -> list[tuple[int, str]]:
-    return [(n, p) for n, p in list_dirs(spark, path, "snapshot") if exists(spark, f"{p}/_SUCCESS")]
+    return [(n, p) for n, p in list_dirs(spark, path, "snapshot") if exists(spark, f"{p}/{COMMITTED}")]

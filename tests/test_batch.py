@@ -222,7 +222,6 @@ def test_failed_snapshots_do_not_count(spark, tmp_path):
     path = str(tmp_path / "table")
     write_versioned(spark.range(1), path)
     spark.range(9).write.parquet(f"{path}/snapshot=2")
-    (tmp_path / "table/snapshot=2/_SUCCESS").unlink()
     assert read_versioned(spark, path).count() == 1
     write_versioned(read_versioned(spark, path).union(spark.range(1)), path)  # reads what it replaces
     assert read_versioned(spark, path).count() == 2
@@ -234,3 +233,45 @@ def test_other_table_formats(spark, tmp_path):
     path = str(tmp_path / "table")
     write_versioned(spark.range(3), path, "parquet")
     assert read_versioned(spark, path, "parquet").count() == 3
+
+
+def test_an_append_cut_short_is_settled(spark, tmp_path, monkeypatch):
+    from orderloom.sources import layers
+
+    path = str(tmp_path / "table")
+    rows = spark.createDataFrame([(i, 2024, 1, 1 + i % 3) for i in range(9)], "id int, year int, month int, day int")
+    append_partitioned(rows.where("id < 3"), path)
+
+    def broken(*_):
+        raise RuntimeError("driver gone")
+
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="driver gone"):
+        patch.setattr(layers, "mark", broken)  # data written, not committed
+        append_partitioned(rows.where("id >= 3"), path)
+    assert read_layer(spark, path).count() == 3
+    layers.settle_append(spark, path)
+    assert read_layer(spark, path).count() == 3
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="driver gone"):
+        patch.setattr(layers, "settle_append", broken)  # committed, not moved in
+        append_partitioned(rows.where("id >= 3"), path)
+    moved = sorted((tmp_path / "table/_pending/data").rglob("part-*.parquet"))[0]
+    place = tmp_path / "table" / moved.relative_to(tmp_path / "table/_pending/data")
+    place.parent.mkdir(parents=True, exist_ok=True)
+    moved.rename(place)  # part of it moved in
+    with pytest.raises(RuntimeError, match="settle"):
+        append_partitioned(rows, path)
+    layers.settle_append(spark, path)
+    layers.settle_append(spark, path)
+    assert sorted(r.id for r in read_layer(spark, path).collect()) == list(range(9))
+
+
+def test_snapshots_without_success_files(spark, tmp_path):
+    path = str(tmp_path / "table")
+    setting = spark._jsc.hadoopConfiguration()
+    setting.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        for n in (1, 2, 3):
+            write_versioned(spark.range(n), path)
+            assert read_versioned(spark, path).count() == n
+    finally:
+        setting.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
