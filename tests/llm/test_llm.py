@@ -406,6 +406,35 @@ def test_word_probabilities_add_up_to_at_most_one():
     assert 10 ** model.log10(every) @ np.ones(256) <= 1.0001
 
 
+def test_own_words_are_mixed_in_from_the_words_before_only():
+    """Against the same rule word by word; and what follows a text adds up to one."""
+    p = np.array([0.4, 0.3, 0.2, 0.05])  # the end has the rest
+    pick = np.random.default_rng(3)
+
+    def plainly(words):
+        weight = lambda i: mixing.RECALL * min(math.log2(i + 1) / 12, 1)
+        for _ in range(2):
+            dues, weights = [], []
+            for i in range(len(words) + 1):
+                started = mixing.RECALL * min(math.log2(i + 1) / 12, 1)
+                weights.append((mixing.RECALL_STEPS * started + sum(dues)) / (mixing.RECALL_STEPS + i))
+                if i < len(words):
+                    own = weight(i) * words[:i].count(words[i]) / max(i, 1)
+                    dues.append(own / (own + (1 - weight(i)) * p[words[i]]))
+            weight = weights.__getitem__
+        parts = [weights[i] * words[:i].count(w) / max(i, 1) + (1 - weights[i]) * p[w] for i, w in enumerate(words)]
+        return math.log10(math.prod(parts)), math.log10(1 - weights[-1])
+
+    for n in (0, 1, 2, 30):
+        words = pick.choice(4, n, p=p / p.sum())
+        mixed, left = mixing.recalled(words, np.log10(p[words]))
+        assert np.allclose((mixed.sum(), left), plainly(words.tolist()))
+        after = [10 ** (mixing.recalled(np.append(words, w), np.log10(p[np.append(words, w)]))[0][-1]) for w in range(4)]
+        assert abs(sum(after) + 10**left * 0.05 - 1) < (1e-9 if n else 0.05)
+    rare, _ = mixing.recalled(np.array([0, 1, 0]), np.array([-900.0, -2000.0, -900.0]))
+    assert np.isfinite(rare).all() and rare[2] > -3
+
+
 def test_mixing_odd(odd, empty):
     rows = mixing.score(odd.withColumn("held", F.lit(False)), "held").collect()
     by = {r.doc_id: r for r in rows}
