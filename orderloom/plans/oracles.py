@@ -391,5 +391,8 @@ ORACLES: dict[str, str] = {
     "rt_eligible_orders": _query("eligible", f"{_READY} eligible"),
     "rt_recommendations": _query("suggested", "SELECT * FROM suggested"),
     "rt_suggestion_accepted": _query("suggested", f"SELECT {_ACCEPTED} FROM suggested"),
-    "rt_assembly_stream": _query("ready", f"{_READY} ready WHERE payment_method_id <> '5'"),
+    "rt_assembly_stream": _query(
+        "ready", "SELECT a.*, 1704067200 + CAST(order_id AS BIGINT) % 60 AS ready_at FROM "
+        f"({_READY} ready) a WHERE payment_method_id <> '5'"
+    ),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from itertools import groupby
 
@@ -26,10 +27,12 @@ _TIMED = (
     "product_id string, event_time timestamp, at bigint"
 )
 _EMITTED = READY_ORDER + ", ready_at bigint"
-_PROGRESS = (
-    "customer_id string, payment_method_id string, num_products int, info_at bigint, info_until bigint, "
-    "lines_until bigint, lines int, done_until bigint, timer bigint"
+_STATE = (
+    "customer_id string, payment_method_id string, num_products int, info_until bigint, products array<string>, "
+    "lines_until bigint, done_until bigint, timer bigint, waiting array<struct<at: bigint, product_id: string, "
+    "customer_id: string, payment_method_id: string, num_products: int>>"
 )
+REMEMBERED = 200_000  # events a task keeps in mind to drop repeats
 
 
 def ready_orders(
@@ -41,12 +44,16 @@ def ready_orders(
     """Orders whose set of products has reached the announced number.
 
     Events of all feeds meet on the order id in one shuffle. Times are event times in whole
-    seconds, as the horizons are, so a replay gives the same result. Before the shuffle each
-    task drops what it has seen in the same second, so that an order with very many events does
-    not reach its one state task event by event. Each feed has its own watermark and the slowest
-    counts, so a feed that lags behind does not lose its events.
+    seconds, as the horizons are. An order's events wait until the watermark has passed them and
+    are then taken in by time, so neither the order of arrival nor the split into micro-batches
+    changes a result; an order is announced ``lateness`` after its last event. Before the shuffle
+    each task drops repeats within a second, so that an order with very many events does not
+    reach its one state task event by event. Each feed has its own watermark and the slowest
+    counts, so a feed that lags behind does not lose its events. The session must keep its state
+    in the RocksDB store (``with_state_store``): no other has timers.
     """
-    use_rocksdb(feeds[0].sparkSession)
+    if feeds[0].sparkSession.conf.get(STATE_STORE, "") != DEFAULTS[STATE_STORE]:
+        raise ValueError(f"set {STATE_STORE} to {DEFAULTS[STATE_STORE]}")
     return (
         reduce(DataFrame.unionByName, [_timed(feed, lateness) for feed in feeds])
         .groupBy("order_id")
@@ -63,22 +70,75 @@ def _timed(feed: DataFrame, lateness: str) -> DataFrame:
     return timed.select(columns).mapInPandas(drop_repeats, _TIMED).withWatermark("event_time", lateness)
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State with timers is kept by this store only; sessions made elsewhere may name another."""
-    spark.conf.set(STATE_STORE, DEFAULTS[STATE_STORE])
+def with_state_store(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` whose streams may use timers."""
+    session = spark.newSession()
+    session.conf.set(STATE_STORE, DEFAULTS[STATE_STORE])
+    return session
 
 
 def drop_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches without events that the task has let through before; its memory is emptied when full."""
+    seen: set[tuple] = set()
     for batch in batches:
-        yield batch.drop_duplicates()
+        fresh = []
+        batch = batch.drop_duplicates()
+        plain = batch.astype(object).where(batch.notna(), None)
+        for event in zip(*(plain[c] for c in plain.columns)):
+            fresh.append(event not in seen)
+            seen.add(event)
+        yield batch[fresh]
+        if len(seen) > REMEMBERED:
+            seen.clear()
+
+
+@dataclass
+class Progress:
+    """What is known of one order at a point in event time."""
+
+    customer_id: str | None = None
+    payment_method_id: str | None = None
+    num_products: int = 0
+    info_until: int = 0  # the announcement counts before this second
+    products: frozenset[str] = frozenset()
+    lines_until: int = 0  # and so do the products
+    done_until: int = 0
+
+    def take_in(self, now: int, events: list, horizon: int, dedup: int) -> list[str] | None:
+        """All events of the second ``now``; the products, sorted, where they complete the order."""
+        if now < self.done_until:
+            return None
+        if now >= self.lines_until:
+            self.products = frozenset()
+        for event in events:
+            if event[1] is None:
+                self.customer_id, self.payment_method_id, self.num_products = event[2:]
+                self.info_until = now + horizon
+            else:
+                self.products |= {event[1]}
+                self.lines_until = now + horizon
+        if now >= self.info_until or len(self.products) != self.num_products:
+            return None
+        complete = sorted(self.products)
+        self.products, self.info_until, self.lines_until, self.done_until = frozenset(), 0, 0, now + dedup
+        return complete
+
+    def ends(self) -> int:
+        return max(self.info_until, self.lines_until, self.done_until)
+
+
+def _in_time(event: tuple) -> tuple:
+    """A total order of events, so that of two announcements in a second always the same one counts."""
+    return event[0], event[1] is not None, tuple((v is not None, v or "") for v in event[1:4]), event[4] or 0
 
 
 class OrderAssembly(StatefulProcessor):
-    """State of one order: what it announced, the products seen, and whether it is done.
+    """State of one order, a single value: its progress, and the events that the watermark has not passed.
 
     The announcement lives ``horizon`` seconds from the last order event and the product set
     ``horizon`` seconds from the last line. Events of the same second are taken in together
-    before completeness is tested. One timer per order clears whatever has run out.
+    before completeness is tested. One timer per order stands at its first waiting event or, if
+    none waits, at the end of what it remembers.
     """
 
     def __init__(self, horizon: int, dedup: int):
@@ -87,71 +147,54 @@ class OrderAssembly(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.progress = handle.getValueState("progress", _PROGRESS)
-        self.products = handle.getMapState("products", "product_id string", "seen boolean")
+        self.state = handle.getValueState("order", _STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        info, lines_until, stored, done_until, timer = self._load()
-        products = {k[0] for k in self.products.keys()} if stored else set()
-        known = set(products)
-        emitted = []
-        for now, together in groupby(sorted(rows, key=lambda e: e.at), key=lambda e: e.at):
-            if done_until and now < done_until:
-                continue
-            done_until = 0
-            if info and now >= info[4]:
-                info = None
-            if products and now >= lines_until:
-                products = set()
-            for event in together:
-                if event.kind == "order":
-                    info = (
-                        event.customer_id, event.payment_method_id, event.num_products, now, now + self.horizon
-                    )
-                else:
-                    products.add(event.product_id)
-                    lines_until = max(lines_until, now + self.horizon)
-            lines_alive = not products or (info and info[3] < lines_until)
-            if info and lines_alive and len(products) == info[2]:
-                emitted.append(Row(
-                    order_id=key[0], customer_id=info[0], payment_method_id=info[1],
-                    product_ids=sorted(products), ready_at=now,
-                ))
-                info, products, lines_until, done_until = None, set(), 0, now + self.dedup
-
-        if known - products:
-            self.products.clear()
-            known = set()
-        for product in products - known:
-            self.products.updateValue((product,), (True,))
-        self._save(info, lines_until if products else 0, len(products), done_until, timer)
-        return iter(emitted)
+        progress, waiting, timer = self._load()
+        for e in rows:
+            if e.kind == "order":
+                waiting.add((e.at, None, e.customer_id, e.payment_method_id, e.num_products or 0))
+            elif e.product_id is not None:
+                waiting.add((e.at, e.product_id, None, None, None))
+        self._save(progress, waiting, timer)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs() // 1000  # no event before it can come any more
-        info, lines_until, stored, done_until, _ = self._load()
-        if stored and lines_until <= now:
-            self.products.clear()
-            lines_until = stored = 0
-        info = info if info and info[4] > now else None
-        self._save(info, lines_until, stored, done_until if done_until > now else 0, 0)
-        return iter(())
+        passed = timerValues.getCurrentWatermarkInMs() // 1000  # no event up to it can come any more
+        progress, waiting, _ = self._load()
+        due = sorted((e for e in waiting if e[0] <= passed), key=_in_time)
+        ready = []
+        for now, together in groupby(due, key=lambda e: e[0]):
+            products = progress.take_in(now, list(together), self.horizon, self.dedup)
+            if products is not None:
+                ready.append(Row(
+                    order_id=key[0], customer_id=progress.customer_id,
+                    payment_method_id=progress.payment_method_id, product_ids=products, ready_at=now,
+                ))
+        waiting.difference_update(due)
+        self._save(Progress() if progress.ends() <= passed else progress, waiting, 0)
+        return iter(ready)
 
-    def _load(self):
-        saved = self.progress.get()
+    def _load(self) -> tuple[Progress, set[tuple], int]:
+        saved = self.state.get()
         if saved is None:
-            return None, 0, 0, 0, 0
-        customer, method, number, at, until, lines_until, lines, done, timer = saved
-        info = (customer, method, number, at, until) if until else None
-        return info, lines_until, lines, done, timer
-
-    def _save(self, info, lines_until, lines, done_until, timer) -> None:
-        ends = max(info[4] if info else 0, lines_until, done_until)
-        if not ends:
-            self.progress.clear()
+            return Progress(), set(), 0
+        customer, method, number, info_until, products, lines_until, done_until, timer, waiting = saved
+        return (
+            Progress(customer, method, number, info_until, frozenset(products), lines_until, done_until),
+            {tuple(event) for event in waiting}, timer,
+        )
+
+    def _save(self, progress: Progress, waiting: set[tuple], timer: int) -> None:
+        due = min(event[0] for event in waiting) if waiting else progress.ends()
+        if timer and timer != due:
+            self.handle.deleteTimer(timer * 1000)
+        if not due:
+            self.state.clear()
             return
-        if not timer:
-            self.handle.registerTimer(ends * 1000)
-            timer = ends
-        self.progress.update((*(info or (None, None, 0, 0, 0)), lines_until, lines, done_until, timer))
-
+        if timer != due:
+            self.handle.registerTimer(due * 1000)
+        self.state.update((
+            progress.customer_id, progress.payment_method_id, progress.num_products, progress.info_until,
+            sorted(progress.products), progress.lines_until, progress.done_until, due, list(waiting),
+        ))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import random
+from itertools import permutations
 
 import pandas as pd
 import pytest
@@ -75,19 +76,24 @@ SCRIPTS = {
                          order("lines-kept-alive", 200, 2)],
     "order-kept-alive": [order("order-kept-alive", 0, 1), order("order-kept-alive", 100, 1),
                          line("order-kept-alive", 200, "P1")],
+    "far-apart": [order("far-apart", 100, 1), line("far-apart", 300, "P1")],
+    "first-expired": [line("first-expired", 100, "A"), line("first-expired", 300, "B"), order("first-expired", 310, 2)],
+    "line-last": [order("line-last", 100, 1), line("line-last", 150, "P1"), order("line-last", 255, 1), line("line-last", 256, "P1")],
 }
+CLOCK = [order("clock", 50_000, 9)]  # moves the watermark past every horizon
 EXPECTED = sorted([
     ("order-first", 10, "1", ("P1",)), ("line-first", 10, "1", ("P1",)), ("between", 10, "1", ("P1", "P2")),
     ("no-products", 0, "1", ()), ("no-customer", 1, None, ("P1",)), ("replayed", 1, "1", ("P1",)),
     ("again-later", 1, "1", ("P1",)), ("again-later", 151, "1", ("P1",)),
     ("lines-kept-alive", 200, "1", ("P1", "P2")), ("order-kept-alive", 200, "1", ("P1",)),
+    ("line-last", 150, "1", ("P1",)), ("line-last", 256, "1", ("P1",)),
 ])
 
 
 def test_scripts_event_by_event(spark, tmp_path):
     length = max(map(len, SCRIPTS.values()))
     steps = [[script[i] for script in SCRIPTS.values() if i < len(script)] for i in range(length)]
-    steps.append([order("clock", 50_000, 9)])  # moves the watermark past every horizon
+    steps.append(CLOCK)
     found, progress = run(spark, tmp_path, steps, lateness="600 seconds")
     assert found == EXPECTED
     left = [json.loads(p.json)["stateOperators"][0] for p in progress]
@@ -95,6 +101,25 @@ def test_scripts_event_by_event(spark, tmp_path):
     assert left[-1]["numRowsTotal"] <= 3  # only the clock's own state
 
 
+def test_scripts_in_every_order_of_arrival(spark, tmp_path):
+    """Each event of a script in its own micro-batch, in every order; and all together."""
+    steps, expected = [[] for _ in range(max(map(len, SCRIPTS.values())))], []
+    for script, events in SCRIPTS.items():
+        for n, arrival in enumerate(permutations(events)):
+            for step, event in zip(steps, arrival):
+                step.append({**event, "order_id": f"{script} {n}"})
+            expected += [(f"{script} {n}", *rest) for name, *rest in EXPECTED if name == script]
+    for split in (steps, [sum(steps, [])]):
+        found, _ = run(spark, tmp_path, [*split, CLOCK], lateness="600 seconds")
+        assert found == sorted(expected)
+
+
+def test_repeats_are_dropped_across_batches():
+    events = pd.DataFrame({"kind": ["line"] * 3, "product_id": ["A", "A", None], "at": [1, 1, 2]})
+    left = list(assembly.drop_repeats(iter([events, events, events.assign(at=3)])))
+    assert [len(b) for b in left] == [2, 0, 2]
+
+
 def model(events, horizon=120, dedup=100):
     """The rules in plain Python, one event instant at a time, without folding."""
     ready = []
@@ -108,7 +133,7 @@ def model(events, horizon=120, dedup=100):
                 info = None
             if at >= lines_until:
                 products = set()
-            for e in own:
+            for e in sorted(own, key=lambda e: e.get("num_products", 0)):
                 if e["at"] == at and e["kind"] == "order":
                     info, info_until = e, at + horizon
                 elif e["at"] == at:
@@ -140,7 +165,7 @@ def test_random_events_against_the_model(spark, tmp_path):
     assert model(scripted) == EXPECTED
     # One hot order: thousands of repeats of its lines, complete at the end.
     events += [line("hot", i // 20, f"P{i % 3}") for i in range(6000)] + [order("hot", 310, 3)]
-    found, _ = run(spark, tmp_path, [events], lateness="600 seconds")
+    found, _ = run(spark, tmp_path, [events[::2], events[1::2], CLOCK], lateness="600 seconds")
     assert found == model(events)
 
 
@@ -174,15 +199,17 @@ def tables(spark):
 
 
 def feed(root, topics):
-    def write(topic, file, rows):
+    def write(topic, file, rows, at=1):
         os.makedirs(f"{topics.path}/{topic}", exist_ok=True)
         with open(f"{topics.path}/{topic}/{file}.json", "w") as out:
-            out.writelines(json.dumps({"payload": {"op": "c", "ts_ms": (BASE + 1) * 1000, "after": r}}) + "\n" for r in rows)
+            out.writelines(json.dumps({"payload": {"op": "c", "ts_ms": (BASE + at) * 1000, "after": r}}) + "\n" for r in rows)
 
     heads = [(f"o{i}", 1 + i % 2, 9 if i % 3 else 1, i % 4) for i in range(24)]
     write("db.orders", "a", [dict(zip(("id", "customer_id", "payment_method_id", "num_products"), h)) for h in heads])
     lines = [(h[0], f"P{p + 1}") for h in heads for p in range(h[3])]
     write("db.order_details", "a", [dict(zip(("order_id", "product_id"), x)) for x in lines])
+    write("db.orders", "b", [{"id": "closing", "num_products": 1}], 5000)
+    write("db.order_details", "b", [{"order_id": "closing", "product_id": "P1"}], 5000)
     return heads, lines
 
 
@@ -238,9 +265,9 @@ def test_a_lagging_feed_loses_nothing(spark, tmp_path):
             out.write(json.dumps({"payload": {"op": "c", "ts_ms": (BASE + at) * 1000, "after": after}}) + "\n")
         os.utime(file, (BASE + number, BASE + number))
 
-    for number, (name, at) in enumerate([("o1", 0), ("x", 500), ("y", 501)]):
+    for number, (name, at) in enumerate([("o1", 0), ("x", 500), ("y", 501), ("end", 5000)]):
         step("orders", number, at, {"id": name, "customer_id": 1, "payment_method_id": 9, "num_products": 1})
-    for number, (name, at) in enumerate([("z", 0), ("z", 1), ("o1", 10)]):
+    for number, (name, at) in enumerate([("z", 0), ("z", 1), ("o1", 10), ("end", 5000)]):
         step("order_details", number, at, {"order_id": name, "product_id": "P1"})
     topics = Endpoint("text", path=str(tmp_path))
     query = (
