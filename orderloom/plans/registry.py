@@ -380,31 +380,19 @@ def rt_suggestion_accepted(spark, folder):
 def rt_assembly_stream(spark, folder):
     """The streaming assembly over change-feed files of all given orders, run to its end.
 
-    Half of the lines come first; the stream is stopped and started again with the orders, the
-    other lines and a closing record that moves the watermarks past all of them.
+    A closing record in each feed moves the watermarks past all of them.
     """
-    orders, lines = _change_records(_source(spark, folder))
     path = scratch_path(spark, "assembly-stream")
     session = assembly.with_state_store(spark)
-
-    def feed_and_run(orders: DataFrame | None, lines: DataFrame):
-        if orders is not None:
-            orders.write.mode("append").text(f"{path}/orders")
-        lines.write.mode("append").text(f"{path}/lines")
-        order_feed = changes.order_events(session.readStream.schema("value string").text(f"{path}/orders"))
-        line_feed = changes.line_events(session.readStream.schema("value string").text(f"{path}/lines"))
-        (
-            assembly.ready_orders(order_feed, line_feed).writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start(f"{path}/ready")
-        ).awaitTermination()
-
-    half = F.crc32("value") % 2
-    orders.limit(0).write.text(f"{path}/orders")
-    feed_and_run(None, lines.filter(half == 0))
-    feed_and_run(
-        orders.union(spark.createDataFrame([(CLOSING_ORDER,)], "value string")),
-        lines.filter(half == 1).union(spark.createDataFrame([(CLOSING_LINE,)], "value string")),
+    for feed, closing, name in zip(_change_records(_source(spark, folder)), (CLOSING_ORDER, CLOSING_LINE), ("orders", "lines")):
+        feed.union(spark.createDataFrame([(closing,)], "value string")).write.text(f"{path}/{name}")
+    order_feed = changes.order_events(session.readStream.text(f"{path}/orders"))
+    line_feed = changes.line_events(session.readStream.text(f"{path}/lines"))
+    query = (
+        assembly.ready_orders(order_feed, line_feed).writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start(f"{path}/ready")
     )
+    query.awaitTermination()
     ready = spark.read.schema(assembly.READY).parquet(f"{path}/ready")
     return _ready_shown(ready.withColumn("ready_at", F.unix_seconds("ready_at")))
 
