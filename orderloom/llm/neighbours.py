@@ -3,11 +3,11 @@
 Equal vectors are one node of the graph, with the smallest ids that have it, as many as an answer can use.
 The graph starts from several random orderings (signs of random projections), cut into runs of bounded
 size whose members are compared with each other. Then neighbours of neighbours, forwards and backwards,
-are compared by joins, round by round, and each node keeps its best. While the graph is built and searched,
+are compared by joins, round by round, and each node keeps its best, until hardly any list changes. While the graph is built and searched,
 vectors travel as bytes (one per component); the scores of the answers are exact.
 
 A query is itself a node. Its search starts at its neighbours and expands the best unexpanded nodes round
-by round, by a join with the graph, until a round brings nothing better.
+by round, by a join with the graph, until every node of its beam is expanded.
 
 Results for odd input: vectors that are NULL, zero, hold NULL or non-finite components, or have another
 dimension than most, take no part, as queries or candidates, nor do NULL ids. Rows repeating an id count
@@ -33,11 +33,10 @@ class Settings:
     degree: int = 48  # neighbours that a node keeps
     orderings: int = 10  # random orderings the graph starts from
     run: int = 2048  # nodes compared with each other at the start
-    rounds: int = 3  # of NN-descent, at most
+    settled: float = 0.001  # share of fresh entries at which NN-descent ends
     sample: int = 24  # neighbours of each direction that take part in a round of NN-descent
     beam: int = 96  # nodes that a search keeps
     expand: int = 32  # of them expanded in a round
-    hops: int = 4  # rounds of the search, at most
 
 
 LISTS = "v long, near array<bigint>, sim array<float>, fresh array<boolean>"
@@ -188,6 +187,22 @@ def _few(rows: DataFrame, key: str, order: Column, most: int) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
 
+def _aged(graph: DataFrame, sample: int) -> DataFrame:
+    """The lists after a round: fresh entries that it did not sample wait, still fresh, for the next one."""
+
+    def work(batches):
+        for batch in batches:
+            lists = batch.column(3)
+            fresh = lists.flatten().to_numpy(zero_copy_only=False).astype(bool)
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            count = np.concatenate(([0], np.cumsum(fresh)))
+            place = count[1:] - np.repeat(count[ends[:-1]], np.diff(ends))
+            waits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(fresh & (place > sample)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], waits], ["v", "near", "sim", "fresh"])
+
+    return graph.select("v", "near", "sim", "fresh").mapInArrow(work, LISTS)
+
+
 def _descend(graph: DataFrame, codes: DataFrame, settings: Settings) -> DataFrame:
     """Lists of what comparing neighbours of neighbours finds, better than what their nodes have."""
     edges = graph.select(F.col("v").alias("center"), F.explode(F.arrays_zip("near", "sim", "fresh")).alias("e"))
@@ -235,13 +250,12 @@ def build(codes: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The neighbour graph of (v, code): v, near, sim, fresh."""
     n = codes.count()
     graph = staged(_merged(_start(codes, n, settings), settings.degree), "neighbours-graph")
-    for _ in range(settings.rounds):
-        old = graph.withColumn("fresh", F.transform("fresh", lambda _: F.lit(False)))
+    while True:
+        old = _aged(graph, settings.sample)
         graph = staged(_merged(old.unionByName(_descend(graph, codes, settings)), settings.degree), "neighbours-graph")
         news = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
-        if news < 0.01 * n * settings.degree:
-            break
-    return graph
+        if news <= settings.settled * n * settings.degree:
+            return graph
 
 
 def search(queries: DataFrame, graph: DataFrame, codes: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -251,7 +265,7 @@ def search(queries: DataFrame, graph: DataFrame, codes: DataFrame, settings: Set
     beam = queries.join(graph, queries.q == graph.v).select("q", entries)
     beam = staged(beam.select("q", F.col("e.near").alias("w"), F.col("e.sim").alias("sim"), F.lit(False).alias("done")), "neighbours-beam")
     schema = "q long, w long, sim float, done boolean"
-    for _ in range(settings.hops):
+    while True:
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("done"), F.desc("sim"), "w"))
         ranked = beam.withColumn("now", (rank <= settings.expand) & ~F.col("done"))
         ranked = staged(ranked, "neighbours-now")
@@ -292,8 +306,7 @@ def search(queries: DataFrame, graph: DataFrame, codes: DataFrame, settings: Set
 
         beam = staged(_by_key(had.union(found.select("q", "w", "code", "sim", "done")).union(own), "q", scored, schema), "neighbours-beam")
         if beam.where("NOT done").limit(1).count() == 0:
-            break
-    return beam.select("q", "w", "sim")
+            return beam.select("q", "w", "sim")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding",

@@ -303,6 +303,27 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert hits >= 0.9 * total
 
 
+def _recall(spark, x, asked, settings, k=20):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in neighbours.nearest(rows, F.col("id") % asked == 0, k, settings=settings).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = []
+    for q in range(0, len(x), asked):
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        hits.append(len(set(np.argsort(-s)[:k].tolist()) & got[q]) / k)
+    return np.array(hits)
+
+
+def test_neighbours_go_on_until_they_settle(spark):
+    # Runs far smaller than the table, so the start is no brute force; slow steps need more than a few rounds.
+    x = np.random.default_rng(5).standard_normal((3000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    slow = neighbours.Settings(degree=32, orderings=2, run=32, sample=8, beam=96, expand=4)
+    assert _recall(spark, x, 40, slow).mean() >= 0.95
+
+
 def test_neighbours_odd(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [(i, [1.0, 0.0]) for i in range(30)] + [(40, [0.0, 1.0]), (41, None), (42, [0.0, 0.0]), (43, [nan, 1.0]), (44, [inf, 1.0]), (45, [None, 1.0]), (46, [1.0]), (None, [1.0, 0.0]), (40, [0.0, 1.0])]
