@@ -4,7 +4,7 @@ Equal vectors are one node of the graph, with the smallest ids that have it, as
 The graph starts from several random orderings (signs of random projections), cut into runs of bounded
 size whose members are compared with each other. Then neighbours of neighbours, forwards and backwards,
 are compared by joins, round by round, and each node keeps its best, until hardly any list changes. While the graph is built and searched,
-vectors travel as bytes (one per component); the scores of the answers are exact.
+vectors travel as the bytes of their floats, and products are double; the scores of the answers are exact.
 
 A query is itself a node. Its search starts at its neighbours and expands the best unexpanded nodes round
 by round, by a join with the graph, until every node of its beam is expanded.
@@ -39,7 +39,7 @@ class Settings:
     expand: int = 32  # of them expanded in a round
 
 
-LISTS = "v long, near array<bigint>, sim array<float>, fresh array<boolean>"
+LISTS = "v long, near array<bigint>, sim array<double>, fresh array<boolean>"
 
 
 def valid(vectors: DataFrame, id: str, vector: str) -> DataFrame:
@@ -53,18 +53,21 @@ def valid(vectors: DataFrame, id: str, vector: str) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1)
+    """Rows of doubles from bytes whose first one says how many bytes a component has."""
+    raws = column.to_pylist()
+    kind = np.dtype(f"<f{raws[0][0]}") if raws else np.dtype("<f4")
+    return np.frombuffer(b"".join([r[1:] for r in raws]), kind).astype(np.float64).reshape(len(raws), -1)
 
 
 def _bytes(nodes: DataFrame) -> DataFrame:
-    """(v, code): components scaled to one byte each by the largest of all."""
-    top = nodes.select(F.array_max(F.transform("x", lambda c: F.abs(c))).alias("m")).agg(F.max("m")).first()[0] or 1.0
+    """(v, code): components as they are, 4 bytes each if the column holds floats and 8 otherwise."""
+    size = 4 if nodes.schema["x"].dataType.elementType.typeName() == "float" else 8
 
     def work(batches):
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            codes = np.rint(x * (127 / top)).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["v", "code"])
+            x = np.array(batch.column(1).to_pylist(), f"<f{size}").reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([bytes([size]) + c.tobytes() for c in x], pa.binary())], ["v", "code"])
 
     return nodes.select("v", "x").mapInArrow(work, "v long, code binary")
 
@@ -78,7 +81,7 @@ def _top(sims: np.ndarray, k: int) -> np.ndarray:
 def _rows(v, near, sim, fresh) -> pa.RecordBatch:
     """Lists of equal length, from two-dimensional arrays."""
     ends = pa.array(np.arange(0, near.size + 1, max(1, near.shape[1])), pa.int32())
-    lists = [pa.ListArray.from_arrays(ends, pa.array(a.ravel(), t)) for a, t in ((near, pa.int64()), (sim, pa.float32()), (fresh, pa.bool_()))]
+    lists = [pa.ListArray.from_arrays(ends, pa.array(a.ravel(), t)) for a, t in ((near, pa.int64()), (sim, pa.float64()), (fresh, pa.bool_()))]
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), *lists], ["v", "near", "sim", "fresh"])
 
 
@@ -90,13 +93,13 @@ def _start(codes: DataFrame, n: int, settings: Settings) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1)).astype(np.float32)
+            x = _matrix(batch.column(1))
             for t in range(settings.orderings):
-                planes = np.random.default_rng(t).standard_normal((x.shape[1], signs + 1)).astype(np.float32)
+                planes = np.random.default_rng(t).standard_normal((x.shape[1], signs + 1))
                 at = x @ planes
                 code = (at[:, :signs] > 0) @ (1 << np.arange(signs)[::-1]) if signs else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), t), pa.int32()), pa.array(code, pa.int64()), pa.array(at[:, -1], pa.float32()), *batch.columns],
+                    [pa.array(np.full(len(x), t), pa.int32()), pa.array(code, pa.int64()), pa.array(at[:, -1]), *batch.columns],
                     ["t", "code", "at", "v", "bytes"])
 
     def compare(batches: Iterator[pa.RecordBatch]):
@@ -104,7 +107,7 @@ def _start(codes: DataFrame, n: int, settings: Settings) -> DataFrame:
 
         def run(rows: pa.Table):
             v = rows["v"].to_numpy()
-            x = _matrix(rows["bytes"]).astype(np.float32)
+            x = _matrix(rows["bytes"])
             for at in range(0, len(v), 512):
                 sims = x[at:at + 512] @ x.T
                 sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -np.inf
@@ -128,7 +131,7 @@ def _start(codes: DataFrame, n: int, settings: Settings) -> DataFrame:
             yield from runs(pa.Table.from_batches(held))
 
     parts = max(1, -(-n * settings.orderings // settings.run))
-    rows = codes.mapInArrow(orderings, "t int, code long, at float, v long, bytes binary")
+    rows = codes.mapInArrow(orderings, "t int, code long, at double, v long, bytes binary")
     rows = rows.repartitionByRange(parts, "t", "code", "at").sortWithinPartitions("t", "code", "at")
     return rows.mapInArrow(compare, LISTS)
 
@@ -151,7 +154,7 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
         keep = np.arange(len(v)) - np.repeat(first, counts) < k
         ends = pa.array(np.concatenate(([0], np.cumsum(np.minimum(counts, k)))), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(v[first]), *(pa.ListArray.from_arrays(ends, pa.array(a[keep], t)) for a, t in ((near, pa.int64()), (sim, pa.float32()), (fresh, pa.bool_())))],
+            [pa.array(v[first]), *(pa.ListArray.from_arrays(ends, pa.array(a[keep], t)) for a, t in ((near, pa.int64()), (sim, pa.float64()), (fresh, pa.bool_())))],
             ["v", "near", "sim", "fresh"])
 
     return _by_key(lists, "v", best, LISTS)
@@ -181,9 +184,9 @@ def _by_key(rows: DataFrame, key: str, work, schema: str) -> DataFrame:
     return rows.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
-def _few(rows: DataFrame, key: str, order: Column, most: int) -> DataFrame:
-    """At most ``most`` rows per key; Spark limits groups before the shuffle as well."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order, "member"))
+def _few(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows per key, fresh ones first; Spark limits groups before the shuffle as well."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("fresh"), F.desc("sim"), "member"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
 
@@ -207,10 +210,9 @@ def _descend(graph: DataFrame, codes: DataFrame, settings: Settings) -> DataFram
     """Lists of what comparing neighbours of neighbours finds, better than what their nodes have."""
     edges = graph.select(F.col("v").alias("center"), F.explode(F.arrays_zip("near", "sim", "fresh")).alias("e"))
     edges = edges.select("center", F.col("e.near").alias("member"), F.col("e.sim").alias("sim"), F.col("e.fresh").alias("fresh"))
-    fresh_first = F.when(F.col("fresh"), 0).otherwise(1)
-    forward = _few(edges.withColumn("o", fresh_first - F.col("sim") * 1e-9), "center", F.col("o"), settings.sample)
+    forward = _few(edges, "center", settings.sample)
     backward = edges.select(F.col("member").alias("center"), F.col("center").alias("member"), "sim", "fresh")
-    backward = _few(backward.withColumn("o", fresh_first - F.col("sim") * 1e-9), "center", F.col("o"), settings.sample)
+    backward = _few(backward, "center", settings.sample)
     least = graph.select(F.col("v").alias("member"), F.when(F.size("sim") >= settings.degree, F.element_at("sim", -1)).otherwise(float("-inf")).alias("least"))
     known = codes.withColumnRenamed("v", "member").join(least, "member")
     pairs = forward.union(backward).groupBy("center", "member").agg(F.max("fresh").alias("fresh"))
@@ -220,7 +222,7 @@ def _descend(graph: DataFrame, codes: DataFrame, settings: Settings) -> DataFram
         center = table["center"].to_numpy()
         member, fresh = table["member"].to_numpy(), table["fresh"].to_numpy(zero_copy_only=False)
         least = table["least"].to_numpy()
-        x = _matrix(table["code"]).astype(np.float32)
+        x = _matrix(table["code"])
         starts = np.flatnonzero(np.concatenate(([True], center[1:] != center[:-1])))
         out: list[tuple] = []
         for a, b in zip(starts.tolist(), np.append(starts[1:], len(center)).tolist()):
@@ -240,7 +242,7 @@ def _descend(graph: DataFrame, codes: DataFrame, settings: Settings) -> DataFram
             v, near, sim = v[one], near[one], sim[one]
             first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
             ends = pa.array(np.append(first, len(v)), pa.int32())
-            lists = (pa.ListArray.from_arrays(ends, pa.array(c, t)) for c, t in ((near, pa.int64()), (sim, pa.float32()), (np.ones(len(v), bool), pa.bool_())))
+            lists = (pa.ListArray.from_arrays(ends, pa.array(c, t)) for c, t in ((near, pa.int64()), (sim, pa.float64()), (np.ones(len(v), bool), pa.bool_())))
             yield pa.RecordBatch.from_arrays([pa.array(v[first]), *lists], ["v", "near", "sim", "fresh"])
 
     return _by_key(rows, "center", compare, LISTS)
@@ -264,27 +266,27 @@ def search(queries: DataFrame, graph: DataFrame, codes: DataFrame, settings: Set
     entries = F.explode(F.arrays_zip("near", "sim")).alias("e")
     beam = queries.join(graph, queries.q == graph.v).select("q", entries)
     beam = staged(beam.select("q", F.col("e.near").alias("w"), F.col("e.sim").alias("sim"), F.lit(False).alias("done")), "neighbours-beam")
-    schema = "q long, w long, sim float, done boolean"
+    schema = "q long, w long, sim double, done boolean"
     while True:
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("done"), F.desc("sim"), "w"))
         ranked = beam.withColumn("now", (rank <= settings.expand) & ~F.col("done"))
         ranked = staged(ranked, "neighbours-now")
         nows = ranked.where("now").select("q", "w")
         found = nows.join(graph, nows.w == graph.v).select("q", F.explode("near").alias("w")).where("q <> w").distinct()
-        found = found.join(codes.withColumnRenamed("v", "w"), "w").select("q", "w", "code", F.lit(None).cast("float").alias("sim"), F.lit(False).alias("done"))
-        own = queries.join(codes, queries.q == codes.v).select("q", "q", "code", F.lit(None).cast("float"), F.lit(True))
+        found = found.join(codes.withColumnRenamed("v", "w"), "w").select("q", "w", "code", F.lit(None).cast("double").alias("sim"), F.lit(False).alias("done"))
+        own = queries.join(codes, queries.q == codes.v).select("q", "q", "code", F.lit(None).cast("double"), F.lit(True))
         had = ranked.select("q", "w", F.lit(None).cast("binary").alias("code"), "sim", (F.col("done") | F.col("now")).alias("done"))
 
         def scored(table: pa.Table):
             q, w = table["q"].to_numpy(), table["w"].to_numpy()
-            sim = table["sim"].to_numpy(zero_copy_only=False).astype(np.float32)
+            sim = table["sim"].to_numpy(zero_copy_only=False).astype(np.float64)
             done = table["done"].to_numpy(zero_copy_only=False).astype(bool)
             code = table["code"].combine_chunks()
             has = np.flatnonzero(~np.asarray(code.is_null()))
-            x = np.zeros((len(q), 0), np.float32)
+            x = np.zeros((len(q), 0))
             if len(has):
-                part = _matrix(code.take(pa.array(has))).astype(np.float32)
-                x = np.zeros((len(q), part.shape[1]), np.float32)
+                part = _matrix(code.take(pa.array(has)))
+                x = np.zeros((len(q), part.shape[1]))
                 x[has] = part
             starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
             outs = []

@@ -324,6 +324,14 @@ def test_neighbours_go_on_until_they_settle(spark):
     assert _recall(spark, x, 40, slow).mean() >= 0.95
 
 
+@pytest.mark.parametrize("large", [1e6, 1e30])
+def test_neighbours_beside_a_very_large_vector(spark, large):
+    x = np.random.default_rng(6).standard_normal((600, 16)).astype(np.float32)
+    x[7] *= large
+    x[300:] *= 1e-3  # queries of small norm too
+    assert _recall(spark, x, 20, neighbours.Settings()).min() >= 0.9
+
+
 def test_neighbours_odd(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [(i, [1.0, 0.0]) for i in range(30)] + [(40, [0.0, 1.0]), (41, None), (42, [0.0, 0.0]), (43, [nan, 1.0]), (44, [inf, 1.0]), (45, [None, 1.0]), (46, [1.0]), (None, [1.0, 0.0]), (40, [0.0, 1.0])]
