@@ -31,7 +31,6 @@ from orderloom.llm.common import Remembered, staged
 WINDOW = 2048
 CLOSING = 1
 SHARD_TOKENS = 2_000_000
-QUERY_TERMS = 24  # of a seed's terms, those that weigh most ask the index
 K1, B = 1.2, 0.75
 
 
@@ -140,10 +139,8 @@ class Shard:
         self.at = np.concatenate(([0], np.cumsum(held)))
 
     def scored(self, d: int, n: int) -> np.ndarray:
-        """BM25 of every document against document ``d``."""
+        """BM25 of every document against document ``d``, over all distinct terms of it."""
         terms = self.terms[self.by_doc[d]:self.by_doc[d + 1]]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.weight[terms], QUERY_TERMS)[:QUERY_TERMS]]
         spans = [slice(self.at[t], self.at[t + 1]) for t in terms.tolist()]
         if not spans:
             return np.zeros(n)
@@ -151,6 +148,17 @@ class Shard:
             np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.scores[s] for s in spans]), minlength=n)
 
 
+def _ranked(scores: np.ndarray, used: np.ndarray) -> Iterator[int]:
+    """Documents by score, best first, until all are used. Later ones are only ranked when they are asked for."""
+    wanted = 64
+    while left := int(np.count_nonzero(~used)):
+        scores[used] = -1
+        wanted = min(left, wanted)
+        best = np.argpartition(-scores, wanted - 1)[:wanted]
+        yield from best[np.lexsort((best, -scores[best]))].tolist()
+        wanted *= 4
+
+
 def fill(lengths: list[int], nearest, window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece.
 
@@ -186,11 +194,7 @@ def fill(lengths: list[int], nearest, window: int) -> Iterator[tuple[int, int, i
                 current, room, sequence, seeded = [], window, sequence + 1, True
                 ranked = iter(())
         if current and seeded:  # what is left of this document seeds the open window
-            scores = nearest(d)
-            scores[used] = -1
-            wanted = min(n, 64)
-            best = np.argpartition(-scores, wanted - 1)[:wanted]
-            ranked = iter(best[np.lexsort((best, -scores[best]))].tolist())
+            ranked = _ranked(nearest(d), used)
     size = window - room
     if size == 0:
         return

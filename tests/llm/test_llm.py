@@ -403,6 +403,27 @@ def test_neighbours_of_a_seed_come_first():
     assert sorted(order[:3]) == [0, 2, 4]
 
 
+def test_a_window_of_short_texts_is_retrieved_to_its_end():
+    topics = [np.array([1000 + d, *range(100 * (d % 2), 100 * (d % 2) + 9)], "<u2") for d in range(400)]
+    index = packing.Shard(topics)
+    order = [d for d, *_ in packing.fill([10] * 400, lambda d: index.scored(d, 400), 1200)]
+    assert set(order) == set(range(400)) and all(d % 2 == 0 for d in order[:120])
+
+
+def test_all_terms_of_a_seed_are_scored():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 300, n).astype("<u2") for n in (400, 5, 80, 200, 33)]
+    n, mean = len(docs), np.mean([len(d) for d in docs])
+    wanted = np.zeros(n)
+    for t in set(docs[0].tolist()):
+        held = sum(t in d for d in docs)
+        for i, d in enumerate(docs):
+            f = int((d == t).sum())
+            norm = packing.K1 * (1 - packing.B + packing.B * len(d) / mean)
+            wanted[i] += f * (packing.K1 + 1) / (f + norm) * math.log1p((n - held + 0.5) / (held + 0.5))
+    assert np.allclose(packing.Shard(docs).scored(0, n), wanted, rtol=1e-5)
+
+
 # Mixing
 
 
