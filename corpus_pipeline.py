@@ -31,15 +31,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Rows repeating an id are copies."""
-    classes = simhash.near_duplicates(docs)
-    first = classes.where("doc_id <=> component_id").select("doc_id").distinct()
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
-    single = first.join(ids.where("n = 1"), first.doc_id.eqNullSafe(ids.doc_id), "left_semi")
-    several = first.join(ids.where("n > 1"), first.doc_id.eqNullSafe(ids.doc_id), "left_semi")
-    kept = docs.join(single, docs.doc_id.eqNullSafe(single.doc_id), "left_semi")
-    repeated = docs.join(several, docs.doc_id.eqNullSafe(several.doc_id), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(repeated)
+    """One document of each group of near copies: the one with the smallest id (NULL is largest), then text digest.
+
+    Rows are told apart by id and text; only rows that repeat both are one document.
+    """
+    id = F.col("doc_id")
+    key = F.struct(id.isNull().alias("gone"), id.alias("id"), F.md5("text").alias("digest"))
+    classes = simhash.near_duplicates(docs.select(key.alias("key"), "text"), id="key")
+    first = classes.where("key = component_id").groupBy("key").agg(F.count("*").alias("n"))
+    first = staged(first.select(F.col("key.id").alias("_first_id"), F.col("key.digest").alias("_first_digest"), F.col("n").alias("_rows")), "pipeline-first")
+    same = id.eqNullSafe(F.col("_first_id")) & F.md5("text").eqNullSafe(F.col("_first_digest"))
+    kept = docs.join(first.where("_rows = 1"), same, "left_semi")
+    repeated = docs.join(first.where("_rows > 1"), same, "left_semi")
+    digested = repeated.select(F.struct("*").alias("row"), id.alias("id"), F.md5("text").alias("digest"))
+    return kept.unionByName(digested.dropDuplicates(["id", "digest"]).select("row.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,5 +38,13 @@ def test_odd_documents(spark):
     assert sorted((r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()), key=str) == [1, 3]
 
 
+def test_every_group_of_copies_keeps_one_document(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[2]), (9, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("x"))
+    kept = corpus_pipeline.near_duplicates(spark, docs, FOLDER).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=lambda r: r[1]) == [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3])]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").where("length <= 0").count() == 0
