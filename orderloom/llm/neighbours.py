@@ -233,7 +233,8 @@ def _descend(graph: DataFrame, codes: DataFrame, settings: Settings) -> DataFram
             better = (sims > least[a:b, None]) & (new[:, None] | new[None, :])
             np.fill_diagonal(better, False)
             i, j = np.nonzero(better)
-            out.append((member[a + i], member[a + j], sims[i, j]))
+            if len(i):
+                out.append((member[a + i], member[a + j], sims[i, j]))
         if out:
             v, near, sim = (np.concatenate([o[k] for o in out]) for k in range(3))
             order = np.lexsort((near, v))
