@@ -16,7 +16,12 @@ columns are read, so others may have any name.
 from __future__ import annotations
 
 import string
+import zlib
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,38 +31,139 @@ from orderloom.llm.common import staged
 ENDS = ".,;:!?\n\x0b\x0c\r"
 BREAK, PAD = "\n", ""  # no word is one of these
 UNKNOWN = "und"
+#: Bytes of text whose windows a task counts before it hands the counts on.
+STEP_BYTES = 24_000_000
+#: Pairs that open one window of HOT or more in about SAMPLE documents are dealt to SALTS tasks by their third word.
+SAMPLE, HOT, SALTS = 2000, 1000, 64
 
+_PLAIN = bytes.maketrans(
+    (string.ascii_uppercase + ENDS + "\t").encode(), (string.ascii_lowercase + BREAK * len(ENDS) + " ").encode())
 
-def windows(docs: DataFrame, text: str = "text", group: str = "lang") -> DataFrame:
-    """(lang, a, b, c): a window for each word, padded with ``PAD`` at the end of its piece."""
-    plain = F.translate(
-        F.coalesce(F.col(text), F.lit("")),
-        string.ascii_uppercase + ENDS, string.ascii_lowercase + BREAK * len(ENDS),
-    )
-    words = F.split(F.replace(plain, F.lit(BREAK), F.lit(f" {BREAK} ")), r"[\x20\x09]+")
-    rows = docs.select(F.coalesce(F.col(group), F.lit(UNKNOWN)).alias("lang"), words.alias("w"))
-    rows = rows.select("lang", F.inline(F.arrays_zip(
-        F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"), F.slice("w", F.lit(3), F.size("w")).alias("c"))))
 
-    def inside(word: str) -> Column:
-        return F.col(word).isNotNull() & ~F.col(word).isin(BREAK, PAD)
+def _windows(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, windows, counts): distinct windows as rows of three places in the sorted ``words``, in order.
 
-    return rows.where(inside("a")).select(
-        "lang", "a", F.when(inside("b"), F.col("b")).otherwise(PAD).alias("b"),
-        F.when(inside("b") & inside("c"), F.col("c")).otherwise(PAD).alias("c"),
-    )
+    The word at place 0 is ``PAD``. Windows lead by one and two words within a piece.
+    """
+    flat = BREAK.encode().join(texts).translate(_PLAIN).replace(b"\n", b" \n ")
+    split = pc.split_pattern(pa.array([flat], pa.large_binary()).cast(pa.large_string()), " ").flatten()
+    coded = pa.concat_arrays([pa.array([PAD, BREAK], pa.large_string()), split]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    codes = place[coded.indices.to_numpy()]
+    words, stop = coded.dictionary.take(pa.array(order)), codes[1]
+    codes = codes[codes != codes[0]]  # the first is BREAK, which ends no piece here
+    a = np.where(codes == stop, 0, codes)
+    b, c = np.append(a[1:], 0), np.append(a[2:], (0, 0))[:len(a)]
+    c = np.where(b == 0, 0, c)
+    pair = a * len(words) + b
+    if len(words) ** 3 >= 1 << 63:
+        pair = np.unique(pair, return_inverse=True)[1]
+    key = (pair * len(words) + c)[a > 0]
+    _, first, counts = np.unique(key, return_index=True, return_counts=True)
+    return words, np.stack((a, b, c), 1)[a > 0][first], counts
+
+
+def _dealt(words: pa.Array, found: np.ndarray, hot: list[tuple[str, str]]) -> np.ndarray:
+    """Per window a number for the task that counts it: -1, or the share of the third word if the pair is hot."""
+    salts = np.full(len(found), -1, np.int32)
+    places = [pc.index_in(pa.array([p[i] for p in hot], pa.large_string()), words).to_numpy(zero_copy_only=False) for i in (0, 1)]
+    known = ~(np.isnan(places[0].astype(float)) | np.isnan(places[1].astype(float)))
+    keys = places[0][known].astype(np.int64) * len(words) + places[1][known].astype(np.int64)
+    chosen = np.flatnonzero(np.isin(found[:, 0] * len(words) + found[:, 1], keys))
+    salts[chosen] = [zlib.crc32(w) % SALTS for w in words.take(pa.array(found[chosen, 2])).cast(pa.large_binary()).to_pylist()]
+    return salts
+
+
+def windows(docs: DataFrame, text: str = "text", group: str = "lang", hot: Iterable[tuple[str, str, str]] = ()) -> DataFrame:
+    """(lang, pair, salt, thirds, counts, f): windows counted by the batch and those that open with the same pair put in
+    one row. Words are joined by blanks; counts are empty if all are one; f is their sum."""
+    by_lang: dict[str, list[tuple[str, str]]] = {}
+    for lang, a, b in hot:
+        by_lang.setdefault(lang, []).append((a, b))
+
+    def counted(texts: list[bytes], lang: str) -> Iterator[pa.RecordBatch]:
+        words, found, counts = _windows(texts)
+        salts = _dealt(words, found, by_lang.get(lang, []))
+        opens = np.flatnonzero((salts >= 0) | np.append(True, (found[1:, :2] != found[:-1, :2]).any(1))[:len(found)])
+        for at in range(0, len(opens), 100_000):
+            first = opens[at:at + 100_000]
+            end = opens[at + 100_000] if at + 100_000 < len(opens) else len(found)
+            offsets, n = pa.array(np.append(first, end) - first[0], pa.int32()), counts[first[0]:end]
+            thirds = pc.binary_join(pa.ListArray.from_arrays(offsets, words.take(pa.array(found[first[0]:end, 2])).cast(pa.string())), " ")
+            texts = pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(n).cast(pa.string())), " ")
+            plain = np.maximum.reduceat(n, first - first[0]) == 1
+            pair = pc.binary_join_element_wise(
+                words.take(pa.array(found[first, 0])), words.take(pa.array(found[first, 1])), pa.scalar(" ", pa.large_string()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(pa.scalar(lang, pa.string()), len(first)), pair.cast(pa.string()), pa.array(salts[first]), thirds,
+                 pc.if_else(pa.array(plain), "", texts), pa.array(np.add.reduceat(n, first - first[0]))],
+                ["lang", "pair", "salt", "thirds", "counts", "f"],
+            )
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        held: dict[str, list[bytes]] = {}
+        size = 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                for lang, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+                    held.setdefault(lang, []).append(t)
+                    size += len(t)
+                if size > STEP_BYTES:
+                    for lang in list(held):
+                        yield from counted(held.pop(lang), lang)
+                    size = 0
+        for lang in list(held):
+            yield from counted(held.pop(lang), lang)
+
+    rows = docs.select(F.coalesce(F.col(group), F.lit(UNKNOWN)), F.coalesce(F.col(text), F.lit("")))
+    return rows.mapInArrow(work, "lang string, pair string, salt int, thirds string, counts string, f long")
+
+
+def _first(pair: str) -> Column:
+    return F.substring_index(pair, " ", 1)
+
+
+def _second(pair: str) -> Column:
+    return F.substring_index(pair, " ", -1)
+
+
+def hot_pairs(docs: DataFrame, text: str = "text", group: str = "lang") -> list[tuple[str, str, str]]:
+    """At most ``HOT`` pairs (lang, a, b). They decide which task counts what, never a count."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    pairs = windows(docs.sample(share, seed=1), text, group).groupBy("lang", "pair").agg(F.sum("f").alias("f"))
+    pairs = pairs.withColumn("all", F.sum("f").over(Window.partitionBy()))
+    return [(r["lang"], *r["pair"].split(" ")) for r in pairs.where(f"{HOT} * f >= all").collect()]
 
 
 def counted(docs: DataFrame, least: int, text: str = "text", group: str = "lang") -> DataFrame:
     """(lang, a, b, c, f) of all phrases of one to three words found ``least`` times or more, and the words of
-    each language under the phrase without words (a, b, c all ``PAD``). Missing words are ``PAD``."""
-    longest = windows(docs, text, group).groupBy("lang", "a", "b", "c").agg(F.count("*").alias("f"))
-    longest = staged(longest, "phrases-windows")
-    shorter = longest.rollup("lang", "a", "b").agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
-    level, often = F.col("level"), F.col("f") >= least
-    shorter = shorter.where((level == 3) | often & ((level == 1) | (level == 0) & (F.col("b") != PAD))).select(
-        "lang", F.coalesce("a", F.lit(PAD)).alias("a"), F.coalesce("b", F.lit(PAD)).alias("b"), F.lit(PAD).alias("c"), "f")
-    return shorter.union(longest.where(often & (F.col("c") != PAD)))
+    each language under the phrase without words (a, b, c all ``PAD``). Missing words are ``PAD``.
+
+    A window comes to one task with the others that its pair opens, but for hot pairs, which are dealt by the third word.
+    """
+    each = windows(docs, text, group, hot_pairs(docs, text, group)).repartition("lang", "pair", "salt")
+    ones = F.transform(F.split("thirds", " "), lambda _: F.lit(1).cast("long"))
+    counts = F.when(F.col("counts") == "", ones).otherwise(F.split("counts", " ").cast("array<long>"))
+    # Each row gives its windows and, under the third word BREAK, its pair: both are summed where they are.
+    longest = each.select("lang", "pair", "salt", F.inline(F.arrays_zip(
+        F.concat(F.split("thirds", " "), F.array(F.lit(BREAK))).alias("c"), F.concat(counts, F.array("f")).alias("f"))))
+    longest = longest.where(F.col("c") != PAD).groupBy("lang", "pair", "salt", "c").agg(F.sum("f").alias("f"))
+    is_pair = F.col("c") == BREAK
+    longest = longest.where((F.col("f") >= least) | is_pair & (F.col("salt") >= 0))
+    longest = longest.groupBy("lang", "pair", F.when(is_pair, PAD).otherwise(F.col("c")).alias("c")).agg(F.sum("f").alias("f"))
+    longest = longest.select("lang", _first("pair").alias("a"), _second("pair").alias("b"), "c", "f")
+    longest = longest.where(F.when(F.col("b") != PAD, F.col("f")) >= least)  # about a sum: not taken before the shuffle
+
+    # All columns are read here as well, so that both sums share one shuffle.
+    f = F.when(F.col("thirds").isNotNull() & F.col("counts").isNotNull() & F.col("salt").isNotNull(), F.col("f"))
+    words = each.select("lang", _first("pair").alias("a"), f.alias("f"))
+    words = words.rollup("lang", "a").agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
+    words = words.where(f"level = 1 OR level = 0 AND f >= {least}")
+    words = words.select("lang", F.coalesce("a", F.lit(PAD)).alias("a"), F.lit(PAD).alias("b"), F.lit(PAD).alias("c"), "f")
+    return words.union(longest)
 
 
 def _score(l: str, r: str) -> Column:

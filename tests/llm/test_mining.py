@@ -147,12 +147,24 @@ def test_scores_are_exact_beyond_64_bits(spark):
 
 
 def test_shorter_phrases_are_summed_from_the_counted_windows(spark):
-    """The texts are exploded once; pairs and words come from the counts."""
+    """Texts are read once, windows are shuffled once, and ROLLUP sums the rest."""
     docs = spark.createDataFrame([("a b c", "en")], "text string, lang string")
-    plan = phrases.windows(docs)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Generate inline") == 1
-    plan = phrases.counted(docs, 1)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Generate" not in plan and "Expand" in plan
+    frame = phrases.counted(docs, 1)
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.index("Initial Plan")]
+    assert final.count("MapInArrow") == 1 and final.count("ReusedExchange") == 1 and "Expand" in final
+
+
+def test_hot_pairs_are_dealt_by_the_third_word(spark, rows):
+    rng = random.Random(9)
+    texts = [("hot pair w%d . hot pair same . other words here" % rng.randint(0, 30), "en") for _ in range(3000)]
+    docs = spark.createDataFrame(texts, "text string, lang string")
+    hot = phrases.hot_pairs(docs)
+    assert ("en", "hot", "pair") in hot and len(hot) <= phrases.HOT
+    found = phrases.windows(docs, hot=hot).where("pair = 'hot pair'")
+    assert found.select("salt").distinct().count() > 20 and found.where("thirds LIKE '% %' OR salt < 0").count() == 0
+    assert rows(phrases.collocations(docs)) == sorted(plain_phrases(texts, 10, 50, 2000), key=repr)
 
 
 # Lexical search
