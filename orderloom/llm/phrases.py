@@ -119,7 +119,7 @@ def windows(docs: DataFrame, text: str = "text", group: str = "lang", hot: Itera
             yield from counted(held.pop(lang), lang)
 
     rows = docs.select(F.coalesce(F.col(group), F.lit(UNKNOWN)), F.coalesce(F.col(text), F.lit("")))
-    return rows.mapInArrow(work, "lang string, pair string, salt int, thirds string, counts string, f long")
+    return rows.mapInArrow(work, "lang string NOT NULL, pair string NOT NULL, salt int NOT NULL, thirds string, counts string, f long")
 
 
 def _first(pair: str) -> Column:
@@ -145,20 +145,20 @@ def counted(docs: DataFrame, least: int, text: str = "text", group: str = "lang"
     A window comes to one task with the others that its pair opens, but for hot pairs, which are dealt by the third word.
     """
     each = windows(docs, text, group, hot_pairs(docs, text, group)).repartition("lang", "pair", "salt")
-    ones = F.transform(F.split("thirds", " "), lambda _: F.lit(1).cast("long"))
-    counts = F.when(F.col("counts") == "", ones).otherwise(F.split("counts", " ").cast("array<long>"))
-    # Each row gives its windows and, under the third word BREAK, its pair: both are summed where they are.
-    longest = each.select("lang", "pair", "salt", F.inline(F.arrays_zip(
-        F.concat(F.split("thirds", " "), F.array(F.lit(BREAK))).alias("c"), F.concat(counts, F.array("f")).alias("f"))))
-    longest = longest.where(F.col("c") != PAD).groupBy("lang", "pair", "salt", "c").agg(F.sum("f").alias("f"))
-    is_pair = F.col("c") == BREAK
-    longest = longest.where((F.col("f") >= least) | is_pair & (F.col("salt") >= 0))
-    longest = longest.groupBy("lang", "pair", F.when(is_pair, PAD).otherwise(F.col("c")).alias("c")).agg(F.sum("f").alias("f"))
-    longest = longest.select("lang", _first("pair").alias("a"), _second("pair").alias("b"), "c", "f")
+    # Every branch reads all columns, so that they share one shuffle.
+    f = F.when(F.col("thirds").isNotNull() & F.col("counts").isNotNull() & (F.col("salt") >= -1), F.col("f"))
+    keys = ["lang", "pair", "salt"]
+    pairs = each.groupBy(*keys).agg(F.sum(f).alias("f")).where((F.col("f") >= least) | (F.col("salt") >= 0))
+    # Only a pair that is found often opens windows that are; both lie in one task.
+    longest = each.join(pairs.select(*keys).hint("shuffle_hash"), keys)
+    counts = F.when(F.col("counts") == "", F.expr("array_repeat(1L, cast(f AS int))")).otherwise(F.split("counts", " ").cast("array<long>"))
+    longest = longest.select(*keys, F.inline(F.arrays_zip(F.split("thirds", " ").alias("c"), counts.alias("f"))))
+    longest = longest.groupBy(*keys, "c").agg(F.sum("f").alias("f")).select("lang", "pair", "c", "f")
+    longest = longest.where(F.when(F.col("c") != PAD, F.col("f")) >= least)
+    pairs = pairs.groupBy("lang", "pair").agg(F.sum("f").alias("f")).select("lang", "pair", F.lit(PAD).alias("c"), "f")
+    longest = pairs.union(longest).select("lang", _first("pair").alias("a"), _second("pair").alias("b"), "c", "f")
     longest = longest.where(F.when(F.col("b") != PAD, F.col("f")) >= least)  # about a sum: not taken before the shuffle
 
-    # All columns are read here as well, so that both sums share one shuffle.
-    f = F.when(F.col("thirds").isNotNull() & F.col("counts").isNotNull() & F.col("salt").isNotNull(), F.col("f"))
     words = each.select("lang", _first("pair").alias("a"), f.alias("f"))
     words = words.rollup("lang", "a").agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
     words = words.where(f"level = 1 OR level = 0 AND f >= {least}")

@@ -153,7 +153,7 @@ def test_shorter_phrases_are_summed_from_the_counted_windows(spark):
     frame.collect()
     plan = frame._jdf.queryExecution().executedPlan().toString()
     final = plan[:plan.index("Initial Plan")]
-    assert final.count("MapInArrow") == 1 and final.count("ReusedExchange") == 1 and "Expand" in final
+    assert final.count("MapInArrow") == 1 and final.count("ReusedExchange") == 3 and "ShuffledHashJoin" in final and "Expand" in final
 
 
 def test_hot_pairs_are_dealt_by_the_third_word(spark, rows):
