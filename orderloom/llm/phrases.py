@@ -149,10 +149,11 @@ def counted(docs: DataFrame, least: int, text: str = "text", group: str = "lang"
     f = F.when(F.col("thirds").isNotNull() & F.col("counts").isNotNull() & (F.col("salt") >= -1), F.col("f"))
     keys = ["lang", "pair", "salt"]
     pairs = each.groupBy(*keys).agg(F.sum(f).alias("f")).where((F.col("f") >= least) | (F.col("salt") >= 0))
-    # Only a pair that is found often opens windows that are; both lie in one task.
-    longest = each.join(pairs.select(*keys).hint("shuffle_hash"), keys)
+    # Only a pair that is found often opens windows that are; both lie in one task. The others pass with no window left.
+    longest = each.join(pairs.select(*keys, F.lit(True).alias("often")).hint("shuffle_hash"), keys, "left")
     counts = F.when(F.col("counts") == "", F.expr("array_repeat(1L, cast(f AS int))")).otherwise(F.split("counts", " ").cast("array<long>"))
-    longest = longest.select(*keys, F.inline(F.arrays_zip(F.split("thirds", " ").alias("c"), counts.alias("f"))))
+    zipped = F.arrays_zip(F.split("thirds", " ").alias("c"), counts.alias("f"))
+    longest = longest.select(*keys, F.inline(F.when(F.col("often"), zipped).otherwise(F.slice(zipped, 1, 0))))
     longest = longest.groupBy(*keys, "c").agg(F.sum("f").alias("f")).select("lang", "pair", "c", "f")
     longest = longest.where(F.when(F.col("c") != PAD, F.col("f")) >= least)
     pairs = pairs.groupBy("lang", "pair").agg(F.sum("f").alias("f")).select("lang", "pair", F.lit(PAD).alias("c"), "f")
