@@ -1,65 +1,35 @@
-"""Gap-free row numbers in key order, without sorting a large table in one task."""
+"""Gap-free row numbers in key order, by a prefix sum over ranges of the key."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ONE_TASK_ROWS = 1_000_000
-ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 256
+#: ``monotonically_increasing_id`` holds the partition above these bits and the place in it below.
+PLACE_BITS = 33
 
 
 def number_rows(
-    df: DataFrame,
-    by: str,
-    name: str,
-    start: int = 0,
-    counted: DataFrame | None = None,
-    one_task_rows: int = ONE_TASK_ROWS,
+    df: DataFrame, by: str, name: str, start: int = 0, stage: Callable[[DataFrame, str], DataFrame] | None = None
 ) -> DataFrame:
     """Number the rows ``start, start + 1, ...`` in the order of the unique column ``by``.
 
-    Up to ``one_task_rows`` rows (counted, not guessed) are numbered by one window. Beyond that
-    the key space is cut into ranges: each range is counted, then numbered on its own from the
-    sum of the counts before it. The cut points affect only balance, never the numbers.
-    ``counted`` may name a frame of at least as many rows that is cheaper to count.
+    The rows are dealt to tasks by ranges of the key and sorted there, and written once with the number of
+    their range and their place in it. A count per range then says how many rows lie before it. No task
+    sees more than its range, and where the ranges are cut never changes a number.
     """
-    order = Window.orderBy(by)
-    if (df if counted is None else counted).select(by).limit(one_task_rows + 1).count() <= one_task_rows:
-        return df.withColumn(name, F.row_number().over(order).cast("bigint") + (start - 1))
-
-    bucket = _range_of(F.col(by), _cut_points(df, by))
-    sizes = dict(df.groupBy(bucket.alias("r")).count().collect())  # at most MAX_RANGES rows
-    offsets, total = [], start - 1
-    for r in range(max(sizes) + 1):
-        offsets.append(F.lit(total).cast("bigint"))
-        total += sizes.get(r, 0)
-    return (
-        df.withColumn("_range", bucket)
-        .withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(by)).cast("bigint"))
-        .withColumn(name, F.col(name) + F.element_at(F.array(*offsets), F.col("_range") + 1))
-        .drop("_range")
-    )
-
-
-def _cut_points(df: DataFrame, by: str) -> list:
-    """Evenly spaced keys from a small sample; the sample size does not grow with the table."""
-    rows = df.select(by).count()
-    ranges = min(MAX_RANGES, max(2, rows // ROWS_PER_RANGE + 1))
-    share = min(1.0, 40 * ranges / rows)
-    picked = sorted(r[0] for r in df.select(by).dropna().sample(share, seed=7).collect())
-    step = max(1, len(picked) // ranges)
-    return sorted(set(picked[step::step]))[: MAX_RANGES - 1]
-
-
-def _range_of(key: Column, cuts: list) -> Column:
-    """Index of the range that holds ``key``: a halving search over the cut points."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(key >= F.lit(cuts[mid]), search(mid + 1, high)).otherwise(search(low, mid))
-
-    return search(0, len(cuts))
+    if stage is None:
+        from orderloom.session import stage
+    id = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_id", id)
+    placed = stage(ranged, "numbered")
+    part, place = F.shiftright("_id", PLACE_BITS), F.col("_id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    sizes = dict(placed.groupBy(part.cast("int").alias("p")).agg(F.max(place).alias("last")).collect())  # one row per range
+    before, total = [], start
+    for p in range(max(sizes, default=-1) + 1):
+        before.append(F.lit(total).cast("bigint"))
+        total += sizes.get(p, -1) + 1
+    offsets = F.array(*before) if before else F.array(F.lit(start).cast("bigint"))
+    return placed.withColumn(name, place + F.element_at(offsets, part.cast("int") + 1)).drop("_id")

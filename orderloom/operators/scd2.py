@@ -11,6 +11,10 @@ from orderloom.config import Dimension
 from orderloom.functions import number_rows, rows_differ
 from orderloom.operators.incremental import high_watermark, latest_by_key, literal_like
 from orderloom.session import stage
+from orderloom.sources.layers import BUCKET, bucket_of
+
+
+Stage = Callable[[DataFrame, str], DataFrame]
 
 
 def _versions(rows: DataFrame, dim: Dimension) -> DataFrame:
@@ -28,9 +32,9 @@ def _source(source: DataFrame, dim: Dimension) -> DataFrame:
     return latest_by_key(columns, dim.key, dim.updated_at)
 
 
-def initial_load(source: DataFrame, dim: Dimension) -> DataFrame:
+def initial_load(source: DataFrame, dim: Dimension, stage: Stage = stage) -> DataFrame:
     """First versions, with surrogate keys 0, 1, ... in the order of the business key."""
-    return _versions(number_rows(_source(source, dim), dim.key, dim.surrogate, counted=source), dim)
+    return _versions(number_rows(_source(source, dim), dim.key, dim.surrogate, stage=stage), dim)
 
 
 def has_updates(target: DataFrame, source: DataFrame, dim: Dimension) -> bool:
@@ -67,7 +71,7 @@ def apply(
     source: DataFrame,
     dim: Dimension,
     as_of: str,
-    stage: Callable[[DataFrame, str], DataFrame] = stage,
+    stage: Stage = stage,
 ) -> DataFrame:
     """The dimension after taking in ``source``: changed versions closed on ``as_of``, new ones open.
 
@@ -76,17 +80,29 @@ def apply(
     one per key, are matched.
     """
     changed = stage(changes(target, source, dim), f"{dim.name}-changes")
-    top = target.agg(F.max(dim.surrogate)).first()[0]
-    opened = _versions(
-        number_rows(changed, dim.key, dim.surrogate, start=0 if top is None else top + 1), dim
-    )
+    history = target.filter("NOT is_current").select(dim.columns)
+    return history.unionByName(_after(target.filter("is_current"), changed, target, dim, as_of, stage))
+
 
-    history = target.filter("NOT is_current")
+def merge(
+    current: DataFrame, versions: DataFrame, source: DataFrame, dim: Dimension, as_of: str, stage: Stage = stage
+) -> DataFrame:
+    """What a merge of ``source`` writes: the current versions of the buckets with a changed key, and the versions closed.
+
+    ``current`` holds the current versions with their buckets. Of all ``versions`` only the largest surrogate key is read.
+    """
+    changed = stage(changes(current, source, dim), f"{dim.name}-changes")
+    touched = [r[0] for r in changed.select(bucket_of(dim.key)).distinct().collect()]  # at most the buckets there are
+    return _after(current.filter(F.col(BUCKET).isin(touched)), changed, versions, dim, as_of, stage)
+
+
+def _after(current: DataFrame, changed: DataFrame, target: DataFrame, dim: Dimension, as_of: str, stage: Stage) -> DataFrame:
+    """``current`` versions, closed where ``changed`` replaces them, and the new ones, numbered on from ``target``."""
+    top = target.agg(F.max(dim.surrogate)).first()[0]
+    opened = _versions(number_rows(changed, dim.key, dim.surrogate, 0 if top is None else top + 1, stage), dim)
     replaced = changed.filter("NOT is_new").select(dim.key, F.lit(True).alias("_replaced"))
-    current = target.filter("is_current").join(replaced, dim.key, "left")
-    kept = current.withColumns({
+    kept = current.join(replaced, dim.key, "left").withColumns({
         "end_date": F.when(F.col("_replaced"), F.lit(as_of).cast("date")).otherwise(F.col("end_date")),
         "is_current": F.col("_replaced").isNull(),
     })
-    parts = [history, kept, opened]
-    return parts[0].select(dim.columns).unionByName(parts[1].select(dim.columns)).unionByName(parts[2])
+    return kept.select(dim.columns).unionByName(opened)

@@ -21,9 +21,9 @@ from orderloom.schemas import ACCEPTED_SUGGESTION
 from orderloom.session import Scratch
 from orderloom.sources import (
     accept_schema, append_partitioned, day_folders, has_data, latest_watermark, overwrite, read_layer, read_table,
-    read_since, read_versioned, settle_append, stored_schema, write_versioned,
+    merge_versions, read_since, read_versioned, settle, stored_schema, write_versioned,
 )
-from orderloom.sources.layers import versioned_exists
+from orderloom.sources.layers import read_merged, versioned_exists
 from orderloom.streaming.suggestions import ACCEPTED_TOPIC, load_suggestions
 
 
@@ -55,18 +55,35 @@ class Run:
         rows but no time at all: its rows would otherwise come again with every run.
         """
         if lower is None:
-            return source.filter("false") if has_data(self.spark, target) else source
+            return source.filter("false") if self._has(target) else source
         if key is None or self.ties == "strict":
             return incremental.newer_than(source, ts, lower)
-        loaded = read_since(self.spark, target, lower[:10]).select(
+        loaded = self._since(target, lower[:10]).select(
             F.col(target_key).alias(key), F.col(target_ts).alias(ts)
         )
         return incremental.newer_than(source, ts, lower, ties=self.ties, target=loaded, key=key)
 
-    def _settle(self, *paths: str) -> None:
-        """End appends of an earlier run that were cut short, before watermarks are read."""
-        for path in paths:
-            settle_append(self.spark, path)
+    # Tables are only looked at through these: each first ends what an interrupted run left of its writes.
+
+    def _has(self, path: str) -> bool:
+        settle(self.spark, path)
+        return has_data(self.spark, path)
+
+    def _all(self, path: str) -> DataFrame:
+        settle(self.spark, path)
+        return read_layer(self.spark, path)
+
+    def _since(self, path: str, day: str | None) -> DataFrame:
+        settle(self.spark, path)
+        return read_since(self.spark, path, day)
+
+    def _watermark(self, path: str, ts: str) -> str | None:
+        settle(self.spark, path)
+        return latest_watermark(self.spark, path, ts)
+
+    def _days(self, path: str):
+        settle(self.spark, path)
+        return day_folders(self.spark, path)
 
     # Raw layer
 
@@ -79,17 +96,16 @@ class Run:
         already arrived are recognised.
         """
         target, lines_target = self.lake.bronze("orders"), self.lake.bronze("order_details")
-        self._settle(target, lines_target)
-        lower = latest_watermark(self.spark, target, "timestamp")
+        lower = self._watermark(target, "timestamp")
         source = read_table(self.spark, self.lake.source, "orders")
         newer = self._newer(source, "timestamp", target, lower, "id", "id", "timestamp")
         orders = self.scratch.stage(date_parts(newer, "timestamp"), "orders")
         if orders.isEmpty():
             return
         pending = orders
-        if has_data(self.spark, lines_target):
+        if self._has(lines_target):
             pending = incremental.without_lines(
-                orders, read_since(self.spark, lines_target, lower and lower[:10])
+                orders, self._since(lines_target, lower and lower[:10])
             )
         details = read_table(self.spark, self.lake.source, "order_details", lower)
         append_partitioned(incremental.lines_of(pending, details), lines_target)
@@ -97,14 +113,14 @@ class Run:
 
     def load_dimension_table(self, table: str) -> None:
         target = self.lake.bronze(table)
-        self._settle(target)
-        lower = latest_watermark(self.spark, target, "updated_at")
+        lower = self._watermark(target, "updated_at")
         source = read_table(self.spark, self.lake.source, table)
         newer = self._newer(source, "updated_at", target, lower, "id", "id", "updated_at")
         append_partitioned(date_parts(newer, "updated_at"), target)
 
     def load_bronze(self) -> None:
         self.load_orders()
+        settle(self.spark, self.lake.bronze("orders"))
         load_suggestions(self.spark, self.lake, self.as_of)
         for table in BRONZE_DIMENSIONS:
             self.load_dimension_table(table)
@@ -112,7 +128,7 @@ class Run:
     # Checks
 
     def _tables(self, path, names) -> dict[str, DataFrame]:
-        return {n: read_layer(self.spark, path(n)) for n in names if has_data(self.spark, path(n))}
+        return {n: self._all(path(n)) for n in names if self._has(path(n))}
 
     def check_bronze(self) -> DataFrame:
         return quality.check_tables(self._tables(self.lake.bronze, BRONZE_RULES), BRONZE_RULES)
@@ -136,7 +152,7 @@ class Run:
 
     def build_silver_dimensions(self) -> None:
         def bronze(table: str) -> DataFrame:
-            return read_layer(self.spark, self.lake.bronze(table))
+            return self._all(self.lake.bronze(table))
 
         overwrite(clean.clean_stores(bronze("stores")), self.lake.silver("stores"))
         overwrite(
@@ -148,21 +164,20 @@ class Run:
     def build_silver_facts(self) -> None:
         """New orders, their lines, and suggestions not taken in yet; again orders last."""
         target, lines_target = self.lake.silver("orders"), self.lake.silver("order_details")
-        self._settle(target, lines_target)
-        lower = latest_watermark(self.spark, target, "timestamp")
+        lower = self._watermark(target, "timestamp")
         day = lower and lower[:10]
-        recent = read_since(self.spark, self.lake.bronze("orders"), day)
+        recent = self._since(self.lake.bronze("orders"), day)
         orders = self._newer(recent, "timestamp", target, lower, "id", "order_id", "timestamp")
         if orders.isEmpty():
             return
         suggestions = self._suggestions()
         pending, loaded, since = orders, None, None
-        if has_data(self.spark, lines_target):
-            recent_own = clean.own_lines(read_since(self.spark, lines_target, day), suggestions)
+        if self._has(lines_target):
+            recent_own = clean.own_lines(self._since(lines_target, day), suggestions)
             pending = incremental.without_lines(orders, recent_own)
             since = self._last_taken(suggestions, lines_target)
-            loaded = since and read_since(self.spark, lines_target, since)
-        lines = read_since(self.spark, self.lake.bronze("order_details"), day)
+            loaded = since and self._since(lines_target, since)
+        lines = self._since(self.lake.bronze("order_details"), day)
         append_partitioned(clean.clean_lines(pending, lines, suggestions, loaded, since), lines_target)
         append_partitioned(clean.clean_orders(orders), target)
 
@@ -172,10 +187,10 @@ class Run:
         Delivery days never go back and a run takes all suggestions there are, so those of
         earlier days are all in. Usually the first day looked at decides.
         """
-        for day, _ in day_folders(self.spark, self.lake.bronze(ACCEPTED_TOPIC)):
+        for day, _ in self._days(self.lake.bronze(ACCEPTED_TOPIC)):
             y, m, d = (int(part) for part in day.split("-"))
             folder = f"{lines_target}/year={y}/month={m}/day={d}"
-            if has_data(self.spark, folder) and clean.any_taken(
+            if self._has(folder) and clean.any_taken(
                 suggestions.filter((F.col("year") == y) & (F.col("month") == m) & (F.col("day") == d)),
                 self.spark.read.parquet(folder),
             ):
@@ -184,8 +199,8 @@ class Run:
 
     def _suggestions(self) -> DataFrame:
         path = self.lake.bronze(ACCEPTED_TOPIC)
-        if has_data(self.spark, path):
-            return read_layer(self.spark, path)
+        if self._has(path):
+            return self._all(path)
         columns = f"{ACCEPTED_SUGGESTION}, year int, month int, day int"
         return self.spark.createDataFrame([], columns)
 
@@ -195,13 +210,19 @@ class Run:
         """First load, or the changes since. ``gate`` skips the comparison when no source row
         is newer than the newest version."""
         path, fmt = self.lake.gold(dim.name), self.lake.table_format
-        source = read_layer(self.spark, self.lake.silver(dim.silver))
+        source = self._all(self.lake.silver(dim.silver))
+        if fmt == "merged":
+            settle(self.spark, path)
         if not versioned_exists(self.spark, path, fmt):
-            write_versioned(scd2.initial_load(source, dim), path, fmt)
+            write_versioned(scd2.initial_load(source, dim, self.scratch.stage), path, fmt, key=dim.key)
             return
         target = read_versioned(self.spark, path, fmt)
         if gate and not scd2.has_updates(target, source, dim):
             return
+        if fmt == "merged":
+            current = read_merged(self.spark, path, current=True)
+            merge_versions(self.spark, path, scd2.merge(current, target, source, dim, self.as_of, self.scratch.stage), dim.key)
+            return
         write_versioned(scd2.apply(target, source, dim, self.as_of, self.scratch.stage), path, fmt)
 
     def build_fact(self, grain: str = "timestamp") -> None:
@@ -212,10 +233,9 @@ class Run:
         that differ.
         """
         target = self.lake.gold("fact_orders")
-        self._settle(target)
-        after = latest_watermark(self.spark, target, "order_date")
+        after = self._watermark(target, "order_date")
         day = after and after[:10]
-        recent = read_since(self.spark, self.lake.silver("orders"), day)
+        recent = self._since(self.lake.silver("orders"), day)
         if grain == "day":
             orders = facts.orders_after(recent, after, grain)
         else:
@@ -223,11 +243,11 @@ class Run:
         if orders.isEmpty():
             return
         products, stores, methods = (
-            read_versioned(self.spark, self.lake.gold(name), self.lake.table_format)
+            read_versioned(self.spark, self.lake.gold(name), self.lake.table_format, current=True)
             for name in ("dim_products", "dim_stores", "dim_payment_method")
         )
         since = day and (date.fromisoformat(day) - timedelta(days=1)).isoformat()
-        lines = read_since(self.spark, self.lake.silver("order_details"), since)
+        lines = self._since(self.lake.silver("order_details"), since)
         append_partitioned(facts.build_fact(orders, lines, products, stores, methods), target)
 
     def inspect(self) -> DataFrame:
@@ -236,7 +256,7 @@ class Run:
             f"gld.{d.name}": lambda d=d: read_versioned(self.spark, self.lake.gold(d.name), fmt)
             for d in DIMENSIONS
         }
-        tables["gld.fact_orders"] = lambda: read_layer(self.spark, self.lake.gold("fact_orders"))
+        tables["gld.fact_orders"] = lambda: self._all(self.lake.gold("fact_orders"))
         return quality.inspect_tables(self.spark, tables)
 
 

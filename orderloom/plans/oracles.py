@@ -218,11 +218,47 @@ BLOCKS["fact"] = ("brz_details brz_orders dim_products dim_stores dim_payment_me
         JOIN dim_stores s ON s.store_id = o.store_id
         JOIN dim_payment_method m ON m.method_id = o.payment_method_id""")
 
+def _fact_of(orders: str, lines: str, products: str) -> str:
+    return f"""
+        SELECT o.year, o.month, o.day, o."timestamp" AS order_date, o.id AS order_id, o.customer_id, s.store_key,
+               m.method_key AS payment_method_key, p.product_key, d.quantity, d.subtotal
+        FROM {orders} o JOIN {lines} d ON d.order_id = o.id JOIN {products} p ON p.product_id = d.product_id
+        JOIN dim_stores s ON s.store_id = o.store_id JOIN dim_payment_method m ON m.method_id = o.payment_method_id"""
+
+
+# What whole runs leave: lines with suggestions, and products whose second version was loaded by its time stamps.
+_PLACED = "order_id, product_id, quantity, subtotal"
+BLOCKS["all_lines"] = ("order_details once", f"""
+        SELECT {_PLACED} FROM order_details UNION ALL SELECT {_PLACED} FROM once""")
+BLOCKS["first_lines"] = ("order_details deliveries", f"""
+        SELECT {_PLACED} FROM order_details UNION ALL
+        SELECT {_PLACED} FROM (SELECT DISTINCT * FROM deliveries WHERE event_type = 'purchase')""")
+BLOCKS["run_products"] = ("products_v1 products_v2", f"""
+        SELECT * FROM products_v1 UNION ALL SELECT * FROM products_v2 WHERE updated_at = {STAMP1}""")
+BLOCKS["slv_run_products"] = ("run_products product_category", _clean_products("run_products"))
+BLOCKS["changed_run_products"] = ("slv_run_products slv_products_v1", """
+        SELECT s.product_id FROM slv_run_products s LEFT JOIN slv_products_v1 t USING (product_id)
+        WHERE t.product_id IS NULL OR s.unit_price <> t.unit_price""")
+BLOCKS["second_products"] = ("first_products changed_run_products", """
+        SELECT product_key, product_id FROM first_products
+        WHERE product_id NOT IN (SELECT product_id FROM changed_run_products)
+        UNION ALL
+        SELECT (SELECT max(product_key) FROM first_products) + row_number() OVER (ORDER BY product_id), product_id
+        FROM changed_run_products""")
+BLOCKS["month_orders"] = ("src_orders", """
+        SELECT *, CAST(year("timestamp") AS INTEGER) AS year, CAST(month("timestamp") AS INTEGER) AS month,
+               CAST(day("timestamp") AS INTEGER) AS day
+        FROM (SELECT * REPLACE (CAST(date_trunc('month', "timestamp") AS TIMESTAMP) + to_hours(day("timestamp") - 1) AS "timestamp")
+              FROM src_orders)""")
+BLOCKS["old_month_orders"] = ("month_orders", f"""SELECT * FROM month_orders WHERE "timestamp" < {CUT}""")
+BLOCKS["new_month_orders"] = ("month_orders", f"""SELECT * FROM month_orders WHERE "timestamp" >= {CUT}""")
+
 # Tables with flaws, for the quality rules.
 BLOCKS["q_orders"] = ("src_orders", """
         SELECT * REPLACE (CASE WHEN customer_id % 16 <> 0 THEN customer_id END AS customer_id) FROM src_orders""")
 BLOCKS["q_products"] = ("products_v1 products_v2", f"""
-        SELECT * FROM products_v1 UNION ALL SELECT * FROM products_v2 WHERE updated_at = {STAMP1}""")
+        SELECT * FROM products_v1 UNION ALL
+        SELECT * FROM products_v2 WHERE updated_at = {STAMP1} OR id NOT IN (SELECT id FROM products_v1)""")
 BLOCKS["qs_products"] = ("q_products product_category", _clean_products("q_products"))
 BLOCKS["qs_orders"] = ("q_orders", "SELECT * RENAME (id AS order_id) FROM q_orders")
 BLOCKS["qs_details"] = ("brz_details once", "SELECT * FROM brz_details UNION ALL SELECT * FROM once")
@@ -366,6 +402,13 @@ ORACLES: dict[str, str] = {
     "dim_payment_scd2": _query("scd2_payment_method", "SELECT * FROM scd2_payment_method"),
     "dim_products_scd2": _query("scd2_products", "SELECT * FROM scd2_products"),
     "dim_stores_scd2": _query("scd2_stores", "SELECT * FROM scd2_stores"),
+    "dim_products_merge": _query("scd2_products", "SELECT * FROM scd2_products"),
+    "run_fact_full": _query(
+        "month_orders all_lines dim_products dim_stores dim_payment_method", _fact_of("month_orders", "all_lines", "dim_products")),
+    "run_fact_delta": _query(
+        "old_month_orders new_month_orders first_lines all_lines first_products second_products dim_stores dim_payment_method",
+        _fact_of("old_month_orders", "first_lines", "first_products") + " UNION ALL "
+        + _fact_of("new_month_orders", "all_lines", "second_products")),
     "dq_schema_drift": _query("order_details", _DRIFT),
     "dq_null_ratio": _query(*_rules("brz", "null_ratio")),
     "dq_duplicate_keys": _query(*_rules("brz", "repeated_keys")),

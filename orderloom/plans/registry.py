@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.config import BRONZE_RULES, PAYMENT_METHOD, PRODUCTS, SILVER_RULES, STORES
+from orderloom.config import BRONZE_RULES, PAYMENT_METHOD, PRODUCTS, SILVER_RULES, STORES, Endpoint, Lake
 from orderloom.functions import date_parts
 from orderloom.operators import clean, facts, incremental, ingest, quality, scd2, suggest
+from orderloom.plans.batch import run_batch
 from orderloom.plans.driver_views import AS_OF, CUTOFF, T0, T1, DriverTables
 from orderloom.session import scratch_path
-from orderloom.sources import read_csv_dimension
+from orderloom.sources import layers, read_csv_dimension
 from orderloom.streaming import assembly, changes
+from orderloom.streaming.suggestions import ACCEPTED_TOPIC
 
 SCD2_DAY = "2024-02-01"
 
@@ -183,6 +185,62 @@ def dim_stores_scd2(spark, folder):
     return _shown(scd2.apply(target, _stores(src, 2), STORES, SCD2_DAY))
 
 
+def dim_products_merge(spark, folder):
+    """The second version merged into a written table, and the table read again."""
+    src = _source(spark, folder)
+    path = scratch_path(spark, "dim-products")
+    layers.write_versioned(scd2.initial_load(_products(src, 1), PRODUCTS), path, "merged", key=PRODUCTS.key)
+    current, versions = layers.read_merged(spark, path, current=True), layers.read_merged(spark, path)
+    layers.merge_versions(spark, path, scd2.merge(current, versions, _products(src, 2), PRODUCTS, SCD2_DAY), PRODUCTS.key)
+    return _shown(layers.read_versioned(spark, path, "merged"))
+
+
+def _lake(spark: SparkSession) -> Lake:
+    root = scratch_path(spark, "lake")
+    return Lake(f"{root}/lake", Endpoint("parquet", path=f"{root}/source"), Endpoint("text", path=f"{root}/topics"), "merged")
+
+
+def _put(lake: Lake, **tables: DataFrame) -> None:
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{lake.source.path}/{name}")
+
+
+def _deliver(lake: Lake, records: DataFrame) -> None:
+    records.select("value").write.mode("append").text(f"{lake.topics.path}/{ACCEPTED_TOPIC}")
+
+
+def _monthly(src: DriverTables) -> DataFrame:
+    """All orders, those of a month within its first two days (an hour for a day), so that a run makes fewer folders."""
+    hours = F.expr("make_interval(0, 0, 0, 0, day(timestamp) - 1)")
+    return src.orders().withColumn("timestamp", F.date_trunc("month", "timestamp").cast("timestamp_ntz") + hours)
+
+
+def run_fact_full(spark, folder):
+    """The whole batch run over all source tables and the topic, and the fact it wrote."""
+    src, lake = _source(spark, folder), _lake(spark)
+    _put(lake, orders=_monthly(src), order_details=src.order_details(), products=src.products(), stores=src.stores(),
+         product_category=src.product_category(), payment_method=src.payment_method(), customers=src.customers())
+    _deliver(lake, src.suggestion_records())
+    run_batch(spark, lake, AS_OF)
+    return layers.read_layer(spark, lake.gold("fact_orders"))
+
+
+def run_fact_delta(spark, folder):
+    """Two runs: orders before the cut with some suggestions, then everything with changed products; a third finds no news."""
+    src, lake = _source(spark, folder), _lake(spark)
+    details, records = src.order_details(), src.suggestion_records()
+    old = _monthly(src).filter(F.col("timestamp") < src.stamp(CUTOFF))
+    _put(lake, orders=old, order_details=details, products=src.products_v1(), stores=src.stores(),
+         product_category=src.product_category(), payment_method=src.payment_method(), customers=src.customers())
+    _deliver(lake, records.filter("event_type = 'purchase'"))
+    run_batch(spark, lake, AS_OF)
+    _put(lake, orders=_monthly(src), products=src.products_v2())
+    _deliver(lake, records.filter("event_type <> 'purchase'"))
+    for _ in range(2):
+        run_batch(spark, lake, AS_OF)
+    return layers.read_layer(spark, lake.gold("fact_orders"))
+
+
 def _fact(src: DriverTables, orders: DataFrame) -> DataFrame:
     dated = date_parts(src.orders().withColumnRenamed("id", "order_id"), "timestamp") if orders is None else orders
     return facts.build_fact(
@@ -231,14 +289,19 @@ def _bronze_tables(src: DriverTables) -> dict[str, DataFrame]:
         "orders": orders,
         "order_details": src.order_details(),
         "order_suggestion_accepted": _suggestions(src, False),
-        "products": src.products_v1().unionByName(
-            src.products_v2().filter(F.col("updated_at") == src.stamp(T1))
-        ),
+        "products": src.products_v1().unionByName(_changed_or_new(src)),
         "product_category": src.product_category(),
         "stores": src.stores(),
     }
 
 
+def _changed_or_new(src: DriverTables) -> DataFrame:
+    """Products of the second version that changed or that the first one lacks."""
+    first = src.products_v1().select("id", F.lit(True).alias("known"))
+    rows = src.products_v2().join(first, "id", "left")
+    return rows.filter((F.col("updated_at") == src.stamp(T1)) | F.col("known").isNull()).drop("known")
+
+
 def _silver_tables(src: DriverTables) -> dict[str, DataFrame]:
     bronze = _bronze_tables(src)
     lines = incremental.lines_of(date_parts(bronze["orders"], "timestamp"), bronze["order_details"])
@@ -410,7 +473,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         silver_stores, silver_products, silver_payment_method, silver_customers, silver_orders,
         silver_order_details, silver_suggestions_unseen,
         dim_payment_initial, dim_products_initial, dim_stores_initial, dim_products_changes,
-        dim_payment_scd2, dim_products_scd2, dim_stores_scd2,
+        dim_payment_scd2, dim_products_scd2, dim_stores_scd2, dim_products_merge, run_fact_full, run_fact_delta,
         dq_schema_drift, dq_null_ratio, dq_duplicate_keys, dq_completeness, dq_min, dq_uniqueness,
         dq_report, inspect_tables,
         ref_diamond_customers, ref_acb_methods, ref_products,

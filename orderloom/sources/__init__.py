@@ -1,11 +1,12 @@
 from .files import day_folders, has_data, latest_watermark, list_dirs, newest_day
 from .layers import (
     append_partitioned,
+    merge_versions,
     overwrite,
     read_layer,
     read_since,
     read_versioned,
-    settle_append,
+    settle,
     write_versioned,
 )
 from .relational import read_table
@@ -14,7 +15,8 @@ from .topics import from_topic, read_topic, stream_topic, to_messages, write_top
 from .csv import read_csv_dimension
 
 __all__ = [
-    "accept_schema", "append_partitioned", "day_folders", "from_topic", "has_data", "latest_watermark", "list_dirs", "newest_day",
+    "accept_schema", "append_partitioned", "day_folders", "from_topic", "has_data", "latest_watermark", "list_dirs",
+    "merge_versions", "newest_day",
     "overwrite", "read_csv_dimension", "read_layer", "read_since", "read_table", "read_topic", "read_versioned",
-    "settle_append", "stored_schema", "stream_topic", "to_messages", "write_topic", "write_versioned",
+    "settle", "stored_schema", "stream_topic", "to_messages", "write_topic", "write_versioned",
 ]

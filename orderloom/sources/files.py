@@ -51,21 +51,24 @@ def mark(spark: SparkSession, path: str) -> None:
 
 
 def move_below(spark: SparkSession, source: str, target: str) -> None:
-    """Move the data files below ``source`` to the same places below ``target``. May be repeated."""
+    """Move the data files below ``source`` to the same places below ``target``. May be repeated.
+
+    A folder that the target lacks is moved as one; only folders on both sides are looked into.
+    """
     fs, top = _open(spark, source)
     if not fs.exists(top):
         return
-    base = len(fs.makeQualified(top).toString())
-    files = fs.listFiles(top, True)
-    while files.hasNext():
-        found = files.next().getPath()
-        below = found.toString()[base:].lstrip("/")
-        if found.getName().startswith(("_", ".")):
+    _, place = _open(spark, target)
+    fs.mkdirs(place)
+    there = {found.getPath().getName() for found in fs.listStatus(place)}
+    for found in fs.listStatus(top):
+        name = found.getPath().getName()
+        if name.startswith(("_", ".")):
             continue
-        _, place = _open(spark, f"{target}/{below}")
-        fs.mkdirs(place.getParent())
-        if not fs.rename(found, place):
-            raise OSError(f"could not move {found} to {place}")
+        if found.isDirectory() and name in there:
+            move_below(spark, f"{source}/{name}", f"{target}/{name}")
+        elif not fs.rename(found.getPath(), _open(spark, f"{target}/{name}")[1]):
+            raise OSError(f"could not move {found.getPath()} to {target}")
 
 
 def delete(spark: SparkSession, path: str) -> None:

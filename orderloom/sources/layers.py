@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import takewhile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orderloom.schemas import DATE_PARTS
 from orderloom.sources.files import day_folders, delete, exists, has_data, list_dirs, mark, move_below
@@ -34,7 +36,7 @@ def append_partitioned(df: DataFrame, path: str) -> None:
     """Append by year, month and day, all of it or nothing.
 
     The rows are written beside the table and committed by one small file, and only then moved
-    in. What an interruption leaves is settled by ``settle_append``: a committed append is
+    in. What an interruption leaves is settled by ``settle``: a committed append is
     moved in to its end, any other is dropped.
 
     The rebalance hint gathers each day's rows so that no task writes a sliver into every
@@ -46,16 +48,19 @@ def append_partitioned(df: DataFrame, path: str) -> None:
     delete(spark, pending)
     df.hint("rebalance", *DATE_PARTS).write.partitionBy(*DATE_PARTS).parquet(f"{pending}/data")
     mark(spark, f"{pending}/{COMMITTED}")
-    settle_append(spark, path)
+    settle(spark, path)
 
 
-def settle_append(spark: SparkSession, path: str) -> None:
-    """End an append that was cut short. To be called before a step reads its target."""
+def settle(spark: SparkSession, path: str) -> None:
+    """End a write that was cut short. To be called before a table is read, by whatever step."""
     pending = f"{path}/{PENDING}"
     if not exists(spark, pending):
         return
     if exists(spark, f"{pending}/{COMMITTED}"):
-        move_below(spark, f"{pending}/data", path)
+        if exists(spark, f"{pending}/{MERGE}"):
+            _replace_partitions(spark, f"{pending}/{MERGE}", path)
+        else:
+            move_below(spark, f"{pending}/data", path)
     delete(spark, pending)
 
 
@@ -64,8 +69,59 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def read_versioned(spark: SparkSession, path: str, table_format: str = "snapshot") -> DataFrame:
-    """The current state of a versioned table."""
+# Merged tables: versions by whether they are current, by a bucket of their key, and, once closed, by the merge
+# that closed them. A merge writes the current partitions of the buckets it changes and one new closed
+# partition for each; all other files stay as they are.
+
+MERGE = "merge"
+STATE, BUCKET, CLOSED_BY = "v_state", "v_bucket", "v_merge"
+LAYOUT = (STATE, BUCKET, CLOSED_BY)
+BUCKETS = 16
+_OPEN = "open"
+
+
+def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def _laid_out(df: DataFrame, key: str, merge: str) -> DataFrame:
+    current = F.col("is_current")
+    return df.withColumns({
+        STATE: F.when(current, "current").otherwise("closed"), BUCKET: bucket_of(key),
+        CLOSED_BY: F.when(current, _OPEN).otherwise(merge),
+    })
+
+
+def merge_versions(spark: SparkSession, path: str, rows: DataFrame, key: str) -> None:
+    """Write the partitions that ``rows`` belong to: current versions replace those of their bucket, closed ones
+    are added. ``rows`` may read the table. All of it or nothing: the rows are written beside the table and
+    committed, and putting them in place may be repeated (see ``settle``)."""
+    pending = f"{path}/{PENDING}"
+    if exists(spark, f"{pending}/{COMMITTED}"):
+        raise RuntimeError(f"{path} holds a committed merge; settle it before reading what to merge")
+    delete(spark, pending)
+    _laid_out(rows, key, f"m{uuid.uuid4().hex}").hint("rebalance", *LAYOUT).write.partitionBy(*LAYOUT).parquet(f"{pending}/{MERGE}")
+    mark(spark, f"{pending}/{COMMITTED}")
+    settle(spark, path)
+
+
+def _replace_partitions(spark: SparkSession, source: str, path: str) -> None:
+    """Dynamic partition overwrite. The rows replaced have been read before: ``source`` does not depend on them."""
+    if has_data(spark, source):
+        rows = spark.read.parquet(source).withColumn(CLOSED_BY, F.col(CLOSED_BY).cast("string"))
+        rows.hint("rebalance", *LAYOUT).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LAYOUT).parquet(path)
+
+
+def read_merged(spark: SparkSession, path: str, current: bool = False) -> DataFrame:
+    """All versions, or only the folders of the current ones."""
+    rows = spark.read.parquet(path)
+    return rows.filter(F.col(STATE) == "current") if current else rows
+
+
+def read_versioned(spark: SparkSession, path: str, table_format: str = "snapshot", current: bool = False) -> DataFrame:
+    """The present state of a versioned table. With ``current`` closed versions may be left out."""
+    if table_format == "merged":
+        return read_merged(spark, path, current).drop(*LAYOUT)
     if table_format != "snapshot":
         return spark.read.format(table_format).load(path)
     complete = _complete_snapshots(spark, path)
@@ -75,18 +131,23 @@ def read_versioned(spark: SparkSession, path: str, table_format: str = "snapshot
 
 
 def versioned_exists(spark: SparkSession, path: str, table_format: str = "snapshot") -> bool:
+    if table_format == "merged":
+        return has_data(spark, path)
     if table_format != "snapshot":
         return exists(spark, path)
     return bool(_complete_snapshots(spark, path))
 
 
-def write_versioned(df: DataFrame, path: str, table_format: str = "snapshot", keep: int = 2) -> None:
+def write_versioned(df: DataFrame, path: str, table_format: str = "snapshot", keep: int = 2, key: str | None = None) -> None:
     """Replace a versioned table. ``df`` may read the table it replaces.
 
     A snapshot counts once its commit file is there, written after its data, so readers see the
     old state or the new one and a failed write leaves the old one in place. The newest ``keep``
     committed states stay; older ones and remains of failed writes before them go.
     """
+    if table_format == "merged":
+        merge_versions(df.sparkSession, path, df, key)
+        return
     if table_format != "snapshot":
         df.write.format(table_format).mode("overwrite").save(path)
         return

@@ -249,10 +249,10 @@ def test_an_append_cut_short_is_settled(spark, tmp_path, monkeypatch):
         patch.setattr(layers, "mark", broken)  # data written, not committed
         append_partitioned(rows.where("id >= 3"), path)
     assert read_layer(spark, path).count() == 3
-    layers.settle_append(spark, path)
+    layers.settle(spark, path)
     assert read_layer(spark, path).count() == 3
     with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="driver gone"):
-        patch.setattr(layers, "settle_append", broken)  # committed, not moved in
+        patch.setattr(layers, "settle", broken)  # committed, not moved in
         append_partitioned(rows.where("id >= 3"), path)
     moved = sorted((tmp_path / "table/_pending/data").rglob("part-*.parquet"))[0]
     place = tmp_path / "table" / moved.relative_to(tmp_path / "table/_pending/data")
@@ -260,8 +260,8 @@ def test_an_append_cut_short_is_settled(spark, tmp_path, monkeypatch):
     moved.rename(place)  # part of it moved in
     with pytest.raises(RuntimeError, match="settle"):
         append_partitioned(rows, path)
-    layers.settle_append(spark, path)
-    layers.settle_append(spark, path)
+    layers.settle(spark, path)
+    layers.settle(spark, path)
     assert sorted(r.id for r in read_layer(spark, path).collect()) == list(range(9))
 
 
@@ -275,3 +275,91 @@ def test_snapshots_without_success_files(spark, tmp_path):
             assert read_versioned(spark, path).count() == n
     finally:
         setting.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+
+
+def test_steps_settle_what_they_read(spark, tmp_path, monkeypatch):
+    """A load that dies while it moves day files in, then the next step by itself: no order is lost."""
+    from orderloom.sources import layers
+
+    world = World(spark, tmp_path)
+    world.seed()
+    move = layers.move_below
+
+    def dies(spark_, source, target):
+        if target == world.lake.bronze("orders"):
+            move(spark_, f"{source}/year=2024/month=1/day=3", f"{target}/year=2024/month=1/day=3")
+            raise RuntimeError("driver gone")
+        move(spark_, source, target)
+
+    def step(work):
+        with Scratch(spark) as scratch:
+            work(Run(spark, world.lake, scratch, "2024-01-04"))
+
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="driver gone"):
+        patch.setattr(layers, "move_below", dies)
+        step(Run.load_bronze)
+    step(Run.build_silver_facts)
+    step(Run.load_bronze)
+    step(Run.build_silver_facts)
+    assert sorted(r.order_id for r in read_layer(spark, world.lake.silver("orders")).collect()) == ["a", "b"]
+    assert read_layer(spark, world.lake.bronze("orders")).count() == 2
+
+
+def dimension_rows(df):
+    return sorted((tuple(map(str, r)) for r in df.select(scd2_columns(df)).collect()))
+
+
+def scd2_columns(df):
+    return sorted(df.columns)
+
+
+def test_merge_touches_only_what_changed(spark, tmp_path, monkeypatch):
+    """Same rows as a rewrite; closed history and buckets without changes keep their files; a cut is settled."""
+    from orderloom.config import PRODUCTS
+    from orderloom.operators import scd2
+    from orderloom.sources import layers
+
+    path = f"{tmp_path}/dim"
+    columns = "product_id string, product_name string, category string, unit_price int, updated_at timestamp_ntz"
+
+    def source(prices, at):
+        rows = [(f"P{i}", f"N{i}", "Tea", p, None) for i, p in prices.items()]
+        return spark.createDataFrame(rows, columns).withColumn("updated_at", F.lit(at).cast("timestamp_ntz"))
+
+    def files():
+        return {str(f.relative_to(path)) for f in (tmp_path / "dim").rglob("*.parquet")}
+
+    write_versioned(scd2.initial_load(source({i: 100 for i in range(60)}, T0), PRODUCTS), path, "merged", key="product_id")
+    rewritten = scd2.initial_load(source({i: 100 for i in range(60)}, T0), PRODUCTS)
+    for day, changed in (("2024-03-01", {3: 150, 70: 5}), ("2024-03-02", {3: 160, 4: 1})):
+        new = source({**{i: 100 for i in range(60)}, 70: 5, **changed}, T1)
+        rewritten = scd2.apply(rewritten, new, PRODUCTS, day)
+        before = files()
+        rows = scd2.merge(layers.read_merged(spark, path, current=True), layers.read_merged(spark, path), new, PRODUCTS, day)
+        with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+            patch.setattr(layers, "_replace_partitions", lambda *_: (_ for _ in ()).throw(RuntimeError("gone")))
+            layers.merge_versions(spark, path, rows, "product_id")
+        layers.settle(spark, path)
+        after = files()
+        assert dimension_rows(read_versioned(spark, path, "merged")) == dimension_rows(rewritten)
+        touched = {f"v_bucket={r[0]}" for r in spark.createDataFrame([(f"P{i}",) for i in changed], "k string")
+                   .select(layers.bucket_of("k")).collect()}
+        gone = before - after
+        assert gone and all("v_state=current" in f and any(f"{t}/" in f for t in touched) for f in gone)
+        assert {f for f in before if "v_state=closed" in f} <= after
+
+
+def test_runs_on_merged_dimensions(spark, tmp_path):
+    world = World(spark, tmp_path)
+    world.lake = Lake(world.lake.root, world.lake.source, world.lake.topics, "merged")
+    world.seed()
+    run_batch(spark, world.lake, "2024-01-04")
+    world.gold = lambda name: read_versioned(spark, world.lake.gold(name), "merged").filter("is_current")
+    assert shown(world) == FIRST
+    world.delta()
+    for _ in range(2):
+        run_batch(spark, world.lake, "2024-03-02")
+    products = read_versioned(spark, world.lake.gold("dim_products"), "merged")
+    assert sorted((r.product_id, r.is_current) for r in products.collect()) == [
+        ("P1", False), ("P1", True), ("P2", True), ("P3", True)]
+    assert world.fact().count() == len(FIRST) + len(SECOND)

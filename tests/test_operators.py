@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from orderloom.config import PAYMENT_METHOD, STORES, Endpoint, Rule
 from orderloom.functions import number_rows, strip_cr, text_or_null
+from orderloom.plans.registry import QUERIES
+from orderloom.session import stage
 from orderloom.operators import clean, facts, incremental, ingest, quality, scd2, suggest
 from orderloom.sources import from_topic, has_data, read_csv_dimension, read_table, read_topic, to_messages
 from orderloom.sources.files import latest_watermark
@@ -25,12 +27,17 @@ def timed(df, *columns):
 
 # Numbering
 
-@pytest.mark.parametrize("one_task_rows", [10_000, 10])
-def test_numbers_are_dense_and_ordered(spark, one_task_rows):
-    df = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
-    got = number_rows(df, "k", "n", start=5, one_task_rows=one_task_rows).collect()
-    assert [r.k for r in sorted(got, key=lambda r: r.n)] == sorted(f"k{i}" for i in range(3000))
-    assert sorted(r.n for r in got) == list(range(5, 3005))
+@pytest.mark.parametrize("rows", [0, 1, 3000])
+@pytest.mark.parametrize("together", ["true", "false"])
+def test_numbers_are_dense_and_ordered(spark, rows, together):
+    df = spark.range(rows).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", together)
+    try:
+        got = number_rows(df, "k", "n", start=5).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.k for r in sorted(got, key=lambda r: r.n)] == sorted(f"k{i}" for i in range(rows))
+    assert sorted(r.n for r in got) == list(range(5, 5 + rows))
 
 
 # Text
@@ -346,7 +353,20 @@ def test_assembly_counts_products_once(spark, rows):
     ]
 
 
-def test_large_numbering_has_no_one_task_stage(spark):
+def test_numbering_deals_rows_by_range(spark):
+    """No task sorts the whole: rows are written by range, and numbers come from counts of the ranges."""
+    seen = []
+
+    def watched(df, label):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, label)
+
     df = spark.range(3000).select(F.col("id").alias("k"))
-    plan = number_rows(df, "k", "n", one_task_rows=10)._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
+    plan = number_rows(df, "k", "n", stage=watched)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in seen[0] and "SinglePartition" not in seen[0] + plan and "Window" not in seen[0] + plan
+
+
+@pytest.mark.parametrize("name", ["dim_products_initial", "dim_products_scd2", "rt_recommendations"])
+def test_no_query_numbers_in_one_task(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" not in plan and "Window" not in plan
