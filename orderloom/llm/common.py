@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sys import getsizeof
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,17 +32,30 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _bytes(value) -> int:
+    return getsizeof(value) + (sum(map(getsizeof, value)) if isinstance(value, tuple) else 0)
+
+
 class Remembered(dict):
-    """Answers by key, worked out on first use. Emptied when full, so memory stays bounded."""
+    """Answers by key, worked out on first use. What is held is measured and dropped when it takes ``most`` bytes;
+    single keys that take a thousandth of that are not held, so long texts do not drive short ones out."""
+
+    ENTRY = 100  # bytes of a dictionary for one entry
 
-    def __init__(self, work, most: int = 1_000_000):
+    def __init__(self, work, most: int = 200_000_000):
         super().__init__()
-        self.work, self.most = work, most
+        self.work, self.most, self.held = work, most, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.work(key)
+        size = self.ENTRY + _bytes(key) + _bytes(value)
+        if size * 1000 > self.most:
+            return value
+        if self.held + size > self.most:
             self.clear()
-        value = self[key] = self.work(key)
+            self.held = 0
+        self.held += size
+        self[key] = value
         return value
 
 

@@ -31,6 +31,7 @@ from orderloom.llm.common import Remembered, staged
 WINDOW = 2048
 CLOSING = 1
 SHARD_TOKENS = 2_000_000
+STEP = 4000  # documents whose words are looked up together
 K1, B = 1.2, 0.75
 
 
@@ -44,8 +45,10 @@ class WordTokens:
     #: Fixed value: the tokeniser's own pattern for runs.
     RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     SPECIAL = "<|"
+    #: Signs that often end a word; each is a run of its own behind letters.
+    MARKS = frozenset(".,;:!?")
 
-    def __init__(self, path: str, words: int = 700_000, runs: int = 350_000):
+    def __init__(self, path: str, words: int = 180_000_000, runs: int = 120_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -63,12 +66,11 @@ class WordTokens:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if text.isascii():
-            if text.isalpha():
-                return self.runs[text.lower()]
-            usual = text.isprintable()
-        else:
-            usual = self.USUAL.fullmatch(text)
+        usual = text.isprintable() if text.isascii() else self.USUAL.fullmatch(text)
+        if usual and text.isalpha():
+            return self.runs[text.lower()]
+        if usual and text[-1] in self.MARKS and text[:-1].isalpha():
+            return self.runs[text[:-1].lower()] + self.runs[text[-1]]
         if usual and self.SPECIAL not in text:
             return b"".join([self.runs[r] for r in self.RUN.findall(text.lower())])
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -100,8 +102,8 @@ def tokenised(docs: DataFrame, path: str, id: str, text: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]):
         known, closing = word_tokens(path), np.array([CLOSING], "<u2").tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, STEP):
+                part = batch.slice(start, STEP)
                 tokens, ends = known.ids(part.column(1))
                 first, last = ends[:-1], ends[1:]
                 mixed = np.append(tokens, np.uint16(0)).astype(np.uint32) * np.uint32(2654435761)
@@ -117,7 +119,14 @@ def tokenised(docs: DataFrame, path: str, id: str, text: str) -> DataFrame:
 
 
 class Shard:
-    """An inverted index with BM25 over token ids, for one shard's documents."""
+    """An inverted index with BM25 over token ids, for one shard's documents.
+
+    Terms that stand in many of the documents are columns of a dense table, which takes at most ``DENSE`` cells for
+    each posting it replaces; the others have lists. When half of the documents are used, the index is
+    cut down to the rest. Scores are sums over all distinct terms of the seed, whichever way they are kept.
+    """
+
+    DENSE = 8
 
     def __init__(self, tokens: list[np.ndarray], width: int = 1 << 16):
         terms, docs, freqs = [], [], []
@@ -131,21 +140,46 @@ class Shard:
         self.terms = term
         lengths = np.array([len(t) for t in tokens], np.float64)
         held = np.bincount(term, minlength=width)
-        self.weight = np.log1p((len(tokens) - held + 0.5) / (held + 0.5))
+        weight = np.log1p((len(tokens) - held + 0.5) / (held + 0.5))
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if len(lengths) else 1.0))
+        scores = (freq * (K1 + 1) / (freq + norm[doc]) * weight[term]).astype(np.float32)
+        self.all = len(tokens)
+        self.alive = np.arange(self.all)
+        often = held * self.DENSE > self.all
+        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        thick = often[term]
+        self.dense = np.zeros((int(often.sum()), self.all), np.float32)
+        self.dense[self.column[term[thick]], doc[thick]] = scores[thick]
+        term, doc, scores = term[~thick], doc[~thick], scores[~thick]
         order = np.argsort(term, kind="stable")
-        self.docs = doc[order]
-        self.scores = (freq * (K1 + 1) / (freq + norm[doc]) * self.weight[term])[order].astype(np.float32)
-        self.at = np.concatenate(([0], np.cumsum(held)))
-
-    def scored(self, d: int, n: int) -> np.ndarray:
-        """BM25 of every document against document ``d``, over all distinct terms of it."""
+        self.docs, self.scores = doc[order], scores[order]
+        self.at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=width))))
+
+    def cut_down(self, used: np.ndarray) -> None:
+        """Forget the documents that are used."""
+        kept = ~used[self.alive]
+        self.dense, self.alive = np.ascontiguousarray(self.dense[:, kept]), self.alive[kept]
+        stays = ~used[self.docs]
+        self.at = np.concatenate(([0], np.cumsum(stays)))[self.at]
+        self.docs, self.scores = self.docs[stays], self.scores[stays]
+
+    def scored(self, d: int, used: np.ndarray) -> np.ndarray:
+        """BM25 of every document against document ``d``, over all distinct terms of it. Used ones may have 0."""
+        if np.count_nonzero(used[self.alive]) * 2 > len(self.alive):
+            self.cut_down(used)
         terms = self.terms[self.by_doc[d]:self.by_doc[d + 1]]
-        spans = [slice(self.at[t], self.at[t + 1]) for t in terms.tolist()]
-        if not spans:
-            return np.zeros(n)
-        return np.bincount(
-            np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.scores[s] for s in spans]), minlength=n)
+        spans = [slice(a, b) for a, b in zip(self.at[terms].tolist(), self.at[terms + 1].tolist()) if a < b]
+        out = np.zeros(self.all)
+        if spans:
+            out += np.bincount(
+                np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.scores[s] for s in spans]), minlength=self.all)
+        columns = self.column[terms]
+        columns = columns[columns >= 0]
+        if len(columns):
+            chosen = np.zeros(len(self.dense), np.float32)
+            chosen[columns] = 1
+            out[self.alive] += chosen @ self.dense
+        return out
 
 
 def _ranked(scores: np.ndarray, used: np.ndarray) -> Iterator[int]:
@@ -162,7 +196,7 @@ def _ranked(scores: np.ndarray, used: np.ndarray) -> Iterator[int]:
 def fill(lengths: list[int], nearest, window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece.
 
-    ``nearest(d)`` gives scores of all documents for seed ``d``. Documents seed in the given order.
+    ``nearest(d, used)`` gives scores of all documents for seed ``d``. Documents seed in the given order.
     """
     n = len(lengths)
     used = np.zeros(n, bool)
@@ -194,7 +228,7 @@ def fill(lengths: list[int], nearest, window: int) -> Iterator[tuple[int, int, i
                 current, room, sequence, seeded = [], window, sequence + 1, True
                 ranked = iter(())
         if current and seeded:  # what is left of this document seeds the open window
-            ranked = _ranked(nearest(d), used)
+            ranked = _ranked(nearest(d, used), used)
     size = window - room
     if size == 0:
         return
@@ -223,7 +257,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, id: str = "doc_id", t
     def flush(ids, raws, base):
         arrays = [np.frombuffer(r, "<u2") for r in raws]
         index = Shard(arrays)
-        rows = list(fill([len(a) for a in arrays], lambda d: index.scored(d, len(arrays)), window))
+        rows = list(fill([len(a) for a in arrays], index.scored, window))
         pieces = [arrays[d][s:s + n].astype("<u4").tobytes() for d, s, n, _, _ in rows]
         owner = np.array([r[0] for r in rows], np.int64)
         columns = np.array([r[1:] for r in rows], np.int64).reshape(-1, 4)

@@ -50,7 +50,7 @@ class Vocabulary:
         self.known = {p for p in self.piece if len(p) == 1}
         #: Proved by merging each: strings that encode alone as one token.
         self.alone = {p for p in self.piece if self.merge(p) == [p]}
-        self._compatible = Remembered(self._pair, 2_000_000)
+        self._compatible = Remembered(self._pair)
         self._automaton = None
 
     # Merging, for proofs and for strings that are not one token.
@@ -208,7 +208,7 @@ def _encoded(path: str) -> Remembered:
         ids = known.encode(stretch)
         return ",".join(map(str, ids)), known.decode(ids)
 
-    return Remembered(work, 600_000)
+    return Remembered(work)
 
 
 @lru_cache(2)

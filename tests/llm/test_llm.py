@@ -399,29 +399,52 @@ def test_neighbours_of_a_seed_come_first():
     rng = np.random.default_rng(0)
     topics = [rng.integers(100 * t, 100 * t + 50, 400).astype("<u2") for t in (1, 2, 1, 2, 1, 2)]
     index = packing.Shard(topics)
-    order = [d for d, *_ in packing.fill([len(t) for t in topics], lambda d: index.scored(d, 6), 1200)]
+    order = [d for d, *_ in packing.fill([len(t) for t in topics], index.scored, 1200)]
     assert sorted(order[:3]) == [0, 2, 4]
 
 
 def test_a_window_of_short_texts_is_retrieved_to_its_end():
     topics = [np.array([1000 + d, *range(100 * (d % 2), 100 * (d % 2) + 9)], "<u2") for d in range(400)]
     index = packing.Shard(topics)
-    order = [d for d, *_ in packing.fill([10] * 400, lambda d: index.scored(d, 400), 1200)]
+    order = [d for d, *_ in packing.fill([10] * 400, index.scored, 1200)]
     assert set(order) == set(range(400)) and all(d % 2 == 0 for d in order[:120])
 
 
-def test_all_terms_of_a_seed_are_scored():
-    rng = np.random.default_rng(3)
-    docs = [rng.integers(0, 300, n).astype("<u2") for n in (400, 5, 80, 200, 33)]
+def plain_bm25(docs, seed):
     n, mean = len(docs), np.mean([len(d) for d in docs])
     wanted = np.zeros(n)
-    for t in set(docs[0].tolist()):
+    for t in set(docs[seed].tolist()):
         held = sum(t in d for d in docs)
         for i, d in enumerate(docs):
             f = int((d == t).sum())
             norm = packing.K1 * (1 - packing.B + packing.B * len(d) / mean)
             wanted[i] += f * (packing.K1 + 1) / (f + norm) * math.log1p((n - held + 0.5) / (held + 0.5))
-    assert np.allclose(packing.Shard(docs).scored(0, n), wanted, rtol=1e-5)
+    return wanted
+
+
+def test_all_terms_of_a_seed_are_scored():
+    """In lists, in columns, and after the index was cut down."""
+    rng = np.random.default_rng(3)
+    docs = [np.append(rng.integers(0, 300, n), rng.integers(0, 3, n // 9)).astype("<u2") for n in (400, 5, 80, 200, 33, *[20] * 40)]
+    index, used = packing.Shard(docs), np.zeros(len(docs), bool)
+    assert 0 < len(index.dense) < 300
+    for seed in (0, 1, 44):
+        assert np.allclose(index.scored(seed, used), plain_bm25(docs, seed), rtol=1e-5)
+    used[2:40] = True
+    for seed in (0, 41):
+        assert np.allclose(np.where(used, 0, index.scored(seed, used)), np.where(used, 0, plain_bm25(docs, seed)), rtol=1e-5)
+    assert len(index.alive) == 7
+
+
+def test_what_is_remembered_is_bounded_in_bytes():
+    from orderloom.llm.common import Remembered
+
+    held = Remembered(lambda k: k * 2, 1_000_000)
+    for i in range(50_000):
+        assert held[f"word{i}"] == f"word{i}word{i}"
+        assert held.held <= 1_000_000
+    before = len(held)
+    assert held["x" * 5000] == "x" * 10_000 and len(held) == before
 
 
 # Mixing
