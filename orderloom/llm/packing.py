@@ -31,7 +31,7 @@ from orderloom.llm.common import Remembered, staged
 WINDOW = 2048
 CLOSING = 1
 SHARD_TOKENS = 2_000_000
-STEP = 4000  # documents whose words are looked up together
+STEP, STEP_BYTES = 4000, 6_000_000  # documents, and about how many bytes of text, whose words are looked up together
 K1, B = 1.2, 0.75
 
 
@@ -48,7 +48,7 @@ class WordTokens:
     #: Signs that often end a word; each is a run of its own behind letters.
     MARKS = frozenset(".,;:!?")
 
-    def __init__(self, path: str, words: int = 180_000_000, runs: int = 120_000_000):
+    def __init__(self, path: str, words: int = 130_000_000, runs: int = 90_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -69,7 +69,7 @@ class WordTokens:
         usual = text.isprintable() if text.isascii() else self.USUAL.fullmatch(text)
         if usual and text.isalpha():
             return self.runs[text.lower()]
-        if usual and text[-1] in self.MARKS and text[:-1].isalpha():
+        if usual and text[-1:] in self.MARKS and text[:-1].isalpha():
             return self.runs[text[:-1].lower()] + self.runs[text[-1]]
         if usual and self.SPECIAL not in text:
             return b"".join([self.runs[r] for r in self.RUN.findall(text.lower())])
@@ -96,14 +96,24 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts, in the second column, are bounded but for a longer single one."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = min(start + STEP, max(start + 1, int(np.searchsorted(ends, before + STEP_BYTES, "right"))))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def tokenised(docs: DataFrame, path: str, id: str, text: str) -> DataFrame:
     """Per row: id, ids (16-bit, with the closing id), their number, and a lexical key: the least hash of a token."""
 
     def work(batches: Iterator[pa.RecordBatch]):
         known, closing = word_tokens(path), np.array([CLOSING], "<u2").tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, STEP):
-                part = batch.slice(start, STEP)
+            for part in steps(batch):
                 tokens, ends = known.ids(part.column(1))
                 first, last = ends[:-1], ends[1:]
                 mixed = np.append(tokens, np.uint16(0)).astype(np.uint32) * np.uint32(2654435761)
@@ -126,23 +136,25 @@ class Shard:
     cut down to the rest. Scores are sums over all distinct terms of the seed, whichever way they are kept.
     """
 
-    DENSE = 8
+    DENSE = 4
 
     def __init__(self, tokens: list[np.ndarray], width: int = 1 << 16):
         terms, docs, freqs = [], [], []
         for d, ids in enumerate(tokens):
             t, n = np.unique(ids, return_counts=True)
             terms.append(t)
-            freqs.append(n)
+            freqs.append(n.astype(np.float32))
             docs.append(np.full(len(t), d, np.int32))
         self.by_doc = np.cumsum([0, *map(len, terms)])
         term, doc, freq = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (terms, docs, freqs))
         self.terms = term
+        del terms, docs, freqs
         lengths = np.array([len(t) for t in tokens], np.float64)
         held = np.bincount(term, minlength=width)
-        weight = np.log1p((len(tokens) - held + 0.5) / (held + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if len(lengths) else 1.0))
-        scores = (freq * (K1 + 1) / (freq + norm[doc]) * weight[term]).astype(np.float32)
+        weight = np.log1p((len(tokens) - held + 0.5) / (held + 0.5)).astype(np.float32)
+        norm = (K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if len(lengths) else 1.0))).astype(np.float32)
+        scores = freq * np.float32(K1 + 1) / (freq + norm[doc]) * weight[term]
+        del freq
         self.all = len(tokens)
         self.alive = np.arange(self.all)
         often = held * self.DENSE > self.all
@@ -273,6 +285,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, id: str = "doc_id", t
     def work(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
+        word_tokens.cache_clear()  # of an earlier stage of this worker
         base = TaskContext.get().partitionId() << 40
         ids, raws, held = [], [], 0
 
