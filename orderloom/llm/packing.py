@@ -48,7 +48,7 @@ class WordTokens:
     #: Signs that often end a word; each is a run of its own behind letters.
     MARKS = frozenset(".,;:!?")
 
-    def __init__(self, path: str, words: int = 130_000_000, runs: int = 90_000_000):
+    def __init__(self, path: str, words: int = 60_000_000, runs: int = 180_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,19 +58,24 @@ class WordTokens:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         self.runs = Remembered(self._run, runs)
-        self.words = Remembered(self._word, words)
+        self.words = Remembered(self._mixed, words)
 
     def _run(self, run: str) -> bytes:
         letters = run if run.isascii() else run.encode().decode("latin-1").translate(self.shown)
         return array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
+        """Letters, with a sign behind them or not, come straight from the runs."""
         text = word.decode()
+        if text.isascii() or self.USUAL.fullmatch(text):
+            if text.isalpha():
+                return self.runs[text.lower()]
+            if text[-1:] in self.MARKS and text[:-1].isalpha():
+                return self.runs[text[:-1].lower()] + self.runs[text[-1]]
+        return self.words[text]
+
+    def _mixed(self, text: str) -> bytes:
         usual = text.isprintable() if text.isascii() else self.USUAL.fullmatch(text)
-        if usual and text.isalpha():
-            return self.runs[text.lower()]
-        if usual and text[-1:] in self.MARKS and text[:-1].isalpha():
-            return self.runs[text[:-1].lower()] + self.runs[text[-1]]
         if usual and self.SPECIAL not in text:
             return b"".join([self.runs[r] for r in self.RUN.findall(text.lower())])
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -79,8 +84,7 @@ class WordTokens:
         """(ids of all texts, where each text's begin and the last ends). Every distinct word is looked up once."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = split.flatten().dictionary_encode()
-        known = self.words
-        raws = [known[w] for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+        raws = list(map(self._word, coded.dictionary.cast(pa.binary()).to_pylist()))
         tokens = np.frombuffer(b"".join(raws), "<u2")
         lengths = np.fromiter(map(len, raws), np.int32, len(raws)) // 2
         word = coded.indices.to_numpy()
