@@ -244,6 +244,57 @@ def test_pages_give_their_article(spark, tree):
         assert found[r.page_id] == "\n".join(p for p in parts if p)
 
 
+LONG = "Many people came to the market on Friday to see the new stalls and to buy fresh bread, and they stayed until dark."
+SHORT = "Nobody minded the rain."
+# Pages built in ways that the given ones are not: the text in pieces, 1 where it is wanted.
+OTHER_PAGES = [
+    [("<article>", 0), (f"<p>{LONG * 9}</p>", 1), ("</article>", 0)],
+    [("<article>", 0), (f"<h1>Market day</h1><p>{LONG}</p><p>{SHORT}</p>", 1), ("</article>", 0)],
+    [("<body><article>", 0), ("<header><h1>Market day</h1></header>", 1), (f"<p>{LONG}</p>", 1), ("</article><footer>One town</footer>", 0)],
+    [("<div class='page no-sidebar'><nav><a href='/'>Home</a></nav><main>", 0), (f"<h1>Hi all</h1><p>{LONG}</p>", 1), ("</main><footer>me</footer></div>", 0)],
+    [("<div class='wrapper has-sidebar'><div class='sidebar'><p>Most read</p></div><div id='content'>", 0), (f"<p>{LONG}</p><p>{SHORT}</p>", 1), ("</div></div>", 0)],
+    [("<div><a href='/'>a town</a> <a href='/b'>its people</a></div><div>", 0), (f"<p>{LONG}</p><p>{LONG}</p>", 1), ("</div><div><a href='/c'>more of it</a></div>", 0)],
+    [("<table><tr><td><a href='/'>front</a></td><td><a href='/x'>back</a></td></tr></table>", 0), (f"{LONG}<p>{LONG}<p>{SHORT}<p>{LONG}", 1)],
+    [("<section role='banner'>Town paper</section><section class='story-body'>", 0), (f"<h2>Bread</h2>{LONG}<blockquote>{SHORT}</blockquote><ol><li>Rye</li><li>Wheat</li></ol>", 1),
+     ("<div class='story-comments'><p>" + LONG + "</p></div></section>", 0)],
+    [("<aside><article><p>Another story</p></article></aside><article>", 0), (f"<p>{LONG}</p>", 1), ("<ul><li><a href='/1'>north</a></li><li><a href='/2'>south</a></li><li><a href='/3'>west</a></li></ul>", 0),
+     (f"<p>{SHORT}</p>", 1), ("</article>", 0)],
+    [("<form><input>Find</form><div style='display: none'>" + LONG + "</div>", 0), (f"<div><p>{LONG}</p></div>", 1), ("<div class='newsletter-signup'>Get our letter</div>", 0)],
+]
+
+
+def test_pages_built_otherwise(tree):
+    """Words of wanted blocks found, and found words that are wanted."""
+    found = wanted = right = 0
+    for page in OTHER_PAGES:
+        got = Counter(main_text.main_text("".join(x for x, _ in page), tree).split())
+        want = Counter(" ".join(b.text for x, y in page if y for b in main_text.blocks(x)).split())
+        found, wanted, right = found + sum(got.values()), wanted + sum(want.values()), right + sum((got & want).values())
+    print(f"precision {right / found:.3f} recall {right / wanted:.3f}")
+    assert right / found > 0.95 and right / wanted > 0.98
+
+
+def test_the_last_block_is_no_reason_to_drop_it(tree):
+    assert main_text.main_text(f"<article><p>{LONG}</p></article>", tree) == LONG
+    assert main_text.main_text(f"<article><h1>A b</h1><p>{LONG}</p><p>{SHORT}</p></article>", tree) == f"A b\n{LONG}\n{SHORT}"
+
+
+def test_neighbours_are_looked_at(tree):
+    def used(node):
+        return set() if isinstance(node, bool) else {main_text.FEATURES[node[0]]} | used(node[2]) | used(node[3])
+
+    assert used(tree) & {"words_before", "words_after", "link_density_before", "link_density_after"} and "words" in used(tree)
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "<p>x</p>" * 100_000, "<b><div>" * 100_000 + "</b>" * 100_000, "<div>" * 300_000, "<li><td>" * 150_000])
+def test_nested_pages_take_linear_time(tree, page):
+    import time
+
+    start = time.process_time()
+    main_text.main_text(page, tree)
+    assert time.process_time() - start < 20
+
+
 def test_main_text_odd(spark, tree):
     rows = spark.createDataFrame([(1, "u", None), (2, None, ""), (2, None, "<p" + "x" * 100_000), (None, "u", '<a b="' * 2000)], "page_id long, url string, html string")
     got = main_text.extract(rows.withColumn("text", F.lit(1)), tree=tree)
