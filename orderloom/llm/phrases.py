@@ -32,7 +32,7 @@ ENDS = ".,;:!?\n\x0b\x0c\r"
 BREAK, PAD = "\n", ""  # no word is one of these
 UNKNOWN = "und"
 #: Bytes of text whose windows a task counts before it hands the counts on.
-STEP_BYTES = 24_000_000
+STEP_BYTES = 22_000_000
 #: Pairs that open one window of HOT or more in about SAMPLE documents are dealt to SALTS tasks by their third word.
 SAMPLE, HOT, SALTS = 2000, 1000, 64
 
@@ -46,23 +46,31 @@ def _windows(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     The word at place 0 is ``PAD``. Windows lead by one and two words within a piece.
     """
     flat = BREAK.encode().join(texts).translate(_PLAIN).replace(b"\n", b" \n ")
-    split = pc.split_pattern(pa.array([flat], pa.large_binary()).cast(pa.large_string()), " ").flatten()
-    coded = pa.concat_arrays([pa.array([PAD, BREAK], pa.large_string()), split]).dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy()
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    codes = place[coded.indices.to_numpy()]
-    words, stop = coded.dictionary.take(pa.array(order)), codes[1]
-    codes = codes[codes != codes[0]]  # the first is BREAK, which ends no piece here
-    a = np.where(codes == stop, 0, codes)
-    b, c = np.append(a[1:], 0), np.append(a[2:], (0, 0))[:len(a)]
-    c = np.where(b == 0, 0, c)
-    pair = a * len(words) + b
+    split = pc.split_pattern(pa.array([b"\n " + flat], pa.large_binary()).cast(pa.large_string()), " ").flatten()
+    coded = split.dictionary_encode()
+    del flat, split
+    # The text's own empty words, where blanks meet, are dropped. PAD is put first and stays first in order.
+    words = pa.concat_arrays([pa.array([PAD], pa.large_string()), coded.dictionary])
+    codes = coded.indices.to_numpy() + np.int32(1)
+    stop = codes[0]
+    empty = pc.index(coded.dictionary, PAD).as_py() + 1
+    order = pc.sort_indices(words).to_numpy()
+    place = np.empty(len(words), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    words = words.take(pa.array(order))
+    if empty:
+        codes = codes[codes != empty]
+    a = np.where(codes == stop, np.int32(0), place[codes])
+    del coded, codes
+    b, c = np.append(a[1:], np.int32(0)), np.append(a[2:], np.zeros(2, np.int32))[:len(a)]
+    opens = np.flatnonzero(a)
+    a, b, c = a[opens], b[opens], c[opens]
+    c[b == 0] = 0
+    pair = a.astype(np.int64) * len(words) + b
     if len(words) ** 3 >= 1 << 63:
         pair = np.unique(pair, return_inverse=True)[1]
-    key = (pair * len(words) + c)[a > 0]
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    return words, np.stack((a, b, c), 1)[a > 0][first], counts
+    _, first, counts = np.unique(pair * len(words) + c, return_index=True, return_counts=True)
+    return words, np.stack((a[first], b[first], c[first]), 1).astype(np.int64), counts
 
 
 def _dealt(words: pa.Array, found: np.ndarray, hot: list[tuple[str, str]]) -> np.ndarray:
@@ -153,9 +161,8 @@ def counted(docs: DataFrame, least: int, text: str = "text", group: str = "lang"
     longest = each.join(pairs.select(*keys, F.lit(True).alias("often")).hint("shuffle_hash"), keys, "left")
     counts = F.when(F.col("counts") == "", F.expr("array_repeat(1L, cast(f AS int))")).otherwise(F.split("counts", " ").cast("array<long>"))
     zipped = F.arrays_zip(F.split("thirds", " ").alias("c"), counts.alias("f"))
-    longest = longest.select(*keys, F.inline(F.when(F.col("often"), zipped).otherwise(F.slice(zipped, 1, 0))))
-    longest = longest.groupBy(*keys, "c").agg(F.sum("f").alias("f")).select("lang", "pair", "c", "f")
-    longest = longest.where(F.when(F.col("c") != PAD, F.col("f")) >= least)
+    longest = longest.select(*keys, F.inline_outer(F.when(F.col("often"), zipped))).where(F.col("c") != PAD)
+    longest = longest.groupBy(*keys, "c").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("lang", "pair", "c", "f")
     pairs = pairs.groupBy("lang", "pair").agg(F.sum("f").alias("f")).select("lang", "pair", F.lit(PAD).alias("c"), "f")
     longest = pairs.union(longest).select("lang", _first("pair").alias("a"), _second("pair").alias("b"), "c", "f")
     longest = longest.where(F.when(F.col("b") != PAD, F.col("f")) >= least)  # about a sum: not taken before the shuffle

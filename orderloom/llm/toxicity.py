@@ -147,6 +147,10 @@ def _raw(trees, rows: DataFrame) -> DataFrame:
         "features", "rawPrediction", "probability", "prediction")
 
 
+#: Tasks that learn from the bounded sample, which is read from its staged table; the documents are read by all.
+SAMPLE_TASKS = 6
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id: str = "doc_id", text: str = "text",
         label: str = "toxic") -> Model:
     """Learn from the rows of ``labels`` that have a document."""
@@ -163,9 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id:
         narrow.join(model_rows, "id").select(
             F.col("toxic").cast("double").alias("label"), *features(F.col("text"), lexicon),
             (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(4)) == 0).alias("held"),
-        ).coalesce(6),
+        ),
         "toxicity-features",
-    )
+    ).coalesce(SAMPLE_TASKS)
     sides = {(r["held"], r["label"]): r["n"] for r in rows.groupBy("held", "label").agg(F.count("*").alias("n")).collect()}
     total = sum(sides.values())
     if any((False, x) not in sides for x in (0.0, 1.0)):

@@ -120,9 +120,13 @@ def judge(pages: DataFrame, rules: DataFrame, hosts: DataFrame, id: str = "page_
     index = _ship(spark, rules.select(F.concat("host", F.lit("\n"), "path").alias("key"), F.col("block").alias("blocked")))
     listed = _ship(spark, hosts.where("host IS NOT NULL").select(F.col("host").alias("key"), F.lit(True).alias("blocked")))
 
+    names = rules.select("host").union(hosts.where("host IS NOT NULL").select("host"))
+    most = names.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0
+
     def suffixes(host: str) -> list[str]:
-        labels = host.split(".")
-        return [".".join(labels[i:]) for i in range(len(labels))] if host else []
+        """The host and what it is under, with as many labels as a listed name may have."""
+        labels = host.rsplit(".", most)[-most:] if host and most else []
+        return [".".join(labels[i:]) for i in range(len(labels))]
 
     def work(batches: Iterator[pa.RecordBatch]):
         by_rule, by_host = _opened(index), _opened(listed)

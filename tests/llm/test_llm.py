@@ -312,6 +312,20 @@ def test_colliding_digests_are_told_apart(tmp_path):
     assert array.find([b"aa", b"bb", b"cc", b"ccc", b"dddd"]) == [True, True, None, False, None]
 
 
+def test_long_hosts_are_probed_by_their_ends(spark):
+    import time
+
+    long = "http://" + "a." * 200_000 + "net/x"
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate([long, long.replace("net", "ads-track.example.com"), "http://" + "." * 100_000])], "page_id long, url string")
+    hosts = spark.createDataFrame([("ads-track.example.com",)], "host string")
+    rules = spark.createDataFrame([("net", "/", True)], "host string, path string, block boolean")
+    start = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_index.judge(rows, rules, hosts).collect()}
+    assert got == {0: ("net/", "block"), 1: (None, "block"), 2: (None, "allow")} and time.time() - start < 60
+    none = rules.where("false")
+    assert {r.verdict for r in url_index.judge(rows, none, hosts.where("false")).collect()} == {"allow"}
+
+
 def test_url_rules(spark):
     urls = ["http://A.example.net/en/x", "http://example.net/de/", "x://net", "x://net/", None, "nourl", "http://b.org/fr/?q", "http://xexample.com/de/", "http://ads-track.example.com", "a://b://c.net/"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit(1))

@@ -29,7 +29,8 @@ def test_odd_documents(spark):
     schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
     text = "A plain text of usual words that goes on and on. " * 3 + " ".join(f"Word{i} follows." for i in range(60))
     rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, None, None, None), (3, None, "en", "s", 1), (None, "", "en", "s", 0)]
-    docs = spark.createDataFrame(rows, schema).withColumns({"kept": F.lit(1), "n_words": F.lit("x"), "votes": F.lit(None).cast("string")})
+    docs = spark.createDataFrame(rows, schema).withColumns({"kept": F.lit(1), "n_words": F.lit("x"), "votes": F.lit(None).cast("string"),
+        **{c: F.lit("mine") for c in ("_toxicity", "score", "row", "_row", "_first_id", "first_id", "digest", "id", "n", "key")}})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, FOLDER)
         assert out.columns == docs.columns
