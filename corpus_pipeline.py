@@ -16,18 +16,21 @@ from orderloom.llm.common import staged, table
 from orderloom.llm.queries import TOXIC, WORDS, toxicity_model
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(row, text): all columns within one, so that no name of theirs can clash."""
+    return docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit. Labels are learned from as in the query of the operator."""
     model = toxicity_model(spark, sf_dir)
-    return model.score(docs, "text", "_toxicity").where(F.col("_toxicity") < TOXIC).drop("_toxicity")
+    return model.score(whole_rows(docs), "text", "score").where(F.col("score") < TOXIC).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weighed rules keep."""
-    weights = weak_rules.fit(weak_rules.measure(docs))
-    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
-    judged = weak_rules.judge(weak_rules.measure(rows, "_text", keep=("_row",)), weights)
-    return judged.where("kept").select("_row.*")
+    """Documents that the weighed rules keep. Texts are measured once, and the measures staged with their rows."""
+    measured = staged(weak_rules.measure(whole_rows(docs), keep=("row",)), "pipeline-measures")
+    return weak_rules.judge(measured, weak_rules.fit(measured)).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +38,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by id and text; only rows that repeat both are one document.
     """
-    id = F.col("doc_id")
-    key = F.struct(id.isNull().alias("gone"), id.alias("id"), F.md5("text").alias("digest"))
+    id, digest = F.col("doc_id"), F.md5("text")
+    key = F.struct(id.isNull().alias("gone"), id.alias("id"), digest.alias("digest"))
     classes = simhash.near_duplicates(docs.select(key.alias("key"), "text"), id="key")
     first = classes.where("key = component_id").groupBy("key").agg(F.count("*").alias("n"))
-    first = staged(first.select(F.col("key.id").alias("_first_id"), F.col("key.digest").alias("_first_digest"), F.col("n").alias("_rows")), "pipeline-first")
-    same = id.eqNullSafe(F.col("_first_id")) & F.md5("text").eqNullSafe(F.col("_first_digest"))
-    kept = docs.join(first.where("_rows = 1"), same, "left_semi")
-    repeated = docs.join(first.where("_rows > 1"), same, "left_semi")
-    digested = repeated.select(F.struct("*").alias("row"), id.alias("id"), F.md5("text").alias("digest"))
-    return kept.unionByName(digested.dropDuplicates(["id", "digest"]).select("row.*"))
+    first = staged(first.select(F.col("key.id").alias("first_id"), F.col("key.digest").alias("first_digest"), "n"), "pipeline-first")
+    keyed = docs.select(F.struct("*").alias("row"), id.alias("id"), digest.alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("first_id")) & F.col("digest").eqNullSafe(F.col("first_digest"))
+    single = keyed.join(first.where("n = 1"), same, "left_semi")
+    repeated = keyed.join(first.where("n > 1"), same, "left_semi").dropDuplicates(["id", "digest"])
+    return single.select("row.*").unionByName(repeated.select("row.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
