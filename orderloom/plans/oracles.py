@@ -438,4 +438,8 @@ ORACLES: dict[str, str] = {
         "ready", "SELECT a.*, 1704067200 + CAST(order_id AS BIGINT) % 60 AS ready_at FROM "
         f"({_READY} ready) a WHERE payment_method_id <> '5'"
     ),
+    "rt_assembly_resumed": _query(
+        "ready", "SELECT a.*, 1704067200 + CAST(order_id AS BIGINT) % 60 AS ready_at FROM "
+        f"({_READY} ready) a WHERE payment_method_id <> '5' AND (CAST(customer_id AS BIGINT) % 2 = 0 OR payment_method_id <= '3')"
+    ),
 }

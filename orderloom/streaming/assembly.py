@@ -40,9 +40,14 @@ def ready_orders(
     lateness: str = "120 seconds",
     horizon: int = ASSEMBLY_HORIZON,
     dedup: int = DEDUP_HORIZON,
+    announced: DataFrame | None = None,
 ) -> DataFrame:
     """Orders whose set of products has reached the announced number.
 
+    ``announced`` (order_id, ready_at) holds orders that an earlier query announced. A query that starts
+    without progress of its own takes them as its first state and announces none of them again within
+    ``dedup`` seconds; a query that goes on from its progress does not look at them.
+
     Events of all feeds meet on the order id in one shuffle. Times are event times in whole
     seconds, as the horizons are. An order's events wait until the watermark has passed them and
     are then taken in by time, so neither the order of arrival nor the split into micro-batches
@@ -54,10 +59,12 @@ def ready_orders(
     """
     if feeds[0].sparkSession.conf.get(STATE_STORE, "") != DEFAULTS[STATE_STORE]:
         raise ValueError(f"set {STATE_STORE} to {DEFAULTS[STATE_STORE]}")
+    known = None if announced is None else announced.groupBy("order_id").agg(F.unix_seconds(F.max("ready_at")).alias("at")).groupBy("order_id")
     return (
         reduce(DataFrame.unionByName, [_timed(feed, lateness) for feed in feeds])
         .groupBy("order_id")
-        .transformWithState(OrderAssembly(horizon, dedup), _EMITTED, outputMode="append", timeMode="eventTime")
+        .transformWithState(
+            OrderAssembly(horizon, dedup), _EMITTED, outputMode="append", timeMode="eventTime", initialState=known)
         .withColumn("ready_at", F.timestamp_seconds("ready_at"))
     )
 
@@ -149,6 +156,10 @@ class OrderAssembly(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("order", _STATE)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        if initialState.at is not None:
+            self._save(Progress(done_until=initialState.at + self.dedup), set(), 0)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         progress, waiting, timer = self._load()
         for e in rows:
