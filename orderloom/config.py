@@ -110,7 +110,9 @@ class Lake:
     root: str
     source: Endpoint
     topics: Endpoint
-    table_format: str = "snapshot"  # "delta" where the session has that format
+    #: How dimensions are kept: "snapshot" (each change a new copy), "merged" (only what changed is written),
+    #: or a transactional format that the session has.
+    table_format: str = "snapshot"
 
     def bronze(self, table: str) -> str:
         return f"{self.root}/bronze/brz.{table}"
@@ -121,6 +123,9 @@ class Lake:
     def gold(self, table: str) -> str:
         return f"{self.root}/gold/gld.{table}"
 
+    def rejects(self, table: str) -> str:
+        return f"{self.root}/rejects/{table}"
+
     def progress(self, query: str) -> str:
         return f"{self.root}/_progress/{query}"
 

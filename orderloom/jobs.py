@@ -1,7 +1,8 @@
-"""Command line for spark-submit: one batch step, the whole batch run, or the suggestion stream.
+"""Command line for spark-submit: one batch step, the whole batch run, a seed file, or the suggestion stream.
 
     spark-submit orderloom/jobs.py batch --config lake.json --as-of 2024-01-31
     spark-submit orderloom/jobs.py batch --config lake.json --step check-silver
+    spark-submit orderloom/jobs.py seed --config lake.json --table products --file products.csv
     spark-submit orderloom/jobs.py stream --config lake.json --prefix shop.
 
 The configuration is a JSON document with ``root``, ``source``, ``topics`` and, if wanted,
@@ -62,10 +63,12 @@ def start_stream(spark: SparkSession, lake: Lake, prefix: str, once: bool):
 
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__.splitlines()[0])
-    parser.add_argument("job", choices=["batch", "stream"])
+    parser.add_argument("job", choices=["batch", "seed", "stream"])
     parser.add_argument("--config", required=True, help="JSON document of the lake")
     parser.add_argument("--step", choices=list(STEPS), help="only this step of the batch run")
     parser.add_argument("--as-of", default=date.today().isoformat(), help="business date, today if not given")
+    parser.add_argument("--table", help="table of the seed file")
+    parser.add_argument("--file", help="the seed file, or a folder of such")
     parser.add_argument("--ties", choices=["strict", "anti"], default="strict")
     parser.add_argument("--fail-on-error", action="store_true", help="stop at failed checks")
     parser.add_argument("--prefix", default="", help="what the change feed puts before its table names")
@@ -77,6 +80,9 @@ def main(arguments: list[str] | None = None) -> None:
     spark, lake = build_session("orderloom", document.get("settings")), lake_from(document)
     if given.job == "stream":
         start_stream(spark, lake, given.prefix, given.once).awaitTermination()
+    elif given.job == "seed":
+        with Scratch(spark) as scratch:
+            Run(spark, lake, scratch, given.as_of, given.ties).load_seed(given.table, given.file)
     elif given.step:
         with Scratch(spark) as scratch:
             STEPS[given.step](Run(spark, lake, scratch, given.as_of, given.ties))

@@ -20,7 +20,7 @@ from orderloom.operators import clean, facts, incremental, quality, scd2
 from orderloom.schemas import ACCEPTED_SUGGESTION
 from orderloom.session import Scratch
 from orderloom.sources import (
-    accept_schema, append_partitioned, day_folders, has_data, latest_watermark, overwrite, read_layer, read_table,
+    accept_schema, append_partitioned, append_table, csv_rejects, day_folders, has_data, latest_watermark, overwrite, read_csv_dimension, read_layer, read_table,
     merge_versions, read_since, read_versioned, settle, stored_schema, write_versioned,
 )
 from orderloom.sources.layers import read_merged, versioned_exists
@@ -85,6 +85,19 @@ class Run:
         settle(self.spark, path)
         return day_folders(self.spark, path)
 
+    # Source tables
+
+    def load_seed(self, table: str, file: str) -> None:
+        """The lines of a seed file whose id ``table`` lacks, added to the source; lines that do not fit, to the rejects."""
+        as_of = f"{self.as_of} 00:00:00"
+        rows = self.scratch.stage(read_csv_dimension(self.spark, file, table, as_of), f"{table}-seed")
+        known = f"{self.lake.source.path}/{table}"
+        if self.lake.source.format == "jdbc" or has_data(self.spark, known):
+            present = read_table(self.spark, self.lake.source, table).select("id")
+            rows = self.scratch.stage(rows.join(present, "id", "left_anti").select(rows.columns), f"{table}-new")
+        csv_rejects(self.spark, file, table, as_of).write.mode("append").parquet(self.lake.rejects(table))
+        append_table(self.lake.source, table, rows)
+
     # Raw layer
 
     def load_orders(self) -> None:

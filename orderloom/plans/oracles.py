@@ -385,6 +385,10 @@ ORACLES: dict[str, str] = {
     "ingest_csv_dim": _query("products product_category", f"""
         SELECT p.id, p.name || ', ' || c.name AS name, category_id, unit_price, {STAMP0} AS updated_at
         FROM products p JOIN product_category c ON c.id = p.category_id"""),
+    "ingest_csv_rejects": _query("products", f"""
+        SELECT 'products' AS table_name, id || ',"' || name || '",' || category_id
+               || CASE WHEN category_id % 7 = 0 THEN ',n/a' ELSE '' END AS line, {STAMP0} AS rejected_at
+        FROM products WHERE category_id % 7 = 0 OR category_id % 5 = 0"""),
     "silver_stores": _query("stores_both", _clean_stores("stores_both")),
     "silver_products": _query("products_both product_category", _clean_products("products_both")),
     "silver_payment_method": _query("payment_method_both", f"""

@@ -14,7 +14,7 @@ from orderloom.operators import clean, facts, incremental, ingest, quality, scd2
 from orderloom.plans.batch import run_batch
 from orderloom.plans.driver_views import AS_OF, CUTOFF, T0, T1, DriverTables
 from orderloom.session import scratch_path
-from orderloom.sources import layers, read_csv_dimension
+from orderloom.sources import csv_rejects, layers, read_csv_dimension
 from orderloom.streaming import assembly, changes
 from orderloom.streaming.suggestions import ACCEPTED_TOPIC
 
@@ -81,6 +81,18 @@ def ingest_csv_dim(spark, folder):
     return read_csv_dimension(spark, path, "products", T0)
 
 
+def ingest_csv_rejects(spark, folder):
+    """Lines of a seed file that do not fit: some without a price, some whose price is no number."""
+    src = _source(spark, folder)
+    path = scratch_path(spark, "products-csv")
+    number = F.col("category_id")
+    price = F.when(number % 7 == 0, F.lit(",n/a")).when(number % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(","), F.col("unit_price").cast("string")))
+    lines = src.products().select(F.concat("id", F.lit(',"'), "name", F.lit('",'), F.col("category_id").cast("string"), price).alias("value"))
+    header = spark.createDataFrame([("id,name,category,unit_price",)], "value string")
+    header.union(lines).coalesce(1).write.text(path)  # one file: each begins with a header
+    return csv_rejects(spark, path, "products", T0).select("table_name", "line", "rejected_at")
+
+
 # Conformed layer
 
 def silver_stores(spark, folder):
@@ -486,7 +498,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         fact_orders_full, fact_orders_incremental, fact_orders_day_watermark,
         bronze_orders_full, bronze_orders_incremental, bronze_orders_ties, bronze_details_incremental,
-        bronze_dim_incremental, bronze_suggestions, ingest_csv_dim,
+        bronze_dim_incremental, bronze_suggestions, ingest_csv_dim, ingest_csv_rejects,
         silver_stores, silver_products, silver_payment_method, silver_customers, silver_orders,
         silver_order_details, silver_suggestions_unseen,
         dim_payment_initial, dim_products_initial, dim_stores_initial, dim_products_changes,

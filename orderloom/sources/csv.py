@@ -7,14 +7,35 @@ from pyspark.sql import functions as F
 
 from orderloom.schemas import SOURCE_TABLES
 
+BROKEN = "_broken"
 
-def read_csv_dimension(spark: SparkSession, path: str, table: str, as_of: str | None = None) -> DataFrame:
-    """Read ``table`` by column position below a header line and stamp ``updated_at``."""
+
+def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Rows by column position below a header line; a line that does not fit is whole in ``BROKEN``."""
     columns = SOURCE_TABLES[table].rsplit(", updated_at", 1)[0]
-    stamp = F.current_timestamp() if as_of is None else F.lit(as_of)
     return (
-        spark.read.schema(columns)
+        spark.read.schema(f"{columns}, {BROKEN} string")
         .option("header", True).option("enforceSchema", True).option("quote", '"')
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
         .csv(path)
-        .withColumn("updated_at", stamp.cast("timestamp_ntz"))
     )
+
+
+def _stamp(as_of: str | None):
+    return (F.current_timestamp() if as_of is None else F.lit(as_of)).cast("timestamp_ntz")
+
+
+def read_csv_dimension(spark: SparkSession, path: str, table: str, as_of: str | None = None) -> DataFrame:
+    """The lines that fit ``table``, with ``updated_at`` stamped. ``csv_rejects`` gives the others."""
+    rows = _read(spark, path, table)
+    return rows.filter(F.col(BROKEN).isNull()).drop(BROKEN).withColumn("updated_at", _stamp(as_of))
+
+
+def csv_rejects(spark: SparkSession, path: str, table: str, as_of: str | None = None) -> DataFrame:
+    """The lines that do not fit: too few or too many columns, or text where a number belongs."""
+    rows = _read(spark, path, table).select("*", F.col("_metadata.file_path").alias("_file"))
+    # Only where all columns are read does the reader find every line that does not fit.
+    kept = F.when(F.length(F.concat_ws("", *(F.col(c).cast("string") for c in rows.columns))) >= 0, F.col(BROKEN))
+    return rows.select(
+        F.lit(table).alias("table_name"), kept.alias("line"), F.col("_file").alias("file"), _stamp(as_of).alias("rejected_at"),
+    ).filter("line IS NOT NULL")

@@ -32,3 +32,12 @@ def read_table(spark: SparkSession, source: Endpoint, table: str, since: str | N
         url = options.pop("url")
         return spark.read.jdbc(url, options.pop("dbtable"), predicates=predicates, properties=options)
     return spark.read.format("jdbc").options(**options).load()
+
+
+def append_table(source: Endpoint, table: str, rows: DataFrame) -> None:
+    """Add rows to a source table."""
+    writer = rows.write.mode("append").format(source.format).options(**source.options)
+    if source.format == "jdbc":
+        writer.option("dbtable", table).save()
+    else:
+        writer.save(f"{source.path}/{table}")

@@ -45,3 +45,21 @@ def test_stream_then_batch_steps(spark, tmp_path, capsys):
     assert [r.product_id for r in offers.collect()] == ["P2"]
     assert read_layer(spark, world.lake.gold("fact_orders")).count() == 4
     assert suggest.ACCEPTED_COLUMNS == [c for c in lines.columns if c not in ("year", "month", "day")]
+
+
+def test_seed_files_are_loaded_once_and_bad_lines_kept_apart(spark, tmp_path):
+    world = World(spark, tmp_path)
+    world.seed()
+    config, file = tmp_path / "lake.json", tmp_path / "products.csv"
+    config.write_text(json.dumps({
+        "root": world.lake.root, "source": {"format": "parquet", "path": world.lake.source.path},
+        "topics": {"format": "text", "path": world.lake.topics.path},
+    }))
+    file.write_text('id,name,category,unit_price\nP1,Known,1,5\nP8,"Green, hot",1,20000\nP9,Cake,1\nP10,Pie,one,3\n\n')
+    for _ in range(2):
+        main(["seed", "--config", str(config), "--table", "products", "--file", str(file), "--as-of", "2024-02-01"])
+    products = spark.read.parquet(f"{world.lake.source.path}/products")
+    assert sorted((r.id, r.name, r.unit_price) for r in products.collect()) == [
+        ("P1", "Black", 30000), ("P2", "Brown", 45000), ("P8", "Green, hot", 20000)]
+    rejects = spark.read.parquet(world.lake.rejects("products"))
+    assert {r.line for r in rejects.collect()} == {"P9,Cake,1", "P10,Pie,one,3"}
