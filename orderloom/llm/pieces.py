@@ -208,7 +208,7 @@ def _encoded(path: str) -> Remembered:
         ids = known.encode(stretch)
         return ",".join(map(str, ids)), known.decode(ids)
 
-    return Remembered(work)
+    return Remembered(work, 450_000_000)
 
 
 @lru_cache(2)
