@@ -86,6 +86,8 @@ SILVER_RULES = {
     ),
 }
 
+#: Tables that grow behind a watermark: their keys are counted as they come.
+GROWING = ("orders",)
 BRONZE_DIMENSIONS = ("stores", "product_category", "products", "payment_method", "customers")
 
 
@@ -123,6 +125,9 @@ class Lake:
     def gold(self, table: str) -> str:
         return f"{self.root}/gold/gld.{table}"
 
+    def keys(self, layer: str, table: str, column: str) -> str:
+        return f"{self.root}/_keys/{layer}.{table}.{column}"
+
     def rejects(self, table: str) -> str:
         return f"{self.root}/rejects/{table}"
 

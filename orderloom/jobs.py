@@ -33,7 +33,7 @@ STEPS: dict[str, Callable[[Run], object]] = {
     "check-silver": lambda run: _show(run.check_silver().filter("NOT passed")),
     "gold-dimensions": lambda run: [run.build_dimension(dim) for dim in DIMENSIONS],
     "gold-fact": Run.build_fact,
-    "inspect": lambda run: _show(run.inspect()),
+    "inspect": lambda run: _show(run.inspect(), run.preview()),
 }
 
 

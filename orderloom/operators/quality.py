@@ -16,11 +16,16 @@ RESULT = "table_name string, column_name string, rule string, value double, pass
 KEYED = ("repeated_keys", "uniqueness")
 
 
-def check_table(df: DataFrame, table: str, rules: Iterable[Rule]) -> DataFrame:
+def check_table(
+    df: DataFrame, table: str, rules: Iterable[Rule], counted: DataFrame | None = None,
+    measured: dict[str, DataFrame] | None = None,
+) -> DataFrame:
     """Results of all rules on one table, one row each.
 
-    Every rule that needs only counts or minima shares a single pass over the table. Key rules
-    count rows per value first, which each task reduces before the shuffle.
+    Every rule that needs only counts or minima shares a single pass over the table; ``counted``, if given, is
+    the same table as it is to be read for them (see ``sources.countable``). Key rules count rows per
+    value first, which each task reduces before the shuffle; for columns in ``measured`` the numbers are
+    there already (see ``sources.key_store``).
     """
     rules = list(rules)
     simple = [r for r in rules if r.kind not in KEYED]
@@ -28,19 +33,25 @@ def check_table(df: DataFrame, table: str, rules: Iterable[Rule]) -> DataFrame:
              for r in rules if r.kind in KEYED}
     parts = []
     if simple:
-        parts.append(_rows(_measure(df, simple), table, simple))
+        parts.append(_rows(_measure(df if counted is None else counted, simple), table, simple))
     for column, on_column in keyed.items():
-        parts.append(_rows(_measure_key(df, column), table, on_column))
+        known = (measured or {}).get(column)
+        parts.append(_rows(_measure_key(df, column) if known is None else known, table, on_column))
     return reduce(DataFrame.unionByName, parts)
 
 
 def _measure(df: DataFrame, rules: list[Rule]) -> DataFrame:
     nulls = {r.column for r in rules if r.kind != "minimum"}
     minima = {r.column for r in rules if r.kind == "minimum"}
-    return df.agg(
+    plain = df.agg(  # nothing but counts and minima of columns: file footers can answer them
         F.count(F.lit(1)).alias("rows"),
-        *(F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in sorted(nulls)),
-        *(F.min(c).cast("double").alias(f"min_{c}") for c in sorted(minima)),
+        *(F.count(c).alias(f"present_{c}") for c in sorted(nulls)),
+        *(F.min(c).alias(f"min_{c}") for c in sorted(minima)),
+    )
+    return plain.select(
+        "rows",
+        *((F.col("rows") - F.col(f"present_{c}")).alias(f"nulls_{c}") for c in sorted(nulls)),
+        *(F.col(f"min_{c}").cast("double").alias(f"min_{c}") for c in sorted(minima)),
     )
 
 
@@ -89,8 +100,13 @@ def _judge(rule: Rule) -> tuple[Column, Column, Column]:
     raise ValueError(f"unknown rule {rule.kind!r}")
 
 
-def check_tables(tables: dict[str, DataFrame], rules: dict[str, list[Rule]]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [check_table(tables[t], t, rules[t]) for t in rules if t in tables])
+def check_tables(
+    tables: dict[str, DataFrame], rules: dict[str, list[Rule]], counted: dict[str, DataFrame] | None = None,
+    measured: dict[str, dict[str, DataFrame]] | None = None,
+) -> DataFrame:
+    counted, measured = counted or {}, measured or {}
+    parts = [check_table(tables[t], t, rules[t], counted.get(t), measured.get(t)) for t in rules if t in tables]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def same_schema(actual: T.StructType, accepted: T.StructType) -> bool:
@@ -165,5 +181,15 @@ def inspect_tables(spark: SparkSession, tables: dict[str, Callable[[], DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
-def preview(df: DataFrame, rows: int = 5) -> DataFrame:
-    return df.limit(rows)
+def preview(tables: dict[str, DataFrame], rows: int = 5, order: dict[str, list[str]] | None = None) -> DataFrame:
+    """A few rows of each table, each as one VARIANT, so that tables of any columns lie in one frame.
+
+    Which rows is left to Spark, which stops once it has enough; a table named in ``order`` is sorted by
+    those columns first (a top-k: tasks keep ``rows`` rows each).
+    """
+    shown = []
+    for name, df in tables.items():
+        first = df.orderBy(*order[name]) if order and name in order else df
+        shown.append(first.limit(rows).select(
+            F.lit(name).alias("table_name"), F.to_variant_object(F.struct(*df.columns)).alias("fields")))
+    return reduce(DataFrame.unionByName, shown)

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.config import (
-    BRONZE_DIMENSIONS, BRONZE_RULES, DIMENSIONS, SILVER_RULES, Dimension, Lake,
+    BRONZE_DIMENSIONS, BRONZE_RULES, DIMENSIONS, GROWING, SILVER_RULES, Dimension, Lake,
 )
 from orderloom.functions import date_parts
 from orderloom.operators import clean, facts, incremental, quality, scd2
 from orderloom.schemas import ACCEPTED_SUGGESTION
 from orderloom.session import Scratch
 from orderloom.sources import (
-    accept_schema, append_partitioned, append_table, csv_rejects, day_folders, has_data, latest_watermark, overwrite, read_csv_dimension, read_layer, read_table,
+    accept_schema, append_partitioned, append_table, countable, countable_versioned, csv_rejects, day_folders, has_data, key_store, latest_watermark, overwrite, read_csv_dimension, read_layer, read_table,
     merge_versions, read_since, read_versioned, settle, stored_schema, write_versioned,
 )
 from orderloom.sources.layers import read_merged, versioned_exists
@@ -143,8 +143,22 @@ class Run:
     def _tables(self, path, names) -> dict[str, DataFrame]:
         return {n: self._all(path(n)) for n in names if self._has(path(n))}
 
+    def _check(self, layer: str, path, rules) -> DataFrame:
+        """NULLs and minima are told by the file footers. Of the key columns of key rules, tables that only grow
+        have their new files read, others all."""
+        tables = self._tables(path, rules)
+        footers = {n: countable(self.spark, path(n)) for n in tables}
+        keys = {n: {r.column: self._keys(layer, n, path(n), r.column) for r in rules[n] if r.kind in quality.KEYED}
+                for n in tables if n in GROWING}
+        return quality.check_tables(tables, rules, footers, keys)
+
+    def _keys(self, layer: str, table: str, path: str, column: str) -> DataFrame:
+        store = self.lake.keys(layer, table, column)
+        key_store.take_in(self.spark, store, path, column, self.scratch.stage)
+        return key_store.measured(self.spark, store)
+
     def check_bronze(self) -> DataFrame:
-        return quality.check_tables(self._tables(self.lake.bronze, BRONZE_RULES), BRONZE_RULES)
+        return self._check("bronze", self.lake.bronze, BRONZE_RULES)
 
     def check_schemas(self, accept: bool = False) -> dict[str, DataFrame]:
         """Differences per raw table. A table seen for the first time is accepted as it is; a
@@ -159,7 +173,7 @@ class Run:
         return found
 
     def check_silver(self) -> DataFrame:
-        return quality.check_tables(self._tables(self.lake.silver, SILVER_RULES), SILVER_RULES)
+        return self._check("silver", self.lake.silver, SILVER_RULES)
 
     # Conformed layer
 
@@ -264,13 +278,29 @@ class Run:
         append_partitioned(facts.build_fact(orders, lines, products, stores, methods), target)
 
     def inspect(self) -> DataFrame:
+        """Counts and columns of the serving layer, from file footers."""
         fmt = self.lake.table_format
+
+        def fact() -> DataFrame:
+            settle(self.spark, self.lake.gold("fact_orders"))
+            return countable(self.spark, self.lake.gold("fact_orders"))
+
         tables = {
-            f"gld.{d.name}": lambda d=d: read_versioned(self.spark, self.lake.gold(d.name), fmt)
+            f"gld.{d.name}": lambda d=d: countable_versioned(self.spark, self.lake.gold(d.name), fmt)
             for d in DIMENSIONS
         }
-        tables["gld.fact_orders"] = lambda: self._all(self.lake.gold("fact_orders"))
-        return quality.inspect_tables(self.spark, tables)
+        return quality.inspect_tables(self.spark, {**tables, "gld.fact_orders": fact})
+
+    def preview(self, rows: int = 5) -> DataFrame:
+        """Some rows of every table of the serving layer that is there."""
+        fmt, tables = self.lake.table_format, {}
+        for dim in DIMENSIONS:
+            path = self.lake.gold(dim.name)
+            if versioned_exists(self.spark, path, fmt):
+                tables[f"gld.{dim.name}"] = read_versioned(self.spark, path, fmt)
+        if self._has(self.lake.gold("fact_orders")):
+            tables["gld.fact_orders"] = self._all(self.lake.gold("fact_orders"))
+        return quality.preview(tables, rows)
 
 
 def run_batch(

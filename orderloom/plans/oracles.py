@@ -259,6 +259,8 @@ BLOCKS["q_orders"] = ("src_orders", """
 BLOCKS["q_products"] = ("products_v1 products_v2", f"""
         SELECT * FROM products_v1 UNION ALL
         SELECT * FROM products_v2 WHERE updated_at = {STAMP1} OR id NOT IN (SELECT id FROM products_v1)""")
+BLOCKS["q_again"] = ("src_orders", """
+        SELECT id FROM src_orders UNION ALL SELECT id FROM src_orders WHERE customer_id % 4 = 0""")
 BLOCKS["qs_products"] = ("q_products product_category", _clean_products("q_products"))
 BLOCKS["qs_orders"] = ("q_orders", "SELECT * RENAME (id AS order_id) FROM q_orders")
 BLOCKS["qs_details"] = ("brz_details once", "SELECT * FROM brz_details UNION ALL SELECT * FROM once")
@@ -347,6 +349,18 @@ _INSPECT = "\nUNION ALL\n".join(
     f"CAST(NULL AS VARCHAR) AS error FROM {block}" for name, block, n, columns in _INSPECTED
 ) + "\nUNION ALL SELECT 'gld.missing', NULL, NULL, NULL, 'cannot read: AnalysisException'"
 
+_PREVIEW_ORDER = {"fact": "order_id, product_key, quantity, subtotal", "dim_stores": "store_key",
+                  "dim_products": "product_key", "dim_payment_method": "method_key"}
+
+
+def _preview(name: str, block: str, columns: str) -> str:
+    """Five rows as JSON, fields by name."""
+    names = sorted(part.split()[0] for part in columns.split(", "))
+    shown = ", ".join(f"{c} := {f'CAST({c} AS VARCHAR)' if c in ('start_date', 'end_date', 'order_date') else c}" for c in names)
+    return (f"SELECT '{name}' AS table_name, CAST(to_json(struct_pack({shown})) AS VARCHAR) AS fields "
+            f"FROM (SELECT * FROM {block} ORDER BY {_PREVIEW_ORDER[block]} LIMIT 5)")
+
+
 _DRIFT = """
 SELECT 'brz.order_details' AS table_name, column_name, change, expected_type, actual_type,
        CASE column_name WHEN 'coupon' THEN 0 WHEN 'subtotal' THEN count(subtotal) WHEN 'quantity' THEN count(quantity)
@@ -419,11 +433,15 @@ ORACLES: dict[str, str] = {
     "dq_completeness": _query(*_rules("slv", "completeness")),
     "dq_min": _query(*_rules("slv", "minimum")),
     "dq_uniqueness": _query(*_rules("slv", "uniqueness")),
+    "dq_uniqueness_delta": _query("q_again", "\nUNION ALL\n".join(
+        _rule_sql("q_again", "orders", Rule(kind, "id", 0)) for kind in ("repeated_keys", "uniqueness"))),
     "dq_report": _query(
         f"{_rules('brz')[0]} {_rules('slv')[0]}",
         f"{_rules('brz', prefix='brz.')[1]}\nUNION ALL\n{_rules('slv', prefix='slv.')[1]}",
     ),
     "inspect_tables": _query("dim_stores dim_products dim_payment_method fact", _INSPECT),
+    "preview_tables": _query("dim_stores dim_products dim_payment_method fact", "\nUNION ALL\n".join(
+        _preview(name, block, columns) for name, block, _, columns in _INSPECTED)),
     "ref_diamond_customers": _query("customers", "SELECT id FROM customers WHERE tier = 'diamond'"),
     "ref_acb_methods": _query("payment_method", "SELECT id FROM payment_method WHERE bank LIKE '%ACB%'"),
     "ref_products": _query("products", """

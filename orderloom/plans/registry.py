@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.config import BRONZE_RULES, PAYMENT_METHOD, PRODUCTS, SILVER_RULES, STORES, Endpoint, Lake
+from orderloom.config import BRONZE_RULES, PAYMENT_METHOD, PRODUCTS, SILVER_RULES, STORES, Endpoint, Lake, Rule
 from orderloom.functions import date_parts
 from orderloom.operators import clean, facts, incremental, ingest, quality, scd2, suggest
 from orderloom.plans.batch import run_batch
 from orderloom.plans.driver_views import AS_OF, CUTOFF, T0, T1, DriverTables
-from orderloom.session import scratch_path
-from orderloom.sources import csv_rejects, layers, read_csv_dimension
+from orderloom.session import scratch_path, stage
+from orderloom.sources import csv_rejects, key_store, layers, read_csv_dimension
 from orderloom.streaming import assembly, changes
 from orderloom.streaming.suggestions import ACCEPTED_TOPIC
 
@@ -351,6 +351,24 @@ def dq_uniqueness(spark, folder):
     return quality.check_tables(_silver_tables(_source(spark, folder)), _only(SILVER_RULES, "uniqueness"))
 
 
+def dq_uniqueness_delta(spark, folder):
+    """Key rules of orders from counts kept beside the table: first the loaded orders, then the new ones, then orders of every
+    fourth customer once more, on a later day."""
+    src, root = _source(spark, folder), scratch_path(spark, "keys")
+    table, store = f"{root}/orders", f"{root}/store"
+    rules = [Rule("repeated_keys", "id", 0), Rule("uniqueness", "id", 0)]
+    again = _again(src).withColumns({c: F.lit(v) for c, v in zip(("year", "month", "day"), (2030, 1, 1))})
+    for rows in (_loaded_orders(src), _new_orders(src), again):
+        yearly = rows.withColumns({"month": F.lit(1), "day": F.lit(1)})  # fewer folders
+        layers.append_partitioned(yearly, table)
+        key_store.take_in(spark, store, table, "id", stage)
+    return quality.check_table(spark.read.parquet(table), "orders", rules, measured={"id": key_store.measured(spark, store)})
+
+
+def _again(src: DriverTables) -> DataFrame:
+    return date_parts(src.orders().filter("customer_id % 4 = 0"), "timestamp")
+
+
 def dq_report(spark, folder):
     src = _source(spark, folder)
     bronze = quality.check_tables(_bronze_tables(src), BRONZE_RULES)
@@ -372,14 +390,35 @@ def dq_schema_drift(spark, folder):
 
 
 def inspect_tables(spark, folder):
-    src = _source(spark, folder)
-    return quality.inspect_tables(spark, {
-        "gld.dim_stores": lambda: scd2.initial_load(_stores(src), STORES),
-        "gld.dim_products": lambda: scd2.initial_load(_products(src), PRODUCTS),
-        "gld.dim_payment_method": lambda: scd2.initial_load(_methods(src), PAYMENT_METHOD),
-        "gld.fact_orders": lambda: _fact(src, None),
-        "gld.missing": lambda: spark.read.parquet(f"{folder}/missing.parquet"),
-    })
+    """The serving layer, written and then counted by its file footers."""
+    paths = _serving_layer(spark, folder)
+    paths["gld.missing"] = f"{folder}/missing.parquet"
+    return quality.inspect_tables(spark, {name: lambda p=path: layers.countable(spark, p) for name, path in paths.items()})
+
+
+PREVIEW_ORDER = {
+    "gld.dim_stores": ["store_key"], "gld.dim_products": ["product_key"], "gld.dim_payment_method": ["method_key"],
+    "gld.fact_orders": ["order_id", "product_key", "quantity", "subtotal"],
+}
+
+
+def preview_tables(spark, folder):
+    """The first five rows of every table of the serving layer, by key."""
+    tables = {name: spark.read.parquet(path) for name, path in _serving_layer(spark, folder).items()}
+    shown = quality.preview(tables, order=PREVIEW_ORDER)
+    return shown.select("table_name", F.to_json("fields").alias("fields"))
+
+
+def _serving_layer(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Dimensions and fact written as plain tables; their paths by name."""
+    src, root = _source(spark, folder), scratch_path(spark, "gold")
+    paths = {name: f"{root}/{name}" for name in PREVIEW_ORDER}
+    for dim, rows in ((STORES, _stores(src)), (PRODUCTS, _products(src)), (PAYMENT_METHOD, _methods(src))):
+        layers.overwrite(scd2.initial_load(rows, dim), paths[f"gld.{dim.name}"])
+    dims = [spark.read.parquet(paths[f"gld.{dim.name}"]) for dim in (PRODUCTS, STORES, PAYMENT_METHOD)]
+    orders = date_parts(src.orders().withColumnRenamed("id", "order_id"), "timestamp")
+    layers.overwrite(facts.build_fact(orders, src.order_details(), *dims), paths["gld.fact_orders"])
+    return paths
 
 
 # Suggestions
@@ -503,8 +542,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         silver_order_details, silver_suggestions_unseen,
         dim_payment_initial, dim_products_initial, dim_stores_initial, dim_products_changes,
         dim_payment_scd2, dim_products_scd2, dim_stores_scd2, dim_products_merge, run_fact_full, run_fact_delta,
-        dq_schema_drift, dq_null_ratio, dq_duplicate_keys, dq_completeness, dq_min, dq_uniqueness,
-        dq_report, inspect_tables,
+        dq_schema_drift, dq_null_ratio, dq_duplicate_keys, dq_completeness, dq_min, dq_uniqueness, dq_uniqueness_delta,
+        dq_report, inspect_tables, preview_tables,
         ref_diamond_customers, ref_acb_methods, ref_products,
         rt_cdc_flatten, rt_order_assembly, rt_eligible_orders, rt_recommendations,
         rt_suggestion_accepted, rt_assembly_stream, rt_assembly_resumed,

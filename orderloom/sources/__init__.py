@@ -1,6 +1,8 @@
 from .files import day_folders, has_data, latest_watermark, list_dirs, newest_day
 from .layers import (
     append_partitioned,
+    countable,
+    countable_versioned,
     merge_versions,
     overwrite,
     read_layer,
@@ -15,7 +17,7 @@ from .topics import from_topic, read_topic, stream_topic, to_messages, write_top
 from .csv import csv_rejects, read_csv_dimension
 
 __all__ = [
-    "accept_schema", "append_partitioned", "append_table", "csv_rejects", "day_folders", "from_topic", "has_data", "latest_watermark", "list_dirs",
+    "accept_schema", "append_partitioned", "append_table", "countable", "countable_versioned", "csv_rejects", "day_folders", "from_topic", "has_data", "latest_watermark", "list_dirs",
     "merge_versions", "newest_day",
     "overwrite", "read_csv_dimension", "read_layer", "read_since", "read_table", "read_topic", "read_versioned",
     "settle", "stored_schema", "stream_topic", "to_messages", "write_topic", "write_versioned",

@@ -26,6 +26,13 @@ def has_data(spark: SparkSession, path: str) -> bool:
     return False
 
 
+def data_files(spark: SparkSession, folder: str) -> list[str]:
+    """Data files right in ``folder``."""
+    fs, target = _open(spark, folder)
+    found = (status.getPath() for status in fs.listStatus(target) if status.isFile())
+    return sorted(path.toString() for path in found if not path.getName().startswith(("_", ".")))
+
+
 def list_dirs(spark: SparkSession, path: str, prefix: str) -> list[tuple[int, str]]:
     """Sub-folders called ``{prefix}=<number>`` as (number, path), largest number first."""
     fs, target = _open(spark, path)

@@ -16,6 +16,16 @@ def read_layer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def countable(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table for counts and minima: Spark answers ``count(*)``, ``count(column)`` and ``min`` of a number from
+    the file footers, without reading rows. Anything else reads the columns it names. To be asked through a
+    session beside the caller's, as the setting holds for a whole session."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return session.read.parquet(path)
+
+
 def read_since(spark: SparkSession, path: str, day: str | None) -> DataFrame:
     """A table laid out by date, from ``day`` on. Only the folders of those days are listed and
     read, so the cost follows the news and not the history."""
@@ -32,8 +42,8 @@ COMMITTED = "_COMMITTED"
 PENDING = "_pending"  # readers pass over names with an underscore
 
 
-def append_partitioned(df: DataFrame, path: str) -> None:
-    """Append by year, month and day, all of it or nothing.
+def append_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = DATE_PARTS) -> None:
+    """Append by year, month and day, or by other columns, all of it or nothing.
 
     The rows are written beside the table and committed by one small file, and only then moved
     in. What an interruption leaves is settled by ``settle``: a committed append is
@@ -46,7 +56,7 @@ def append_partitioned(df: DataFrame, path: str) -> None:
     if exists(spark, f"{pending}/{COMMITTED}"):
         raise RuntimeError(f"{path} holds a committed append; settle it before reading what to append")
     delete(spark, pending)
-    df.hint("rebalance", *DATE_PARTS).write.partitionBy(*DATE_PARTS).parquet(f"{pending}/data")
+    df.hint("rebalance", *by).write.partitionBy(*by).parquet(f"{pending}/data")
     mark(spark, f"{pending}/{COMMITTED}")
     settle(spark, path)
 
@@ -124,10 +134,23 @@ def read_versioned(spark: SparkSession, path: str, table_format: str = "snapshot
         return read_merged(spark, path, current).drop(*LAYOUT)
     if table_format != "snapshot":
         return spark.read.format(table_format).load(path)
+    return spark.read.parquet(_newest_snapshot(spark, path))
+
+
+def countable_versioned(spark: SparkSession, path: str, table_format: str = "snapshot") -> DataFrame:
+    """As ``countable``, for a versioned table; a transactional format answers counts in its own way."""
+    if table_format == "merged":
+        return countable(spark, path).drop(*LAYOUT)
+    if table_format != "snapshot":
+        return read_versioned(spark, path, table_format)
+    return countable(spark, _newest_snapshot(spark, path))
+
+
+def _newest_snapshot(spark: SparkSession, path: str) -> str:
     complete = _complete_snapshots(spark, path)
     if not complete:
         raise FileNotFoundError(f"no complete snapshot below {path}")
-    return spark.read.parquet(complete[0][1])
+    return complete[0][1]
 
 
 def versioned_exists(spark: SparkSession, path: str, table_format: str = "snapshot") -> bool:

@@ -13,7 +13,7 @@ from orderloom.functions import number_rows, strip_cr, text_or_null
 from orderloom.plans.registry import QUERIES
 from orderloom.session import stage
 from orderloom.operators import clean, facts, incremental, ingest, quality, scd2, suggest
-from orderloom.sources import from_topic, has_data, read_csv_dimension, read_table, read_topic, to_messages
+from orderloom.sources import countable, from_topic, key_store, layers, has_data, read_csv_dimension, read_table, read_topic, to_messages
 from orderloom.sources.files import latest_watermark
 from orderloom.sources.layers import append_partitioned, read_since
 from orderloom.sources.relational import jdbc_options
@@ -244,7 +244,80 @@ def test_inspection(spark, tmp_path, rows):
         "here": lambda: spark.range(7), "gone": lambda: spark.read.parquet(str(tmp_path / "gone")),
     })
     assert rows(found) == [("gone", None, None, None, "cannot read: AnalysisException"), ("here", 7, 1, "id bigint", None)]
-    assert quality.preview(spark.range(7)).count() == 5
+
+
+def test_preview_of_tables_of_any_columns(spark):
+    tables = {"a": spark.range(7), "b": spark.createDataFrame([("x", None)], "name string, at date"), "c": spark.range(0)}
+    found = quality.preview(tables, rows=2, order={"a": ["id"]})
+    assert [tuple(r) for r in found.select("table_name", F.to_json("fields")).collect()] == [
+        ("a", '{"id":0}'), ("a", '{"id":1}'), ("b", '{"at":null,"name":"x"}')]
+
+
+def test_counts_come_from_file_footers(spark, tmp_path):
+    """No rows are read for NULLs and minima, whatever the folders, and the results are those of a scan."""
+    path = str(tmp_path / "t")
+    rows = spark.range(100).selectExpr(
+        "id", "cast(if(id % 3 = 0, null, id) as int) n", "if(id < 4, null, string(id)) s", "id % 2 as day")
+    rows.write.partitionBy("day").parquet(path)
+    rules = [Rule("null_ratio", "n", 0.05), Rule("completeness", "s", 1.0), Rule("minimum", "n", 0), Rule("uniqueness", "id", 0)]
+    plain = quality.check_table(spark.read.parquet(path), "t", rules)
+    found = quality.check_table(spark.read.parquet(path), "t", rules, counted=countable(spark, path))
+    assert found.collect() == plain.collect()
+    counted = quality.check_table(spark.read.parquet(path), "t", rules[:3], counted=countable(spark, path))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), COUNT(n), COUNT(s), MIN(n)]" in plan and "FileScan" not in plan
+
+
+def test_keys_are_counted_as_they_come(spark, tmp_path, monkeypatch):
+    """Any split of rows into appends gives the numbers of one pass; each time only the new files are read."""
+    table, store, keys, read = str(tmp_path / "t"), str(tmp_path / "store"), [], []
+
+    def watched(df, label):
+        if label == "keys":
+            read.append(df.inputFiles())
+        return stage(df, label)
+
+    batches = [["a", "b", None], ["b", "c", "d", "d"], [], ["a", "b", None, "e"], ["f"] * 50 + ["g"], ["\u00e9", "", " "]]
+    for number, batch in enumerate(batches):
+        keys += batch
+        before = {f for files in read for f in files}
+        rows = spark.createDataFrame([(k, 2024, 1, 1 + number // 2) for k in batch], "id string, year int, month int, day int")
+        append_partitioned(rows, table)
+        for _ in range(2):  # the second time finds no news
+            key_store.take_in(spark, store, table, "id", watched, slots=1)
+        assert not batch or (read[-1] and not before & set(read[-1]))
+        found = tuple(key_store.measured(spark, store).first())
+        counts = {k: keys.count(k) for k in keys}
+        assert found == (len(keys), len(set(keys) - {None}), sum(n > 1 for n in counts.values()))
+    assert len(read) == sum(bool(b) for b in batches)
+    with pytest.raises(ValueError, match="slots"):
+        append_partitioned(spark.createDataFrame([("z", 2024, 1, 9)], "id string, year int, month int, day int"), table)
+        key_store.take_in(spark, store, table, "id", stage, slots=2)
+
+    def dies(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as patch:  # committed, but not moved in
+        patch.setattr(layers, "move_below", dies)
+        with pytest.raises(OSError):
+            key_store.take_in(spark, store, table, "id", stage, slots=1)
+    key_store.take_in(spark, store, table, "id", stage, slots=1)
+    assert key_store.measured(spark, store).first().rows == len(keys) + 1
+
+
+def test_sketch_lets_every_old_key_through(spark):
+    """The bit of every value is found again, and at low load hardly any other."""
+    def placed(rows):
+        place = F.pmod(F.xxhash64("id"), F.lit(4 * key_store.BITS))
+        return rows.select(F.floor(place / key_store.BITS).alias("slot"), F.pmod(place, F.lit(key_store.BITS)).alias("bit"))
+
+    sketch = placed(spark.range(2000)).groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+    def found(rows):
+        return placed(rows).join(sketch, "slot").filter(key_store._bit("bits", "bit")).count()
+
+    assert found(spark.range(2000)) == 2000
+    assert found(spark.range(10_000, 12_000)) < 100
 
 
 # Messages and files
