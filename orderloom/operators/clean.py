@@ -76,18 +76,26 @@ def unseen_suggestions(
 
 
 def _without(suggestions: DataFrame, loaded_lines: DataFrame) -> DataFrame:
-    seen = loaded_lines.filter("is_suggestion OR is_suggestion IS NULL").select(
-        *(F.col(c).alias(f"seen_{c}") for c in SUGGESTION_KEY)
-    ).distinct()
+    return without_seen(suggestions, loaded_lines.filter("is_suggestion OR is_suggestion IS NULL"))
+
+
+def _matching(rows: DataFrame, others: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """Rows with (left_semi) or without (left_anti) an equal among ``others``; NULLs match NULLs."""
+    listed = others.select(*(F.col(c).alias(f"seen_{c}") for c in columns)).distinct()
     matches = F.lit(True)
-    for c in SUGGESTION_KEY:
+    for c in columns:
         matches = matches & F.col(c).eqNullSafe(F.col(f"seen_{c}"))
-    return suggestions.join(seen, matches, "left_anti")
+    return rows.join(listed, matches, how)
+
+
+def without_seen(suggestions: DataFrame, seen: DataFrame) -> DataFrame:
+    return _matching(suggestions, seen, SUGGESTION_KEY, "left_anti")
 
 
-def any_taken(suggestions: DataFrame, loaded_lines: DataFrame) -> bool:
-    """Is at least one of the suggestions among the loaded lines?"""
-    return not loaded_lines.join(suggestions.select(SUGGESTION_KEY), SUGGESTION_KEY, "left_semi").isEmpty()
+def taken_suggestions(lines: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """Keys and days of the lines that came as suggestions: those lie under the day of their delivery."""
+    keys = lines.select(*SUGGESTION_KEY, *DATE_PARTS)
+    return _matching(keys, suggestions, [*SUGGESTION_KEY, *DATE_PARTS], "left_semi").distinct()
 
 
 def own_lines(loaded_lines: DataFrame, suggestions: DataFrame) -> DataFrame:

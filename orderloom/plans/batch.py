@@ -20,8 +20,8 @@ from orderloom.operators import clean, facts, incremental, quality, scd2
 from orderloom.schemas import ACCEPTED_SUGGESTION
 from orderloom.session import Scratch
 from orderloom.sources import (
-    accept_schema, append_partitioned, append_table, countable, countable_versioned, csv_rejects, day_folders, has_data, key_store, latest_watermark, overwrite, read_csv_dimension, read_layer, read_table,
-    merge_versions, read_since, read_versioned, settle, stored_schema, write_versioned,
+    accept_schema, append_partitioned, append_table, countable, countable_versioned, csv_rejects, has_data, key_store, latest_watermark, overwrite, read_csv_dimension, read_layer, read_table,
+    merge_versions, read_since, read_versioned, seen_keys, settle, stored_schema, write_versioned,
 )
 from orderloom.sources.layers import read_merged, versioned_exists
 from orderloom.streaming.suggestions import ACCEPTED_TOPIC, load_suggestions
@@ -81,10 +81,6 @@ class Run:
         settle(self.spark, path)
         return latest_watermark(self.spark, path, ts)
 
-    def _days(self, path: str):
-        settle(self.spark, path)
-        return day_folders(self.spark, path)
-
     # Source tables
 
     def load_seed(self, table: str, file: str) -> None:
@@ -189,7 +185,13 @@ class Run:
         overwrite(clean.clean_customers(bronze("customers")), self.lake.silver("customers"))
 
     def build_silver_facts(self) -> None:
-        """New orders, their lines, and suggestions not taken in yet; again orders last."""
+        """New orders, their lines, and suggestions not taken in yet; again orders last.
+
+        Suggestions are read from the newest delivery day taken in on: delivery days never go back and a run takes
+        all suggestions there are. A repeat of an older one is known by its key (see ``sources.seen_keys``).
+        A suggestion accepted after its order went into the fact stays among the lines here: the fact
+        takes up orders once and does not return to them.
+        """
         target, lines_target = self.lake.silver("orders"), self.lake.silver("order_details")
         lower = self._watermark(target, "timestamp")
         day = lower and lower[:10]
@@ -197,37 +199,24 @@ class Run:
         orders = self._newer(recent, "timestamp", target, lower, "id", "order_id", "timestamp")
         if orders.isEmpty():
             return
-        suggestions = self._suggestions()
-        pending, loaded, since = orders, None, None
+        pending, store = orders, self.lake.keys("silver", "order_details", "suggestion")
         if self._has(lines_target):
-            recent_own = clean.own_lines(self._since(lines_target, day), suggestions)
+            recent_own = clean.own_lines(self._since(lines_target, day), self._suggestions(day))
             pending = incremental.without_lines(orders, recent_own)
-            since = self._last_taken(suggestions, lines_target)
-            loaded = since and self._since(lines_target, since)
+            settle(self.spark, store)
+            last = seen_keys.newest(self.spark, store)
+            seen_keys.follow(self.spark, store, self._since(lines_target, last), self._suggestions(last))
+        news = clean.unseen_suggestions(self._suggestions(seen_keys.newest(self.spark, store)))
+        fresh = seen_keys.unseen(self.spark, store, self.scratch.stage(news, "suggestions"))
         lines = self._since(self.lake.bronze("order_details"), day)
-        append_partitioned(clean.clean_lines(pending, lines, suggestions, loaded, since), lines_target)
+        append_partitioned(clean.clean_lines(pending, lines, fresh), lines_target)
         append_partitioned(clean.clean_orders(orders), target)
 
-    def _last_taken(self, suggestions: DataFrame, lines_target: str) -> str | None:
-        """Newest delivery day of which any suggestion is among the conformed lines.
-
-        Delivery days never go back and a run takes all suggestions there are, so those of
-        earlier days are all in. Usually the first day looked at decides.
-        """
-        for day, _ in self._days(self.lake.bronze(ACCEPTED_TOPIC)):
-            y, m, d = (int(part) for part in day.split("-"))
-            folder = f"{lines_target}/year={y}/month={m}/day={d}"
-            if self._has(folder) and clean.any_taken(
-                suggestions.filter((F.col("year") == y) & (F.col("month") == m) & (F.col("day") == d)),
-                self.spark.read.parquet(folder),
-            ):
-                return day
-        return None
-
-    def _suggestions(self) -> DataFrame:
+    def _suggestions(self, day: str | None) -> DataFrame:
+        """Accepted suggestions delivered on ``day`` or later."""
         path = self.lake.bronze(ACCEPTED_TOPIC)
         if self._has(path):
-            return self._all(path)
+            return self._since(path, day)
         columns = f"{ACCEPTED_SUGGESTION}, year int, month int, day int"
         return self.spark.createDataFrame([], columns)
 

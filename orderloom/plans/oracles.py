@@ -413,6 +413,11 @@ ORACLES: dict[str, str] = {
     "silver_orders": _query("new_orders", "SELECT * RENAME (id AS order_id) FROM new_orders"),
     "silver_order_details": _query("slv_details", "SELECT * FROM slv_details"),
     "silver_suggestions_unseen": _query("unseen", "SELECT * FROM unseen"),
+    "silver_suggestions_delta": _query("once deliveries", """
+        SELECT o.* EXCLUDE (year, month, day), 2001 AS year, CASE WHEN EXISTS (
+            SELECT 1 FROM deliveries l WHERE l.event_type = 'purchase' AND l.order_id IS NOT DISTINCT FROM o.order_id
+              AND l.product_id IS NOT DISTINCT FROM o.product_id) THEN 6 ELSE 7 END AS month, 1 AS day
+        FROM once o"""),
     "dim_payment_initial": _query("dim_payment_method", "SELECT * FROM dim_payment_method"),
     "dim_products_initial": _query("dim_products", "SELECT * FROM dim_products"),
     "dim_stores_initial": _query("dim_stores", "SELECT * FROM dim_stores"),

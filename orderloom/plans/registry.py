@@ -11,12 +11,12 @@ from pyspark.sql import types as T
 from orderloom.config import BRONZE_RULES, PAYMENT_METHOD, PRODUCTS, SILVER_RULES, STORES, Endpoint, Lake, Rule
 from orderloom.functions import date_parts
 from orderloom.operators import clean, facts, incremental, ingest, quality, scd2, suggest
-from orderloom.plans.batch import run_batch
+from orderloom.plans.batch import Run, run_batch
 from orderloom.plans.driver_views import AS_OF, CUTOFF, T0, T1, DriverTables
-from orderloom.session import scratch_path, stage
+from orderloom.session import Scratch, scratch_path, stage
 from orderloom.sources import csv_rejects, key_store, layers, read_csv_dimension
 from orderloom.streaming import assembly, changes
-from orderloom.streaming.suggestions import ACCEPTED_TOPIC
+from orderloom.streaming.suggestions import ACCEPTED_TOPIC, load_suggestions
 
 SCD2_DAY = "2024-02-01"
 
@@ -141,6 +141,30 @@ def silver_suggestions_unseen(spark, folder):
     return clean.unseen_suggestions(_suggestions(src, False), _suggestions(src, True))
 
 
+def silver_suggestions_delta(spark, folder):
+    """Suggestions among the lines of three runs: some on a first day, all of them (the first ones again) on a second, and
+    all again on a third, with new orders each time. The first delivery stands."""
+    src, lake = _source(spark, folder), _lake(spark)
+    orders = src.orders()
+    parts = [orders.filter(F.col("customer_id") % 3 == rest) for rest in (0, 1, 2)]
+    records = [src.suggestion_records().filter("event_type = 'purchase'"), src.suggestion_records(), src.suggestion_records()]
+    dated = [rows.withColumn("timestamp", src.stamp(f"2001-0{n}-15 00:00:00")) for n, rows in enumerate(parts, 5)]
+    _put(lake, order_details=src.order_details())
+    for day, rows, delivered in zip(DELIVERY_DAYS, dated, records):
+        _put(lake, orders=rows)
+        _deliver(lake, delivered)
+        with Scratch(spark) as scratch:
+            run = Run(spark, lake, scratch, day)
+            run.load_orders()
+            load_suggestions(spark, lake, day)
+            run.build_silver_facts()
+    lines = layers.read_layer(spark, lake.silver("order_details"))
+    return lines.filter("day <> 15")  # the orders' own lines lie under the days of the orders
+
+
+DELIVERY_DAYS = ("2001-06-01", "2001-07-01", AS_OF)
+
+
 # Serving layer
 
 def _products(src, version=None):
@@ -539,7 +563,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bronze_orders_full, bronze_orders_incremental, bronze_orders_ties, bronze_details_incremental,
         bronze_dim_incremental, bronze_suggestions, ingest_csv_dim, ingest_csv_rejects,
         silver_stores, silver_products, silver_payment_method, silver_customers, silver_orders,
-        silver_order_details, silver_suggestions_unseen,
+        silver_order_details, silver_suggestions_unseen, silver_suggestions_delta,
         dim_payment_initial, dim_products_initial, dim_stores_initial, dim_products_changes,
         dim_payment_scd2, dim_products_scd2, dim_stores_scd2, dim_products_merge, run_fact_full, run_fact_delta,
         dq_schema_drift, dq_null_ratio, dq_duplicate_keys, dq_completeness, dq_min, dq_uniqueness, dq_uniqueness_delta,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,9 +14,9 @@ from orderloom.plans import batch
 from orderloom.plans.batch import QualityError, Run, run_batch
 from orderloom.schemas import SOURCE_TABLES
 from orderloom.session import Scratch
-from orderloom.sources import append_partitioned, read_layer, read_versioned, write_versioned
+from orderloom.sources import append_partitioned, read_layer, read_since, read_versioned, seen_keys, write_versioned
 from orderloom.sources.files import list_dirs
-from orderloom.streaming.suggestions import ACCEPTED_TOPIC
+from orderloom.streaming.suggestions import ACCEPTED_TOPIC, load_suggestions
 
 T0, T1 = "2024-01-01 00:00:00", "2024-03-01 00:00:00"
 
@@ -218,6 +220,66 @@ def test_interruption_ties_and_early_suggestions(spark, tmp_path, monkeypatch):
         run_batch(spark, world.lake, "2024-01-06", fail_on_error=True)
 
 
+OFFER = '{"order_id":"%s","product_id":"P2","quantity":1,"discount_percent":20,"subtotal":36000,"is_suggestion":true}'
+
+
+def test_suggestions_are_read_from_the_news(spark, tmp_path):
+    """A repeat is known however long ago its first delivery was, and neither that day nor buckets without news are read."""
+    world = World(spark, tmp_path)
+    world.seed()
+    store = world.lake.keys("silver", "order_details", "suggestion")
+
+    def step(day, *offers):
+        world.put("orders", [(f"n{day}", f"2024-01-{day:02} 07:00:00", "1", "1", "9", "1")], "append")
+        world.put("order_details", [(f"n{day}", "P1", "1", "0", "45000", "false")], "append")
+        world.deliver(*(OFFER % name for name in offers))
+        with Scratch(spark) as scratch:
+            run = Run(spark, world.lake, scratch, f"2024-01-{day:02}")
+            run.load_orders()
+            load_suggestions(spark, world.lake, run.as_of)
+            run.build_silver_facts()
+
+    def spoil(folder):
+        for file in Path(folder).rglob("*.parquet"):
+            file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+            file.write_text("not to be read")
+
+    def offers():
+        lines = read_layer(spark, world.lake.silver("order_details")).filter("is_suggestion")
+        return sorted((r.order_id, r.day) for r in lines.collect())
+
+    step(4, *"abc")
+    step(5, *"ad", "d")
+    step(6, "e")
+    assert offers() == [("a", 4), ("b", 4), ("c", 4), ("d", 5), ("e", 6)]
+    assert seen_keys.newest(spark, store) == "2024-01-05"  # those of the 6th are taken in when next asked for
+
+    def bucket_of(order):
+        row = spark.createDataFrame([(order, "P2", True)], "order_id string, product_id string, is_suggestion boolean")
+        return row.select(seen_keys._bucket().alias("b")).first().b
+
+    asked = {bucket_of("a"), bucket_of("e"), bucket_of("f")}
+    spoil(f"{world.lake.bronze(ACCEPTED_TOPIC)}/year=2024/month=1/day=4")
+    for folder in Path(store).glob("delivered=20240104/bucket=*"):
+        if int(folder.name.partition("=")[2]) not in asked:
+            spoil(folder)
+    step(7, "a", "e", "f")
+    kept = read_since(spark, world.lake.silver("order_details"), "2024-01-06").filter("is_suggestion")
+    assert sorted((r.order_id, r.day) for r in kept.collect()) == [("e", 6), ("f", 7)]
+
+
+def test_a_lost_store_of_seen_suggestions_is_made_again(spark, tmp_path):
+    dated = "order_id string, product_id string, is_suggestion boolean, year int, month int, day int"
+    lines = spark.createDataFrame([("a", "P1", True, 2024, 1, 4), ("a", "P1", True, 2024, 1, 3), (None, None, None, 2024, 1, 5)], dated)
+    given = spark.createDataFrame([("a", "P1", True, 2024, 1, 4), (None, None, None, 2024, 1, 5), ("b", "P1", True, 2024, 1, 5)], dated)
+    store = str(tmp_path / "seen")
+    assert seen_keys.newest(spark, store) is None
+    for _ in range(2):  # the line of the 3rd is the order's own
+        seen_keys.follow(spark, store, lines, given)
+        assert sorted(r.delivered for r in spark.read.parquet(store).collect()) == [20240104, 20240105]
+    assert [r.order_id for r in seen_keys.unseen(spark, store, given).collect()] == ["b"]
+
+
 def test_failed_snapshots_do_not_count(spark, tmp_path):
     path = str(tmp_path / "table")
     write_versioned(spark.range(1), path)
