@@ -22,7 +22,7 @@ from orderloom.config import DIMENSIONS, Endpoint, Lake
 from orderloom.plans.batch import Run, run_batch
 from orderloom.session import Scratch, build_session
 from orderloom.sources import read_table
-from orderloom.streaming.suggestions import publish, ready_from_changes, references
+from orderloom.streaming.suggestions import PinnedReferences, publish, ready_from_changes, references, source_state
 
 STEPS: dict[str, Callable[[Run], object]] = {
     "load-bronze": Run.load_bronze,
@@ -50,11 +50,13 @@ def lake_from(document: dict) -> Lake:
 
 
 def start_stream(spark: SparkSession, lake: Lake, prefix: str, once: bool):
-    """Suggestions from the change feeds; customers, methods and products come from the source tables."""
-
-    def load():
-        return references(*(read_table(spark, lake.source, t) for t in ("customers", "payment_method", "products")))
-
+    """Suggestions from the change feeds; customers, methods and products come from the source tables, which are read
+    again when they have changed."""
+    tables = ("customers", "payment_method", "products")
+    load = PinnedReferences(
+        spark, lambda: references(*(read_table(spark, lake.source, t) for t in tables)),
+        lambda: source_state(spark, lake.source, tables),
+    )
     writer = publish(
         ready_from_changes(spark, lake.topics, prefix), load, lake.topics, lake.progress("order_suggestion")
     )

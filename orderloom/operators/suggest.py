@@ -66,15 +66,21 @@ def eligible_orders(ready: DataFrame, customers: DataFrame, methods: DataFrame)
     )
 
 
-def recommend(eligible: DataFrame, catalogue: DataFrame) -> DataFrame:
+def numbered_catalogue(catalogue: DataFrame) -> DataFrame:
+    """The catalogue with numbers from 0 in id order."""
+    return number_rows(catalogue, "product_id", "number")
+
+
+def recommend(eligible: DataFrame, catalogue: DataFrame, size: int | None = None) -> DataFrame:
     """One product the order does not hold yet, at 20 to 50 percent off; none if it holds all.
 
     The choice is the n-th free product in id order, n drawn from the md5 of the order id. With
     the catalogue numbered, n is moved past the numbers the order already holds, so neither the
-    catalogue nor a list of candidates is ever built per order.
+    catalogue nor a list of candidates is ever built per order. With ``size`` given, ``catalogue`` is numbered
+    already and holds that many products.
     """
-    numbered = number_rows(catalogue, "product_id", "number")
-    size = catalogue.count()
+    numbered = numbered_catalogue(catalogue) if size is None else catalogue
+    size = catalogue.count() if size is None else size
     held = (
         eligible.select("order_id", F.explode_outer("product_ids").alias("product_id"))
         .join(numbered.select("product_id", "number"), "product_id", "left")

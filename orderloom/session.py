@@ -52,10 +52,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     Cuts lineage so that several writes see the same rows, survives the loss of executors,
     and gives the planner real file sizes to choose joins by.
     """
-    return _staged_at(df, scratch_path(df.sparkSession, label))
+    return staged_at(df, scratch_path(df.sparkSession, label))
 
 
-def _staged_at(df: DataFrame, path: str) -> DataFrame:
+def staged_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -70,7 +70,7 @@ class Scratch:
 
     def stage(self, df: DataFrame, label: str) -> DataFrame:
         self.taken += 1
-        return _staged_at(df, f"{self.root}/{self.taken}-{label}")
+        return staged_at(df, f"{self.root}/{self.taken}-{label}")
 
     def __enter__(self) -> Scratch:
         return self

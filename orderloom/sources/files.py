@@ -33,6 +33,18 @@ def data_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(path.toString() for path in found if not path.getName().startswith(("_", ".")))
 
 
+def state_of(spark: SparkSession, path: str) -> frozenset[tuple[str, int, int]]:
+    """Names, lengths and times of the files below ``path``: equal while nobody has written there."""
+    fs, target = _open(spark, path)
+    if not fs.exists(target):
+        return frozenset()
+    found, files = set(), fs.listFiles(target, True)
+    while files.hasNext():
+        status = files.next()
+        found.add((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return frozenset(found)
+
+
 def list_dirs(spark: SparkSession, path: str, prefix: str) -> list[tuple[int, str]]:
     """Sub-folders called ``{prefix}=<number>`` as (number, path), largest number first."""
     fs, target = _open(spark, path)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterable
 from datetime import date, timedelta
 from typing import NamedTuple
 
@@ -13,7 +14,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from orderloom.config import Endpoint, Lake
 from orderloom.operators import ingest, suggest
 from orderloom.schemas import DATE_PARTS
-from orderloom.sources.files import has_data, newest_day
+from orderloom.session import scratch_path, staged_at
+from orderloom.sources.files import delete, has_data, newest_day, state_of
 from orderloom.sources.topics import parsed, stream_topic, to_messages, write_topic
 from orderloom.streaming import assembly, changes
 
@@ -32,6 +34,44 @@ class References(NamedTuple):
     customers: DataFrame
     methods: DataFrame
     catalogue: DataFrame
+    size: int | None = None  # of a catalogue that is numbered already
+
+
+class PinnedReferences:
+    """References that stay as they are, staged and numbered once, until their tables have changed.
+
+    ``version`` tells the state of the tables, ``read`` reads them. All micro-batches between two states see
+    the same rows, and a write while a micro-batch runs counts from the next one on. The state is asked before the
+    tables are read: what is written in between is read again rather than missed. Older staged rows go
+    when newer ones are in use.
+    """
+
+    def __init__(self, spark: SparkSession, read: Callable[[], References], version: Callable[[], object]):
+        self.spark, self.read, self.version = spark, read, version
+        self.root, self.taken = scratch_path(spark, "references"), 0
+        self.state: object = None
+        self.pinned: References | None = None
+
+    def __call__(self) -> References:
+        state = self.version()
+        if self.pinned is None or state != self.state:
+            self.pinned, self.state = self._pin(self.read()), state
+        return self.pinned
+
+    def _pin(self, refs: References) -> References:
+        self.taken += 1
+        frames = {"customers": refs.customers, "methods": refs.methods, "catalogue": suggest.numbered_catalogue(refs.catalogue)}
+        staged = {name: staged_at(rows, f"{self.root}/{self.taken}/{name}") for name, rows in frames.items()}
+        delete(self.spark, f"{self.root}/{self.taken - 1}")
+        return References(**staged, size=staged["catalogue"].count())
+
+
+def source_state(spark: SparkSession, source: Endpoint, tables: Iterable[str], seconds: int = 60) -> object:
+    """State of source tables: of files, the files there are; of a database, which does not tell, the time in steps of
+    ``seconds``, so that its tables are read that often."""
+    if source.format == "jdbc":
+        return int(time.time() // seconds)
+    return tuple(state_of(spark, f"{source.path}/{table}") for table in tables)
 
 
 def references(customers: DataFrame, methods: DataFrame, products: DataFrame) -> References:
@@ -75,7 +115,8 @@ def publish(
     """Suggest a product for every eligible ready order, to both suggestion topics.
 
     ``load`` is called once per micro-batch with orders, so customers, methods and products added since
-    the last one count. The suggestions of a batch are kept while both topics are written.
+    the last one count; ``PinnedReferences`` reads them only when they have changed. The suggestions of a
+    batch are kept while both topics are written.
     """
 
     def batch(orders: DataFrame, number: int) -> None:
@@ -85,7 +126,7 @@ def publish(
                 return
             refs = load()
             eligible = suggest.eligible_orders(orders, refs.customers, refs.methods)
-            suggestions = suggest.recommend(eligible, refs.catalogue).persist()
+            suggestions = suggest.recommend(eligible, refs.catalogue, refs.size).persist()
             try:
                 write_topic(suggestions, topics, SUGGESTION_TOPIC, "order_id", number)
                 write_topic(suggest.accepted(suggestions), topics, ACCEPTED_TOPIC, "order_id", number)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orderloom.config import Endpoint, Lake
 from orderloom.operators import suggest
-from orderloom.sources import from_topic, read_layer, read_topic
+from orderloom.sources import from_topic, read_layer, read_table, read_topic
 from orderloom.streaming import assembly, changes, suggestions
 
 EVENT = (
@@ -250,6 +250,37 @@ def test_from_changes_to_the_raw_layer(spark, tmp_path, tables, rows):
         assert rows(raw.drop("year", "month", "day")) == rows(suggest.accepted(expected))
 
 
+def test_references_are_pinned_until_their_tables_change(spark, tmp_path, tables, monkeypatch):
+    source = Endpoint("parquet", path=str(tmp_path))
+    names, numbered = ("customers", "payment_method", "products"), []
+    plain = suggest.numbered_catalogue
+
+    def counted(catalogue):
+        numbered.append(catalogue)
+        return plain(catalogue)
+
+    monkeypatch.setattr(suggest, "numbered_catalogue", counted)
+    for name, rows in zip(names, tables):
+        rows.write.parquet(f"{tmp_path}/{name}")
+    load = suggestions.PinnedReferences(
+        spark, lambda: suggestions.references(*(read_table(spark, source, n) for n in names)), lambda: suggestions.source_state(spark, source, names))
+    first = load()
+    held = first.catalogue.collect()
+    eligible = spark.createDataFrame(
+        [(str(n), "1", "9", [held[n % len(held)].product_id]) for n in range(20)],
+        "order_id string, customer_id string, payment_method_id string, product_ids array<string>")
+    before = sorted(suggest.recommend(eligible, first.catalogue, first.size).collect())
+    assert load() is first and len(numbered) == 1
+    tables[2].limit(1).selectExpr("'PX' as id", "name", "category_id", "unit_price", "updated_at").write.mode("append").parquet(f"{tmp_path}/products")
+    # the pinned rows stay as they are while they are in use
+    assert sorted(suggest.recommend(eligible, first.catalogue, first.size).collect()) == before
+    second = load()
+    assert load() is second and len(numbered) == 2 and second.size == first.size + 1
+    assert [r.number for r in second.catalogue.orderBy("product_id").collect()] == list(range(second.size))
+    again = suggest.recommend(eligible, suggest.product_catalogue(read_table(spark, source, "products")))
+    assert sorted(suggest.recommend(eligible, second.catalogue, second.size).collect()) == sorted(again.collect())
+
+
 def suggestions_schema():
     from orderloom.schemas import SUGGESTION
 
