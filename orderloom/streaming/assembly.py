@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,11 +30,17 @@ _TIMED = (
     "product_id string, event_time timestamp, at bigint"
 )
 _EMITTED = READY_ORDER + ", ready_at bigint"
-_STATE = (
-    "customer_id string, payment_method_id string, num_products int, info_until bigint, products array<string>, "
-    "lines_until bigint, done_until bigint, timer bigint, waiting array<struct<at: bigint, product_id: string, "
-    "customer_id: string, payment_method_id: string, num_products: int>>"
-)
+# Orders share state by groups: a call between Python and the state store serves all orders of a group that have
+# events. The number belongs to a query's progress and is not to be changed under it.
+GROUPS = 4096
+_EVENTS = pa.schema([
+    ("order_id", pa.string()), ("at", pa.int64()), ("product_id", pa.string()), ("customer_id", pa.string()),
+    ("payment_method_id", pa.string()), ("num_products", pa.int64()),
+])
+_OPEN = pa.schema([
+    ("order_id", pa.string()), ("customer_id", pa.string()), ("payment_method_id", pa.string()), ("num_products", pa.int64()),
+    ("info_until", pa.int64()), ("products", pa.list_(pa.string())), ("lines_until", pa.int64()), ("done_until", pa.int64()),
+])
 REMEMBERED = 200_000  # events a task keeps in mind to drop repeats
 
 
@@ -48,7 +57,7 @@ def ready_orders(
     without progress of its own takes them as its first state and announces none of them again within
     ``dedup`` seconds; a query that goes on from its progress does not look at them.
 
-    Events of all feeds meet on the order id in one shuffle. Times are event times in whole
+    Events of all feeds meet in one shuffle, by groups of orders that share their state. Times are event times in whole
     seconds, as the horizons are. An order's events wait until the watermark has passed them and
     are then taken in by time, so neither the order of arrival nor the split into micro-batches
     changes a result; an order is announced ``lateness`` after its last event. Before the shuffle
@@ -59,11 +68,13 @@ def ready_orders(
     """
     if feeds[0].sparkSession.conf.get(STATE_STORE, "") != DEFAULTS[STATE_STORE]:
         raise ValueError(f"set {STATE_STORE} to {DEFAULTS[STATE_STORE]}")
-    known = None if announced is None else announced.groupBy("order_id").agg(F.unix_seconds(F.max("ready_at")).alias("at")).groupBy("order_id")
+    known = None if announced is None else (
+        announced.groupBy("order_id").agg(F.unix_seconds(F.max("ready_at")).alias("at")).withColumn("group", _group()).groupBy("group"))
     return (
         reduce(DataFrame.unionByName, [_timed(feed, lateness) for feed in feeds])
-        .groupBy("order_id")
-        .transformWithState(
+        .withColumn("group", _group())
+        .groupBy("group")
+        .transformWithStateInPandas(
             OrderAssembly(horizon, dedup), _EMITTED, outputMode="append", timeMode="eventTime", initialState=known)
         .withColumn("ready_at", F.timestamp_seconds("ready_at"))
     )
@@ -74,7 +85,16 @@ def _timed(feed: DataFrame, lateness: str) -> DataFrame:
         "event_time": F.date_trunc("second", "event_time"), "at": F.unix_seconds("event_time"),
     })
     columns = [part.split()[0] for part in _TIMED.split(", ")]
-    return timed.select(columns).mapInPandas(drop_repeats, _TIMED).withWatermark("event_time", lateness)
+    events = timed.select(columns).mapInPandas(drop_repeats, _TIMED).withWatermark("event_time", lateness)
+    placed = F.col("kind").eqNullSafe("order")
+    told = [F.when(placed, F.col(c)).alias(c) for c in ("customer_id", "payment_method_id")]
+    return events.filter(placed | F.col("product_id").isNotNull()).select(
+        "event_time", "order_id", "at", F.when(~placed, F.col("product_id")).alias("product_id"), *told,
+        F.when(placed, F.coalesce("num_products", F.lit(0))).otherwise(0).cast("bigint").alias("num_products"))
+
+
+def _group() -> Column:
+    return F.pmod(F.xxhash64("order_id"), F.lit(GROUPS)).cast("int")
 
 
 def with_state_store(spark: SparkSession) -> SparkSession:
@@ -88,10 +108,9 @@ def drop_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Batches without events that the task has let through before; its memory is emptied when full."""
     seen: set[tuple] = set()
     for batch in batches:
+        told = (batch[c] for c in batch.columns if c != "event_time")  # ``at`` is the same
         fresh = []
-        batch = batch.drop_duplicates()
-        plain = batch.astype(object).where(batch.notna(), None)
-        for event in zip(*(plain[c] for c in plain.columns)):
+        for event in zip(*(c.astype(object).where(c.notna(), None).tolist() for c in told)):
             fresh.append(event not in seen)
             seen.add(event)
         yield batch[fresh]
@@ -139,12 +158,29 @@ def _in_time(event: tuple) -> tuple:
     return event[0], event[1] is not None, tuple((v is not None, v or "") for v in event[1:4]), event[4] or 0
 
 
+def _packed(columns: Iterable, schema: pa.Schema) -> bytes:
+    table = pa.table([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, schema)], schema)
+    with pa.BufferOutputStream() as out:
+        with pa.ipc.new_stream(out, schema) as stream:
+            stream.write_table(table)
+        return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def _rows(table: pa.Table) -> Iterator[tuple]:
+    return zip(*(column.to_pylist() for column in table.columns))
+
+
 class OrderAssembly(StatefulProcessor):
-    """State of one order, a single value: its progress, and the events that the watermark has not passed.
+    """State of a group of orders: parcels of events that the watermark has not passed, and the progress of orders.
 
     The announcement lives ``horizon`` seconds from the last order event and the product set
     ``horizon`` seconds from the last line. Events of the same second are taken in together
-    before completeness is tested. One timer per order stands at its first waiting event or, if
+    before completeness is tested. A parcel is added as it comes; what is left of the parcels is written again
+    when some of their events were due. One timer per group stands at its first waiting event or, if
     none waits, at the end of what it remembers.
     """
 
@@ -154,58 +190,79 @@ class OrderAssembly(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("order", _STATE)
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        if initialState.at is not None:
-            self._save(Progress(done_until=initialState.at + self.dedup), set(), 0)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        progress, waiting, timer = self._load()
-        for e in rows:
-            if e.kind == "order":
-                waiting.add((e.at, None, e.customer_id, e.payment_method_id, e.num_products or 0))
-            elif e.product_id is not None:
-                waiting.add((e.at, e.product_id, None, None, None))
-        self._save(progress, waiting, timer)
+        self.waiting = handle.getListState("waiting", "events binary")
+        self.open = handle.getValueState("open", "orders binary")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        known = initialState[initialState["at"].notna()]
+        orders = self._load()
+        for order, at in zip(known["order_id"].tolist(), known["at"].tolist()):
+            orders[order] = Progress(done_until=int(at) + self.dedup)
+        if orders:
+            self._save(orders)
+            self._wake(max(p.ends() for p in orders.values()))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for events in rows:
+            self.waiting.appendValue((_packed((events[c] for c in _EVENTS.names), _EVENTS),))
+            at = int(events["at"].min())
+            first = at if first is None else min(first, at)
+        if first is not None:
+            timers = list(self.handle.listTimers())
+            # One for the end of what is remembered may stand after the event: it is set again then.
+            if not timers or first * 1000 < timers[0]:
+                self._wake(first, timers)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() // 1000  # no event up to it can come any more
-        progress, waiting, _ = self._load()
-        due = sorted((e for e in waiting if e[0] <= passed), key=_in_time)
-        ready = []
-        for now, together in groupby(due, key=lambda e: e[0]):
-            products = progress.take_in(now, list(together), self.horizon, self.dedup)
-            if products is not None:
-                ready.append(Row(
-                    order_id=key[0], customer_id=progress.customer_id,
-                    payment_method_id=progress.payment_method_id, product_ids=products, ready_at=now,
-                ))
-        waiting.difference_update(due)
-        self._save(Progress() if progress.ends() <= passed else progress, waiting, 0)
-        return iter(ready)
-
-    def _load(self) -> tuple[Progress, set[tuple], int]:
-        saved = self.state.get()
+        due, rest = defaultdict(set), []
+        for parcel in self.waiting.get():
+            events = _unpacked(parcel[0])
+            late = pc.greater(events["at"], passed)
+            rest.append(events.filter(late))
+            for order, *event in _rows(events.filter(pc.invert(late))):
+                due[order].add(tuple(event))
+        orders, ready = self._load(), []
+        for order, events in due.items():
+            progress = orders.setdefault(order, Progress())
+            for now, together in groupby(sorted(events, key=_in_time), key=lambda e: e[0]):
+                products = progress.take_in(now, list(together), self.horizon, self.dedup)
+                if products is not None:
+                    ready.append((order, progress.customer_id, progress.payment_method_id, products, now))
+        left = pa.concat_tables(rest).group_by(_EVENTS.names).aggregate([]) if rest else None  # without repeats
+        if due:
+            if left.num_rows:
+                self.waiting.put([(_packed(left.columns, _EVENTS),)])
+            else:
+                self.waiting.clear()
+        orders = {order: p for order, p in orders.items() if p.ends() > passed}
+        self._save(orders)
+        if left is not None and left.num_rows:
+            self._wake(pc.min(left["at"]).as_py(), [])
+        elif orders:
+            self._wake(max(p.ends() for p in orders.values()), [])
+        names = [part.split()[0] for part in _EMITTED.split(", ")]
+        return iter((pd.DataFrame(ready, columns=names),) if ready else ())
+
+    def _wake(self, at: int, timers: list[int] | None = None) -> None:
+        """One timer, in place of those that stand."""
+        for timer in list(self.handle.listTimers()) if timers is None else timers:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at * 1000)
+
+    def _load(self) -> dict[str, Progress]:
+        saved = self.open.get()
         if saved is None:
-            return Progress(), set(), 0
-        customer, method, number, info_until, products, lines_until, done_until, timer, waiting = saved
-        return (
-            Progress(customer, method, number, info_until, frozenset(products), lines_until, done_until),
-            {tuple(event) for event in waiting}, timer,
-        )
-
-    def _save(self, progress: Progress, waiting: set[tuple], timer: int) -> None:
-        due = min(event[0] for event in waiting) if waiting else progress.ends()
-        if timer and timer != due:
-            self.handle.deleteTimer(timer * 1000)
-        if not due:
-            self.state.clear()
+            return {}
+        return {order: Progress(*rest[:4], frozenset(rest[4]), *rest[5:]) for order, *rest in _rows(_unpacked(saved[0]))}
+
+    def _save(self, orders: dict[str, Progress]) -> None:
+        if not orders:
+            self.open.clear()
             return
-        if timer != due:
-            self.handle.registerTimer(due * 1000)
-        self.state.update((
-            progress.customer_id, progress.payment_method_id, progress.num_products, progress.info_until,
-            sorted(progress.products), progress.lines_until, progress.done_until, due, list(waiting),
-        ))
+        rows = [
+            (order, p.customer_id, p.payment_method_id, p.num_products, p.info_until, sorted(p.products), p.lines_until, p.done_until)
+            for order, p in orders.items()]
+        self.open.update((_packed(map(list, zip(*rows)), _OPEN),))

@@ -169,6 +169,16 @@ def test_random_events_against_the_model(spark, tmp_path):
     assert found == model(events)
 
 
+def test_orders_share_state_by_groups(spark, tmp_path, monkeypatch):
+    """Calls to the state store follow the groups with events, not the orders."""
+    monkeypatch.setattr(assembly, "GROUPS", 4)
+    events = random_events(6, 200)
+    found, progress = run(spark, tmp_path, [events[::2], events[1::2], CLOCK], lateness="600 seconds")
+    assert found == model(events)
+    kept = [json.loads(p.json)["stateOperators"][0]["numRowsTotal"] for p in progress]
+    assert 4 <= max(kept) <= 4 * (3 + 2)  # a parcel per micro-batch, the progress, and a timer in two orders
+
+
 def test_deletions_and_broken_records_are_skipped(spark, rows):
     def text(payload):
         return (json.dumps({"payload": payload}),)
