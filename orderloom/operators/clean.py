@@ -112,9 +112,13 @@ def clean_lines(
     since: str | None = None,
 ) -> DataFrame:
     """Lines of the new orders, and every suggestion not loaded before."""
-    own = (
+    return lines_among(orders, lines).unionByName(unseen_suggestions(suggestions, loaded_lines, since))
+
+
+def lines_among(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines whose order is one of ``orders``."""
+    return (
         lines.select(*LINE_COLUMNS, *DATE_PARTS)
         .join(orders.select(F.col("id").alias("order_id")), "order_id", "left_semi")
         .select(*LINE_COLUMNS, *DATE_PARTS)
     )
-    return own.unionByName(unseen_suggestions(suggestions, loaded_lines, since))

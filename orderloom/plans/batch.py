@@ -201,15 +201,16 @@ class Run:
             return
         pending, store = orders, self.lake.keys("silver", "order_details", "suggestion")
         if self._has(lines_target):
-            recent_own = clean.own_lines(self._since(lines_target, day), self._suggestions(day))
-            pending = incremental.without_lines(orders, recent_own)
+            # Only lines of these orders can tell: none, unless a run was cut short. They are picked out first.
+            loaded = clean.lines_among(orders, self._since(lines_target, day))
+            pending = incremental.without_lines(orders, clean.own_lines(loaded, self._suggestions(day)))
             settle(self.spark, store)
             last = seen_keys.newest(self.spark, store)
             seen_keys.follow(self.spark, store, self._since(lines_target, last), self._suggestions(last))
         news = clean.unseen_suggestions(self._suggestions(seen_keys.newest(self.spark, store)))
         fresh = seen_keys.unseen(self.spark, store, self.scratch.stage(news, "suggestions"))
         lines = self._since(self.lake.bronze("order_details"), day)
-        append_partitioned(clean.clean_lines(pending, lines, fresh), lines_target)
+        append_partitioned(clean.lines_among(pending, lines).unionByName(fresh), lines_target)
         append_partitioned(clean.clean_orders(orders), target)
 
     def _suggestions(self, day: str | None) -> DataFrame:

@@ -145,7 +145,7 @@ def silver_suggestions_delta(spark, folder):
     """Suggestions among the lines of three runs: some on a first day, all of them (the first ones again) on a second, and
     all again on a third, with new orders each time. The first delivery stands."""
     src, lake = _source(spark, folder), _lake(spark)
-    orders = src.orders()
+    orders = stage(src.orders(), "orders")  # each counts the lines of all orders
     parts = [orders.filter(F.col("customer_id") % 3 == rest) for rest in (0, 1, 2)]
     records = [src.suggestion_records().filter("event_type = 'purchase'"), src.suggestion_records(), src.suggestion_records()]
     dated = [rows.withColumn("timestamp", src.stamp(f"2001-0{n}-15 00:00:00")) for n, rows in enumerate(parts, 5)]
@@ -265,12 +265,13 @@ def run_fact_delta(spark, folder):
     """Two runs: orders before the cut with some suggestions, then everything with changed products; a third finds no news."""
     src, lake = _source(spark, folder), _lake(spark)
     details, records = src.order_details(), src.suggestion_records()
-    old = _monthly(src).filter(F.col("timestamp") < src.stamp(CUTOFF))
+    orders = stage(_monthly(src), "orders")
+    old = orders.filter(F.col("timestamp") < src.stamp(CUTOFF))
     _put(lake, orders=old, order_details=details, products=src.products_v1(), stores=src.stores(),
          product_category=src.product_category(), payment_method=src.payment_method(), customers=src.customers())
     _deliver(lake, records.filter("event_type = 'purchase'"))
     run_batch(spark, lake, AS_OF)
-    _put(lake, orders=_monthly(src), products=src.products_v2())
+    _put(lake, orders=orders, products=src.products_v2())
     _deliver(lake, records.filter("event_type <> 'purchase'"))
     for _ in range(2):
         run_batch(spark, lake, AS_OF)

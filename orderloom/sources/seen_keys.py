@@ -40,8 +40,7 @@ def follow(spark: SparkSession, store: str, lines: DataFrame, suggestions: DataF
         last = int(day.replace("-", ""))
         known = _read(spark, store).filter(F.col("delivered") == last)
         taken = without_seen(taken.filter(F.col("delivered") >= last), known)
-    if not taken.isEmpty():
-        append_partitioned(taken, store, by=LAYOUT)
+    append_partitioned(taken, store, by=LAYOUT)  # asking for news first would match the lines twice
 
 
 def unseen(spark: SparkSession, store: str, news: DataFrame) -> DataFrame:

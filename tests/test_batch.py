@@ -425,3 +425,23 @@ def test_runs_on_merged_dimensions(spark, tmp_path):
     assert sorted((r.product_id, r.is_current) for r in products.collect()) == [
         ("P1", False), ("P1", True), ("P2", True), ("P3", True)]
     assert world.fact().count() == len(FIRST) + len(SECOND)
+
+
+def test_lines_are_matched_once_for_the_store_of_suggestions(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    columns = "order_id string, product_id string, is_suggestion boolean, year int, month int, day int"
+    suggestions = spark.createDataFrame([(f"o{i}", "P1", True, 2024, 1, 2) for i in range(6)], columns)
+    lines = suggestions.mapInPandas(counted, columns)
+    store = str(tmp_path / "store")
+    seen_keys.follow(spark, store, lines, suggestions)
+    assert read.value == 6
+    assert seen_keys.newest(spark, store) == "2024-01-02"
+    assert seen_keys.unseen(spark, store, suggestions).count() == 0
+    seen_keys.follow(spark, store, lines.filter("false"), suggestions)  # no news: the store stays as it is
+    assert spark.read.parquet(store).count() == 6
